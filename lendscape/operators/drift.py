@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lendscape.operators.ranks import gini, grouped_auc, grouped_quantiles, histogram
+from lendscape.operators.ranks import grouped_auc, grouped_quantiles, histogram
 
 BINS = 10
 FLOOR = 1e-6
@@ -87,7 +87,7 @@ def monthly_metrics(predictions: DataFrame, bins: int = BINS) -> DataFrame:
             F.round(F.col("pos") / F.col("n"), 4).alias("actual_bad_rate"),
             F.round(F.col("_score_sum") / F.col("n"), 4).alias("avg_predicted_proba"),
             F.round("auc", 4).alias("auc"),
-            F.round(gini(F.col("auc")), 4).alias("gini"),
+            F.round("gini", 4).alias("gini"),
             F.round(psi(F.col("_expected"), counts), 4).alias("psi_vs_baseline"),
         )
     )

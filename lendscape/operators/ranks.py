@@ -44,7 +44,7 @@ def with_slice(hist: DataFrame, value: str, slices: int = SLICES) -> DataFrame:
 
 
 def grouped_auc(hist: DataFrame, by: Sequence[str], value: str, carry: Sequence[str] = ()) -> DataFrame:
-    """Area under the ROC curve per group, ties averaged, null where one class is absent.
+    """Area under the ROC curve per group and its Gini, ties averaged, null where one class is absent.
 
     ``hist`` has the columns ``pos`` and ``neg``; columns in ``carry`` are summed along per group.
     AUC is the share of (positive, negative) pairs ranked right: each positive beats the negatives
@@ -63,14 +63,11 @@ def grouped_auc(hist: DataFrame, by: Sequence[str], value: str, carry: Sequence[
     pairs = F.sum("pos").cast("double") * F.sum("neg")
     return placed.groupBy(*by).agg(
         F.try_divide(won, pairs).alias("auc"),
+        F.try_divide(won * 2 - pairs, pairs).alias("gini"),
         *[F.sum(c).alias(c) for c in ("pos", "neg", "n_values", *carry)],
     )
 
 
-def gini(auc: Column) -> Column:
-    return auc * 2 - 1
-
-
 def grouped_quantiles(hist: DataFrame, by: Sequence[str], value: str, weight: str, probs: Sequence[float]) -> DataFrame:
     """Exact interpolated quantiles: one row (group, prob, quantile).
 

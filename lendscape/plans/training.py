@@ -20,7 +20,7 @@ from lendscape import schemas as S
 from lendscape.functions import columns as C
 from lendscape.functions.dates import Windows
 from lendscape.operators import encoding
-from lendscape.operators.ranks import gini, grouped_auc, histogram
+from lendscape.operators.ranks import grouped_auc, histogram
 from lendscape.session import with_checkpoint_dir
 
 SPLIT_SEED = 88
@@ -210,5 +210,5 @@ def evaluate(trained: Trained, store: DataFrame) -> DataFrame:
         n.alias("n"),
         F.round(F.col("pos") / n, 3).alias("bad_rate"),
         F.round("auc", 4).alias("auc"),
-        F.round(gini(F.col("auc")), 3).alias("gini"),
+        F.round("gini", 3).alias("gini"),
     )
