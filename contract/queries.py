@@ -17,7 +17,7 @@ from lendscape.functions.dates import month_calendar, month_starts, training_win
 from lendscape.operators import drift, encoding, profiling, rates
 from lendscape.operators.ranks import grouped_auc, histogram
 from lendscape.plans import audit, gold, scoring, silver, training
-from lendscape.session import shared_folder, tune
+from lendscape.session import shared_folder, stored, tune
 from lendscape.sources import bank, layers, sample
 
 SNAPSHOT = date(2001, 1, 1)
@@ -89,10 +89,10 @@ class Inputs:
     @cached_property
     def fitted(self) -> tuple[DataFrame, encoding.Fitted]:
         """Stored training rows and what preprocessing learnt from them."""
-        shared_folder(self.spark)
+        self.store = stored(self.store, "store")
         columns = ["loan_id", "label", *S.NUMERIC_FEATURES, *S.CATEGORIES]
-        rows = self.train_rows.select(*columns).checkpoint()
-        return rows, encoding.fit(rows, lambda df: df.checkpoint())
+        rows = stored(self.train_rows.select(*columns), "train-rows")
+        return rows, encoding.fit(rows)
 
     def workspace(self, name: str) -> str:
         return f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
@@ -632,8 +632,7 @@ def _trained(i: Inputs) -> tuple[DataFrame, training.Trained]:
     """One fixed-parameter model per session and scale factor, shared by the queries below."""
     key = (i.spark.sparkContext.applicationId, i.sf_dir)
     if key not in _TRAINED:
-        shared_folder(i.spark)
-        store = i.store.checkpoint()
+        store = stored(i.store, "store")
         _TRAINED[key] = store, training.train(store, i.windows)
     return _TRAINED[key]
 
@@ -651,7 +650,6 @@ def train_fixed(i: Inputs) -> DataFrame:
 @query
 def train_search(i: Inputs) -> DataFrame:
     """Cross-validated AUC of each draw; a few draws of the grid, over all training rows."""
-    shared_folder(i.spark)
     trained = training.train(i.store, i.windows, tune=True, draws=SEARCH_TRIAL_DRAWS)
     return i.spark.createDataFrame(
         [{**{k: float(v) for k, v in t.items()}} for t in trained.trials],

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lendscape import schemas as S
 from lendscape.operators.ranks import grouped_quantiles, histogram
+from lendscape.session import stored
 
 SMOOTHING = 20
 BROADCAST_ROWS = 200_000
@@ -89,13 +90,13 @@ class Fitted:
         return ((F.col(feature) - F.lit(mean)) / F.lit(std)).alias(feature)
 
 
-def fit(rows: DataFrame, materialise) -> Fitted:
-    """Fit on training rows. ``materialise`` stores the encoding map where executors can read it.
+def fit(rows: DataFrame) -> Fitted:
+    """Fit on training rows, which are passed over several times: store them first.
 
     Only per-feature numbers come back to the driver: one median, mean and deviation each.
     """
     middle = {r.feature: r.median for r in medians(rows).collect()}
-    table = materialise(target_encoding(rows))
+    table = stored(target_encoding(rows), "encoding")
     overall = rows.agg(F.avg("label")).first()[0]
     draft = Fitted(middle, {}, overall, table, table.count())
     spread = {r.feature: (r["mean"], r["std"]) for r in scales(draft.encoded(rows, [])).collect()}

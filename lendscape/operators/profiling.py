@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lendscape.operators.ranks import grouped_quantiles, histogram
+from lendscape.operators.ranks import grouped_quantiles, histogram, value_counts
 
 
 def _long(df: DataFrame, columns: Sequence[str], dtype: str) -> DataFrame:
@@ -16,7 +16,7 @@ def _long(df: DataFrame, columns: Sequence[str], dtype: str) -> DataFrame:
 
 def value_frequency(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """How often each non-null value occurs."""
-    counts = histogram(_long(df, columns, "string"), ["feature"], "value")
+    counts = value_counts(_long(df, columns, "string"), ["feature"], "value")
     return counts.orderBy("feature", F.desc("n"), "value")
 
 
@@ -45,7 +45,7 @@ def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def negative_frequency(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Each negative value's count and its share of all rows of the table."""
     total = df.agg(F.count("*")).scalar()
-    negatives = histogram(_long(df, columns, "double").filter("value < 0"), ["feature"], "value")
+    negatives = value_counts(_long(df, columns, "double").filter("value < 0"), ["feature"], "value")
     return negatives.select(
         "feature",
         F.col("value").alias("negative_value"),

@@ -1,9 +1,10 @@
 """Exact rank statistics per group (AUC, quantiles) without sorting a group in one task.
 
-Both start from a histogram: one row per (group, value) with summed weights. The value axis is cut
-into slices of about equal row count, and order is only established inside a (group, slice) cell;
-cells are then placed behind each other by their totals. The cuts come from a sketch, which decides
-how evenly work is spread and never what the result is.
+Both start from a histogram: one row per (group, value) with summed weights, stored because every
+operator here passes over it more than once. The value axis is cut into slices of about equal row
+count, and order is only established inside a (group, slice) cell; cells are then placed behind
+each other by their totals. The cuts come from a sketch, which decides how evenly work is spread
+and never what the result is.
 """
 
 from __future__ import annotations
@@ -13,15 +14,22 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lendscape.session import stored
+
 SLICES = 64
 
 
-def histogram(df: DataFrame, by: Sequence[str], value: str, **sums: Column) -> DataFrame:
+def value_counts(df: DataFrame, by: Sequence[str], value: str, **sums: Column) -> DataFrame:
     """One row per distinct value in each group; rows without a value are left out."""
     aggregates = [F.sum(c).alias(name) for name, c in sums.items()] or [F.count("*").alias("n")]
     return df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(*aggregates)
 
 
+def histogram(df: DataFrame, by: Sequence[str], value: str, **sums: Column) -> DataFrame:
+    """``value_counts``, stored for repeated use."""
+    return stored(value_counts(df, by, value, **sums), "histogram")
+
+
 def with_slice(hist: DataFrame, value: str, slices: int = SLICES) -> DataFrame:
     """Number the slice of the value axis each row lies in.
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import itertools
 import random
-from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.ml import Model
@@ -21,7 +20,7 @@ from lendscape.functions import columns as C
 from lendscape.functions.dates import Windows
 from lendscape.operators import encoding
 from lendscape.operators.ranks import grouped_auc, histogram
-from lendscape.session import with_checkpoint_dir
+from lendscape.session import stored
 
 SPLIT_SEED = 88
 MODEL_SEED = 88
@@ -41,6 +40,7 @@ SEARCH_GRID = {
 }
 SEARCH_DRAWS = 100
 FOLDS = 3
+SEARCH_PARALLELISM = 4
 
 
 def with_categories(store: DataFrame) -> DataFrame:
@@ -122,7 +122,7 @@ def draw_params(draws: int, grid: dict = SEARCH_GRID, seed: int = SEARCH_SEED) -
     return [dict(zip(grid, p, strict=True)) for p in picked]
 
 
-def search(train: DataFrame, draws: int = SEARCH_DRAWS, parallelism: int = 4, grid: dict = SEARCH_GRID) -> tuple[Model, list[dict]]:
+def search(train: DataFrame, draws: int = SEARCH_DRAWS, parallelism: int = SEARCH_PARALLELISM, grid: dict = SEARCH_GRID) -> tuple[Model, list[dict]]:
     """Cross-validated random search by AUC; the best draw is refitted on all training rows."""
     points = draw_params(draws, grid)
     trees = booster()
@@ -168,25 +168,22 @@ def train(
     params: dict | None = None,
     tune: bool = False,
     draws: int = SEARCH_DRAWS,
-    materialise: Callable[[DataFrame], DataFrame] | None = None,
 ) -> Trained:
     """Fit preprocessing and model on the training split of a store with one row per loan.
 
-    The training matrix is checkpointed: trees pass over it many times, and a lost executor then
-    costs a read instead of the whole lineage.
+    The training rows and their matrix are stored: fitting passes over them many times.
     """
-    spark = with_checkpoint_dir(store.sparkSession)
     fit_rows = with_categories(with_split(store, windows).filter("split = 'train'"))
-    fit_rows = fit_rows.select(*KEEP, *S.NUMERIC_FEATURES, *S.CATEGORIES).checkpoint()
+    fit_rows = stored(fit_rows.select(*KEEP, *S.NUMERIC_FEATURES, *S.CATEGORIES), "train-rows")
     balance = class_balance(fit_rows).first()
     if balance.positives + balance.negatives == 0:
         raise ValueError(f"no rows to train on between {windows.fit_start} and {windows.fit_end}")
-    preprocessing = encoding.fit(fit_rows, materialise or (lambda df: df.checkpoint()))
+    preprocessing = encoding.fit(fit_rows)
     weight = F.when(F.col("label") == 1, F.lit(balance.pos_weight)).otherwise(F.lit(1.0))
     matrix = assembled(preprocessing.transform(fit_rows, KEEP)).withColumn("weight", weight)
-    matrix = matrix.select(*KEEP, "weight", "features").checkpoint()
+    matrix = stored(matrix.select(*KEEP, "weight", "features"), "train-matrix")
     if tune:
-        model, trials = search(matrix, draws, parallelism=spark.sparkContext.defaultParallelism // 2 or 1)
+        model, trials = search(matrix, draws)
         best = max(trials, key=lambda t: t["mean_auc"])
         chosen = {k: v for k, v in best.items() if k != "mean_auc"}
     else:

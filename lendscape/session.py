@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -36,8 +37,24 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def with_checkpoint_dir(spark: SparkSession) -> SparkSession:
-    """Make ``DataFrame.checkpoint()`` usable, keeping a folder the cluster already named."""
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return spark
+_STORED: list[str] = []
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate result to the shared folder and read it back.
+
+    For results that several branches of a job use: they are computed once, branches cannot
+    disagree, pruning works on what is read back, and a lost executor costs a read instead of the
+    whole lineage. ``drop_stored`` removes what a session has stored.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _STORED.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(spark: SparkSession) -> None:
+    while _STORED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
