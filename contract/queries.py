@@ -39,9 +39,10 @@ class Inputs:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = tune(spark), sf_dir
+        self.tables = sample.given(spark, sf_dir)
 
     def raw(self, relation: str) -> DataFrame:
-        return sample.raw(self.spark, self.sf_dir, relation)
+        return sample.raw(self.spark, self.tables, relation)
 
     @cached_property
     def loans(self) -> DataFrame:
@@ -491,12 +492,14 @@ def customer_overlap(i: Inputs) -> DataFrame:
 
 @query
 def fitted_medians(i: Inputs) -> DataFrame:
-    return encoding.medians(i.train_rows).select("feature", F.round("median", 6).alias("median"))
+    rows = stored(i.train_rows.select(*S.NUMERIC_FEATURES), "train-rows")
+    return encoding.medians(rows).select("feature", F.round("median", 6).alias("median"))
 
 
 @query
 def target_encoding_map(i: Inputs) -> DataFrame:
-    return encoding.target_encoding(i.train_rows).withColumn("encoded", F.round("encoded", 6))
+    rows = stored(i.train_rows.select("label", *S.CATEGORIES), "train-rows")
+    return encoding.target_encoding(rows).withColumn("encoded", F.round("encoded", 6))
 
 
 @query
@@ -578,7 +581,7 @@ def univariate_auc(i: Inputs) -> DataFrame:
 
 @query
 def leakage_audit(i: Inputs) -> DataFrame:
-    rows, fitted = i.fitted
+    rows, fitted = i.fitted  # also stores the feature store, which most checks read
     return audit.leakage_audit(i.store, i.tagged, fitted.transform(rows, ["label"]), i.clickstream)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lendscape import schemas as S
-from lendscape.operators.ranks import grouped_quantiles, histogram
+from lendscape.operators.ranks import bracketed, grouped_quantiles, histogram
 from lendscape.session import stored
 
 SMOOTHING = 20
@@ -17,9 +17,9 @@ BROADCAST_ROWS = 200_000
 
 
 def medians(rows: DataFrame, columns: Sequence[str] = S.NUMERIC_FEATURES) -> DataFrame:
-    """Exact median per column over its non-null values: rows (feature, median)."""
-    long = rows.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "feature", "value")
-    hist = histogram(long, ["feature"], "value", n=F.lit(1))
+    """Exact median per column over its non-null values: rows (feature, median). Store ``rows`` first."""
+    narrow = bracketed(rows.select(*[F.col(c).cast("double").alias(c) for c in columns]), columns, 0.5)
+    hist = histogram(narrow.unpivot([], list(columns), "feature", "value"), ["feature"], "value", n=F.lit(1))
     return grouped_quantiles(hist, ["feature"], "value", "n", [0.5]).select("feature", F.col("quantile").alias("median"))
 
 
@@ -30,7 +30,10 @@ def impute(rows: DataFrame, fitted: dict[str, float], keep: Sequence[str] = ())
 
 
 def target_encoding(rows: DataFrame, columns: Sequence[str] = S.CATEGORIES, smoothing: int = SMOOTHING) -> DataFrame:
-    """Label mean per category, pulled towards the overall mean by ``smoothing`` imaginary rows."""
+    """Label mean per category, pulled towards the overall mean by ``smoothing`` imaginary rows.
+
+    ``rows`` are read twice: store them first.
+    """
     overall = rows.agg(F.avg("label")).scalar()
     long = rows.select("label", *columns).unpivot("label", list(columns), "feature", "category")
     counts = long.groupBy("feature", "category").agg(F.sum("label").alias("bad"), F.count("*").alias("n"))

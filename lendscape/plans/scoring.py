@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lendscape.operators import drift
 from lendscape.plans.training import Trained
+from lendscape.session import scratch
 from lendscape.sources import layers
 
 THRESHOLD = 0.5
@@ -46,11 +47,12 @@ def write_predictions(scored: DataFrame, root: str) -> None:
 def write_monitoring(spark: SparkSession, root: str) -> DataFrame:
     """Monthly metrics of all stored predictions, as Parquet and as CSV.
 
-    One row per month: a single file each, and the CSV is copied from the Parquet just written.
+    One row per month; the CSV is copied from the Parquet just written.
     """
     stored = layers.read_table(spark, root, "gold", "model_predictions")
     path = layers.path_of(root, "gold", "model_monitoring")
-    drift.monthly_metrics(stored).coalesce(1).write.mode("overwrite").parquet(f"{path}/parquet")
+    with scratch(spark):
+        drift.monthly_metrics(stored).write.mode("overwrite").parquet(f"{path}/parquet")
     written = spark.read.parquet(f"{path}/parquet").orderBy("month")
-    written.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{path}/csv")
+    written.write.mode("overwrite").option("header", True).csv(f"{path}/csv")
     return written

@@ -20,7 +20,7 @@ from lendscape.functions import columns as C
 from lendscape.functions.dates import Windows
 from lendscape.operators import encoding
 from lendscape.operators.ranks import grouped_auc, histogram
-from lendscape.session import stored
+from lendscape.session import scratch, stored
 
 SPLIT_SEED = 88
 MODEL_SEED = 88
@@ -171,25 +171,28 @@ def train(
 ) -> Trained:
     """Fit preprocessing and model on the training split of a store with one row per loan.
 
-    The training rows and their matrix are stored: fitting passes over them many times.
+    The training rows and their matrix are stored while fitting, which passes over them many times.
+    The encoding map stays stored for as long as the model is in use.
     """
-    fit_rows = with_categories(with_split(store, windows).filter("split = 'train'"))
-    fit_rows = stored(fit_rows.select(*KEEP, *S.NUMERIC_FEATURES, *S.CATEGORIES), "train-rows")
-    balance = class_balance(fit_rows).first()
-    if balance.positives + balance.negatives == 0:
-        raise ValueError(f"no rows to train on between {windows.fit_start} and {windows.fit_end}")
-    preprocessing = encoding.fit(fit_rows)
-    weight = F.when(F.col("label") == 1, F.lit(balance.pos_weight)).otherwise(F.lit(1.0))
-    matrix = assembled(preprocessing.transform(fit_rows, KEEP)).withColumn("weight", weight)
-    matrix = stored(matrix.select(*KEEP, "weight", "features"), "train-matrix")
-    if tune:
-        model, trials = search(matrix, draws)
-        best = max(trials, key=lambda t: t["mean_auc"])
-        chosen = {k: v for k, v in best.items() if k != "mean_auc"}
-    else:
-        chosen, trials = {**DEFAULT_PARAMS, **(params or {})}, []
-        trees = booster()
-        model = trees.fit(matrix, param_map(trees, chosen))
+    spark = store.sparkSession
+    with scratch(spark, keep={"encoding"}):
+        fit_rows = with_categories(with_split(store, windows).filter("split = 'train'"))
+        fit_rows = stored(fit_rows.select(*KEEP, *S.NUMERIC_FEATURES, *S.CATEGORIES), "train-rows")
+        balance = class_balance(fit_rows).first()
+        if balance.positives + balance.negatives == 0:
+            raise ValueError(f"no rows to train on between {windows.fit_start} and {windows.fit_end}")
+        preprocessing = encoding.fit(fit_rows)
+        weight = F.when(F.col("label") == 1, F.lit(balance.pos_weight)).otherwise(F.lit(1.0))
+        matrix = assembled(preprocessing.transform(fit_rows, KEEP)).withColumn("weight", weight)
+        matrix = stored(matrix.select(*KEEP, "weight", "features"), "train-matrix")
+        if tune:
+            model, trials = search(matrix, draws)
+            best = max(trials, key=lambda t: t["mean_auc"])
+            chosen = {k: v for k, v in best.items() if k != "mean_auc"}
+        else:
+            chosen, trials = {**DEFAULT_PARAMS, **(params or {})}, []
+            trees = booster()
+            model = trees.fit(matrix, param_map(trees, chosen))
     return Trained(model, preprocessing, windows, chosen, balance.pos_weight, trials)
 
 

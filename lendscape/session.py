@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Collection, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,6 +16,9 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # A hot join key is split even where that costs a later join one more exchange.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Repairs cost far more per byte than Spark assumes, so small stages keep their parallelism.
+    # Large ones are unaffected: there a task's share of the data is above this floor anyway.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64KB",
     # Re-running a month replaces that month only.
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
@@ -37,7 +42,7 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-_STORED: list[str] = []
+_STORED: list[tuple[str, str]] = []
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -45,16 +50,29 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
     For results that several branches of a job use: they are computed once, branches cannot
     disagree, pruning works on what is read back, and a lost executor costs a read instead of the
-    whole lineage. ``drop_stored`` removes what a session has stored.
+    whole lineage. ``scratch`` and ``drop_stored`` remove what has been stored.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _STORED.append(path)
+    _STORED.append((name, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(spark: SparkSession) -> None:
-    while _STORED:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+def drop_stored(spark: SparkSession, since: int = 0, keep: Collection[str] = ()) -> None:
+    """Remove stored results from the ``since``-th on, but for those of the names to keep."""
+    doomed = [entry for entry in _STORED[since:] if entry[0] not in keep]
+    for entry in doomed:
+        path = spark._jvm.org.apache.hadoop.fs.Path(entry[1])
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _STORED.remove(entry)
+
+
+@contextmanager
+def scratch(spark: SparkSession, keep: Collection[str] = ()) -> Iterator[None]:
+    """A job whose result no longer needs what it stored on the way."""
+    since = len(_STORED)
+    try:
+        yield
+    finally:
+        drop_stored(spark, since, keep)

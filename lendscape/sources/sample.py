@@ -164,10 +164,12 @@ def sql(relation: str, dialect: Dialect) -> str:
     return RELATIONS[relation](dialect)
 
 
-def given(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+def given(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The tables the relations derive from, opened once."""
+    names = sorted({t for tables in SOURCES.values() for t in tables})
+    return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in names}
 
 
-def raw(spark: SparkSession, sf_dir: str, relation: str) -> DataFrame:
-    tables = {t: given(spark, sf_dir, t) for t in SOURCES[relation]}
-    return spark.sql(sql(relation, SPARK), **tables).select(*S.TABLES[relation])
+def raw(spark: SparkSession, tables: dict[str, DataFrame], relation: str) -> DataFrame:
+    used = {t: tables[t] for t in SOURCES[relation]}
+    return spark.sql(sql(relation, SPARK), **used).select(*S.TABLES[relation])

@@ -19,7 +19,7 @@ def raw(spark, tmp_path_factory):
     """The sample relations as CSV files, the way a feed delivers them."""
     root = tmp_path_factory.mktemp("raw")
     for table in S.TABLES:
-        sample.raw(spark, SF, table).coalesce(1).write.option("header", True).csv(f"{root}/{table}")
+        sample.raw(spark, sample.given(spark, SF), table).coalesce(1).write.option("header", True).csv(f"{root}/{table}")
     return {t: layers.read_raw(spark, f"{root}/{t}", t) for t in S.TABLES}
 
 

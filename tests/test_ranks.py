@@ -77,6 +77,25 @@ def test_quantiles_without_groups_and_of_copies(spark):
     assert {r.prob: r.quantile for r in got} == {0.5: 7.0, 1.0: 9.0}
 
 
+@pytest.mark.parametrize("n", [1, 2, 7, 10, 49, 5000])
+def test_bracketed_median_is_exact(spark, n):
+    rng = np.random.default_rng(n)
+    holes = [None if rng.random() < 0.3 else float(x) for x in rng.normal(size=n)]
+    tied = [float(x) for x in rng.choice([0, 0, 0, 5, 9], size=n)]
+    steep = [float(x) for x in np.exp(rng.normal(size=n) * 4)]
+    df = spark.createDataFrame(list(zip(holes, tied, steep, [None] * n, strict=True)), "holes double, tied double, steep double, empty double")
+    got = {r.feature: r.median for r in encoding.medians(df, df.columns).collect()}
+    expected = {"tied": np.median(tied), "steep": np.median(steep)}
+    if any(h is not None for h in holes):
+        expected["holes"] = np.median([h for h in holes if h is not None])
+    assert got == pytest.approx(expected, abs=1e-12)
+
+
+def test_bracket_keeps_few_values(spark):
+    df = spark.range(100_000).select(F.col("id").cast("double").alias("x"))
+    assert ranks.bracketed(df, ["x"], 0.5).distinct().count() < 3000
+
+
 def brute_psi(expected, actual, bins=10):
     edges = np.unique(np.round(np.quantile(expected, np.linspace(0, 1, bins + 1)), 9))
     inner = edges[1:-1]
