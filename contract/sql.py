@@ -485,7 +485,6 @@ ANSWERS: dict[str, str] = {
             extra=f", {half_up('sum(Delay_from_due_date)', 'count(*)', 2)} as Avg_Delay_Days",
         ),
     ),
-    "bad_rate_by_salary_bucket": "",
     "bad_rate_by_loan_type": with_needs(
         ["financials", "flags"],
         by(

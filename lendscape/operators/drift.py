@@ -38,7 +38,7 @@ def inner_edges(hist: DataFrame, bins: int = BINS) -> DataFrame:
     move scores that tie with an edge.
     """
     base = hist.withColumn("_baseline", baseline_month(hist).scalar()).filter("month = _baseline")
-    edges = grouped_quantiles(base.drop("_baseline"), [], "score", "n", [k / bins for k in range(bins + 1)])
+    edges = grouped_quantiles(base.drop("_baseline"), ["month"], "score", "n", [k / bins for k in range(bins + 1)])
     ordered = F.array_sort(F.collect_set(F.round("quantile", 9)))
     return edges.agg(F.slice(ordered, 2, F.greatest(F.size(ordered) - 2, F.lit(0))).alias("edges"))
 

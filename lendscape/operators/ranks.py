@@ -81,8 +81,8 @@ def grouped_quantiles(hist: DataFrame, by: Sequence[str], value: str, weight: st
 
     First pass: cell totals tell which value range holds each wanted order statistic. Second pass:
     only rows of those ranges are put in order. Ranges are passed on as values, not slice numbers,
-    so the passes need not agree on the cuts. ``by`` must name a bounded set (features, splits, or
-    nothing): the ranges, two per group and probability, are broadcast.
+    so the passes need not agree on the cuts. ``by`` must name a bounded set (features, splits, one
+    month): the ranges, two per group and probability, are broadcast.
     """
     cells = (
         with_slice(hist, value)
@@ -90,28 +90,24 @@ def grouped_quantiles(hist: DataFrame, by: Sequence[str], value: str, weight: st
         .agg(F.sum(weight).alias("_n"), F.min(value).alias("_low"), F.max(value).alias("_high"))
     )
     # At most SLICES rows per group from here on.
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    group = Window.partitionBy(*by)
     placed = cells.select(
         "*",
         (F.sum("_n").over(group.orderBy("_slice")) - F.col("_n")).alias("_before"),
         F.sum("_n").over(group).alias("_total"),
     )
-    position = F.col("prob") * (F.col("_total") - 1)
     wanted = (
         placed.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
-        .withColumn("_position", position)
+        .withColumn("_position", F.col("prob") * (F.col("_total") - 1))
         .withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_position"), F.ceil("_position")))))
         .filter((F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_before") + F.col("_n")))
         .select(*by, "prob", "_position", "_rank", "_before", "_low", "_high")
     )
-    in_range = [F.col(f"h.{c}") == F.col(f"w.{c}") for c in by] + [F.col(f"h.{value}").between(F.col("_low"), F.col("_high"))]
-    condition = in_range[0]
-    for term in in_range[1:]:
-        condition = condition & term
-    found = hist.alias("h").join(F.broadcast(wanted.alias("w")), condition).select(
-        *[F.col(f"h.{c}") for c in by], F.col(f"h.{value}"), F.col(f"h.{weight}").alias("_w"),
-        "prob", "_position", "_rank", "_before",
-    )
+    found = (
+        hist.select(*by, value, F.col(weight).alias("_w"))
+        .join(F.broadcast(wanted), on=list(by))
+        .filter(F.col(value).between(F.col("_low"), F.col("_high")))
+    )
     order = Window.partitionBy(*by, "prob", "_rank").orderBy(value)
     upto = F.col("_before") + F.sum("_w").over(order)
     hit = found.withColumn("_upto", upto).filter(

@@ -48,8 +48,7 @@ def quantile_buckets(hist: DataFrame, by: Sequence[str], value: str, weight: str
         .groupBy(*by)
         .agg(F.array_sort(F.collect_set(F.round("quantile", 9))).alias("_edges"))
     )
-    bound = F.broadcast(edges)
-    joined = hist.join(bound, on=list(by), how="left") if by else hist.withColumn("_edges", edges.scalar())
+    joined = hist.join(F.broadcast(edges), on=list(by), how="left")
     number = F.size(F.filter("_edges", lambda e: e <= F.col(value)))
     return joined.withColumn("bucket", number).drop("_edges")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from contract import queries as Q
 from lendscape import schemas as S
+from lendscape import session
 from lendscape.functions.dates import month_starts, training_windows
 from lendscape.plans import audit, scoring, training
 from lendscape.sources import bank, layers, sample
@@ -97,6 +98,7 @@ def trained(spark, backfilled):
 
 def test_scores_are_probabilities_and_repeat(spark, trained):
     store, model = trained
+    assert not {"train-rows", "train-matrix"} & {name for name, _ in session._STORED}
     scored = scoring.predictions(store, model)
     low, high, n = scored.agg(F.min("model_predict_proba"), F.max("model_predict_proba"), F.count("*")).first()
     assert 0 <= low <= high <= 1 and n == store.count()

@@ -71,9 +71,9 @@ def test_quantiles_match_numpy(spark, seed):
         assert [got[g, p] for p in probs] == pytest.approx(list(np.quantile(values, probs)), abs=1e-9)
 
 
-def test_quantiles_without_groups_and_of_copies(spark):
-    df = spark.createDataFrame([(7,)] * 50 + [(9,)], "v int")
-    got = ranks.grouped_quantiles(ranks.histogram(df, [], "v"), [], "v", "n", [0.5, 1.0]).collect()
+def test_quantiles_of_copies(spark):
+    df = spark.createDataFrame([("g", 7)] * 50 + [("g", 9)], "g string, v int")
+    got = ranks.grouped_quantiles(ranks.histogram(df, ["g"], "v"), ["g"], "v", "n", [0.5, 1.0]).collect()
     assert {r.prob: r.quantile for r in got} == {0.5: 7.0, 1.0: 9.0}
 
 
