@@ -15,7 +15,7 @@ from lendscape import schemas as S
 from lendscape.functions import columns as C
 from lendscape.functions.dates import month_calendar, month_starts, training_windows
 from lendscape.operators import drift, encoding, profiling, rates
-from lendscape.operators.ranks import grouped_auc, histogram
+from lendscape.operators.ranks import grouped_auc
 from lendscape.plans import audit, gold, scoring, silver, training
 from lendscape.session import shared_folder, stored, tune
 from lendscape.sources import bank, layers, sample

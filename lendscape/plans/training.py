@@ -122,7 +122,9 @@ def draw_params(draws: int, grid: dict = SEARCH_GRID, seed: int = SEARCH_SEED) -
     return [dict(zip(grid, p, strict=True)) for p in picked]
 
 
-def search(train: DataFrame, draws: int = SEARCH_DRAWS, parallelism: int = SEARCH_PARALLELISM, grid: dict = SEARCH_GRID) -> tuple[Model, list[dict]]:
+def search(
+    train: DataFrame, draws: int = SEARCH_DRAWS, parallelism: int = SEARCH_PARALLELISM, grid: dict = SEARCH_GRID
+) -> tuple[Model, list[dict]]:
     """Cross-validated random search by AUC; the best draw is refitted on all training rows."""
     points = draw_params(draws, grid)
     trees = booster()
@@ -200,9 +202,7 @@ def evaluate(trained: Trained, store: DataFrame) -> DataFrame:
     """Rows, bad rate, AUC and Gini per split."""
     tagged = with_split(store, trained.windows)
     scored = trained.score(tagged, [*KEEP, "split"])
-    hist = histogram(
-        scored, ["split"], "model_predict_proba", pos=F.col("label"), neg=1 - F.col("label")
-    )
+    hist = histogram(scored, ["split"], "model_predict_proba", pos=F.col("label"), neg=1 - F.col("label"))
     auc = grouped_auc(hist, ["split"], "model_predict_proba")
     n = F.col("pos") + F.col("neg")
     return auc.select(

@@ -48,7 +48,8 @@ def test_auc_laws(spark):
 
 
 def test_auc_edges(spark):
-    rows = [("one class", 0.1, 1), ("one class", 0.2, 1), ("tied", 0.5, 1), ("tied", 0.5, 0), ("perfect", 0.1, 0), ("perfect", 0.9, 1)]
+    rows = [("one class", 0.1, 1), ("one class", 0.2, 1), ("tied", 0.5, 1), ("tied", 0.5, 0)]
+    rows += [("perfect", 0.1, 0), ("perfect", 0.9, 1)]
     assert auc_of(spark, rows) == {"one class": None, "tied": 0.5, "perfect": 1.0}
     assert auc_of(spark, []) == {}
 
@@ -83,7 +84,8 @@ def test_bracketed_median_is_exact(spark, n):
     holes = [None if rng.random() < 0.3 else float(x) for x in rng.normal(size=n)]
     tied = [float(x) for x in rng.choice([0, 0, 0, 5, 9], size=n)]
     steep = [float(x) for x in np.exp(rng.normal(size=n) * 4)]
-    df = spark.createDataFrame(list(zip(holes, tied, steep, [None] * n, strict=True)), "holes double, tied double, steep double, empty double")
+    rows = list(zip(holes, tied, steep, [None] * n, strict=True))
+    df = spark.createDataFrame(rows, "holes double, tied double, steep double, empty double")
     got = {r.feature: r.median for r in encoding.medians(df, df.columns).collect()}
     expected = {"tied": np.median(tied), "steep": np.median(steep)}
     if any(h is not None for h in holes):
@@ -136,12 +138,12 @@ def test_baseline_falls_back_to_the_earliest_month(spark):
 
 
 def test_drift_verdict_reads_the_latest_month(spark):
-    table = spark.createDataFrame([(date(2024, 1, 1), 0.3), (date(2024, 2, 1), 0.1), (date(2024, 3, 1), None)], "month date, psi_vs_baseline double")
+    rows = [(date(2024, 1, 1), 0.3), (date(2024, 2, 1), 0.1), (date(2024, 3, 1), None)]
+    table = spark.createDataFrame(rows, "month date, psi_vs_baseline double")
     row = drift.drift_verdict(table).first()
     assert (row.month, row.verdict) == (date(2024, 2, 1), "MODERATE DRIFT -> monitor closely")
-    assert [r[0].split(" ")[0] for r in spark.range(3).select(drift.drift_class(F.element_at(F.array(F.lit(0.25), F.lit(0.2), F.lit(0.0)), (F.col("id") + 1).cast("int")))).collect()] == [
-        "MAJOR", "MODERATE", "STABLE",
-    ]
+    classes = spark.createDataFrame([(0.25,), (0.2499,), (0.0999,)], "psi double").select(drift.drift_class(F.col("psi")))
+    assert [r[0].split(" ")[0] for r in classes.collect()] == ["MAJOR", "MODERATE", "STABLE"]
 
 
 def test_correlation_drops_constants_and_matches_numpy(spark):

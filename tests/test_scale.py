@@ -91,7 +91,8 @@ def test_labels_read_and_shuffle_loans_once(spark):
 
 
 def test_all_correlations_come_from_one_pass(spark):
-    df = stored(spark.range(500).select(*[(F.col("id") * k % 7).alias(f"f{k}") for k in range(1, 5)], (F.col("id") % 2).cast("int").alias("isDefault")), "corr")
+    features = [(F.col("id") * k % 7).alias(f"f{k}") for k in range(1, 5)]
+    df = stored(spark.range(500).select(*features, (F.col("id") % 2).cast("int").alias("isDefault")), "corr")
     plan = executed(rates.rank_by_correlation(df, [f"f{k}" for k in range(1, 5)]))
     assert plan.count("FileScan") == 1
 
