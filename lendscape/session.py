@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Collection, Iterator
 from contextlib import contextmanager
@@ -31,15 +30,40 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a scratch one for local runs only."""
+    """The folder the session names for intermediate data: ``spark.checkpoint.dir``, else its warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    made = tempfile.mkdtemp(prefix="lendscape-")
-    spark.sparkContext.setCheckpointDir(made)
-    return spark.sparkContext.getCheckpointDir()
+    return (named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch").rstrip("/")
+
+
+class Workspace:
+    """A job's own folder below the shared one. What it stores is its own, and so is what it removes.
+
+    ``store`` writes an intermediate result and reads it back: it is computed once, branches that
+    read it cannot disagree, and a lost executor costs a read instead of the whole lineage.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def folder(self, name: str) -> str:
+        return f"{self.path}/{name}"
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(self.folder(name))
+        return self.spark.read.schema(df.schema).parquet(self.folder(name))
+
+    def drop(self, *names: str) -> None:
+        """Remove single results that nothing reads any more."""
+        for name in names:
+            self._delete(self.folder(name))
+
+    def remove(self) -> None:
+        self._delete(self.path)
+
+    def _delete(self, path: str) -> None:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 _STORED: list[tuple[str, str]] = []
