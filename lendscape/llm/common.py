@@ -62,13 +62,17 @@ def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), path
 
 
-def write_file(path: str, data: bytes, attempt: str) -> None:
-    """Write under a name of this attempt, then rename: a file is whole or absent, whoever retries."""
+def write_file(path: str, data: bytes) -> None:
     fs, at = filesystem(path)
     fs.create_dir(at.rpartition("/")[0], recursive=True)
-    with fs.open_output_stream(f"{at}.{attempt}") as out:
+    with fs.open_output_stream(at) as out:
         out.write(data)
-    fs.move(f"{at}.{attempt}", at)
+
+
+def read_file(path: str) -> bytes:
+    fs, at = filesystem(path)
+    with fs.open_input_stream(at) as source:
+        return source.read()
 
 
 def read_range(path: str, offset: int, length: int) -> bytes:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lendscape.llm import common, mixing, sharding, simhash
+from lendscape.llm import common, fertility, language, mixing, packing, pii, sharding, simhash, token_ids
 from lendscape.session import Workspace
 
 
@@ -12,13 +12,39 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark, common.table(spark, sf_dir, "documents"), Workspace(spark, "simhash"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(spark, common.table(spark, sf_dir, "documents"), Workspace(spark, "pii"))
+
+
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids.round_trip(spark, common.table(spark, sf_dir, "documents"), Workspace(spark, "token-ids"))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(spark, common.table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(spark, common.table(spark, sf_dir, "documents"), Workspace(spark, "mixing"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fertility.judge(spark, common.table(spark, sf_dir, "documents"), Workspace(spark, "fertility"))
+    return rows.select("doc_id", *fertility.COUNTS, "base_failed", "kept", *fertility.MEASURES)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark, common.table(spark, sf_dir, "documents"), Workspace(spark, "packing"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(spark, common.table(spark, sf_dir, "documents"), ws=Workspace(spark, "sharding"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op6_mixing, op10_sharding)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_simhash, op2_pii, op4_token_ids, op5_language, op6_mixing, op7_fertility, op9_packing, op10_sharding,
+    )
+}
