@@ -65,13 +65,13 @@ def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
 def write_file(path: str, data: bytes) -> None:
     fs, at = filesystem(path)
     fs.create_dir(at.rpartition("/")[0], recursive=True)
-    with fs.open_output_stream(at) as out:
+    with fs.open_output_stream(at, compression=None) as out:
         out.write(data)
 
 
 def read_file(path: str) -> bytes:
     fs, at = filesystem(path)
-    with fs.open_input_stream(at) as source:
+    with fs.open_input_stream(at, compression=None) as source:
         return source.read()
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lendscape.llm import common, fertility, language, mixing, packing, pii, sharding, simhash, token_ids
+from lendscape.llm import common, embeddings, fertility, language, mixing, packing, pii, sharding, simhash, token_ids, warc
 from lendscape.session import Workspace
 
 
@@ -16,6 +16,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(spark, common.table(spark, sf_dir, "documents"), Workspace(spark, "pii"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spark, common.table(spark, sf_dir, "pages"), Workspace(spark, "warc"))
+
+
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids.round_trip(spark, common.table(spark, sf_dir, "documents"), Workspace(spark, "token-ids"))
 
@@ -34,6 +38,10 @@ def op7_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *fertility.COUNTS, "base_failed", "kept", *fertility.MEASURES)
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(spark, common.table(spark, sf_dir, "embeddings"), Workspace(spark, "embeddings"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, common.table(spark, sf_dir, "documents"), Workspace(spark, "packing"))
 
@@ -45,6 +53,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_simhash, op2_pii, op4_token_ids, op5_language, op6_mixing, op7_fertility, op9_packing, op10_sharding,
+        op1_simhash, op2_pii, op3_warc, op4_token_ids, op5_language, op6_mixing, op7_fertility, op8_embeddings, op9_packing,
+        op10_sharding,
     )
 }
