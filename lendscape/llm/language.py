@@ -172,8 +172,8 @@ def prototypes(docs: DataFrame) -> list[tuple[str, np.ndarray]]:
     return out
 
 
-def predicted(docs: DataFrame, learnt: list[tuple[str, np.ndarray]]) -> DataFrame:
-    """All columns, with ``lang_pred`` and ``score`` (the cosine, 0 where negative); only ``text`` decides.
+def predictor(learnt: list[tuple[str, np.ndarray]]):
+    """A column function of the text: ``lang_pred`` and ``score`` (the cosine, 0 where negative).
 
     ``und`` with score 0 if the text is null or has no letter, or nothing was learnt. Of equal cosines the
     first language in code-point order counts.
@@ -198,7 +198,7 @@ def predicted(docs: DataFrame, learnt: list[tuple[str, np.ndarray]]) -> DataFram
                 scores.append(min(1.0, max(0.0, float(row[best]))) if norm else 0.0)
         return pd.DataFrame({"lang_pred": langs, "score": scores})
 
-    return docs.withColumn("_p", predict("text")).select(*docs.columns, "_p.lang_pred", "_p.score")
+    return predict
 
 
 def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -207,14 +207,15 @@ def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:
     Rows without a doc_id are never held out; repeated rows are predicted each; other columns are ignored.
     """
     common.small_batches(spark)
-    rows = docs.select("doc_id", "text")
-    out = predicted(rows, prototypes(docs.select("doc_id", "text", "lang")))
+    predict = predictor(prototypes(docs.select("doc_id", "text", "lang")))
+    out = docs.select("doc_id", predict("text").alias("p"))
     rest = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
-    return out.select("doc_id", rest.alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", rest.alias("held_out"), "p.lang_pred", "p.score")
 
 
 def accepted(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The documents with a language: those without a letter go. All columns stay as they are."""
     common.small_batches(spark)
-    out = predicted(docs, prototypes(docs.select("doc_id", "text", "lang")))
-    return out.filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    predict = predictor(prototypes(docs.select("doc_id", "text", "lang")))
+    name = common.fresh(docs, "_p")
+    return docs.withColumn(name, predict("text")).filter(F.col(name)["lang_pred"] != UNKNOWN).select(*docs.columns)

@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lendscape.llm import common
@@ -25,11 +25,18 @@ GOLDEN = 0.6180339887498949
 ROWS_PER_CELL = 2048
 
 
+def source_key() -> Column:
+    """Sorts by code point, null last."""
+    return F.coalesce(F.concat(F.lit("="), "source"), F.lit("~"))
+
+
+def shuffle_draw() -> Column:
+    return common.draw(F.lit("mix"), F.col("doc_id"), F.md5(F.coalesce("text", F.lit(""))))
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source key, size and the draw that shuffles; a key sorts by code point, null last."""
-    key = F.coalesce(F.concat(F.lit("="), "source"), F.lit("~"))
-    drawn = common.draw(F.lit("mix"), F.col("doc_id"), F.md5(F.coalesce("text", F.lit(""))))
-    return docs.select("doc_id", key.alias("key"), common.n_words("text").alias("size"), drawn.alias("draw"))
+    """doc_id, source key, size and the draw that shuffles."""
+    return docs.select("doc_id", source_key().alias("key"), common.n_words("text").alias("size"), shuffle_draw().alias("draw"))
 
 
 def targets(rows: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
@@ -124,3 +131,22 @@ def mix(
     got = spans.join(taken, ["key", "block"]).groupBy("key", "_cell", "_nth").agg(F.sum(part).alias("taken"))
     out = placed.join(got, ["key", "_cell", "_nth"], "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "key", "draw")
+
+
+def mixture(spark: SparkSession, docs: DataFrame, ws: Workspace, **how) -> DataFrame:
+    """The documents of the mix: each as often as it is taken, none where it is not. Columns stay as they are.
+
+    A source's cut falls inside one document at most; that one counts as whole from half of its words on.
+    Repeated rows share what they are taken evenly.
+    """
+    times = F.round(F.sum(F.col("taken") / F.col("size")) / F.count("*")).cast("int")
+    identity = ("_mix_id", "_mix_key", "_mix_draw")
+    taken = mix(spark, docs, ws, **how).filter("taken > 0")
+    named = taken.select(
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_mix_id"), F.col("key").alias("_mix_key"),
+        F.col("draw").alias("_mix_draw"), "taken", "size",
+    )
+    copies = named.groupBy(*identity).agg(times.alias("_mix_times")).filter("_mix_times > 0")
+    same = dict(zip(identity, (F.coalesce(F.col("doc_id").cast("string"), F.lit("")), source_key(), shuffle_draw()), strict=True))
+    joined = docs.withColumns(same).join(copies, list(identity))
+    return joined.withColumn("_mix_nth", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(*docs.columns)

@@ -200,8 +200,8 @@ def general(term: str) -> str:
     return "[name]" if term[:1].isupper() else "[word]"
 
 
-def _marked(docs: DataFrame, terms: dict[str, float]) -> DataFrame:
-    """Adds to ``_marks`` where the terms are: start, end and what becomes of it (g or r)."""
+def _marked(docs: DataFrame, terms: dict[str, float], name: str) -> DataFrame:
+    """Adds to the column ``name`` where the terms are: start, end and what becomes of it (g or r)."""
 
     @F.pandas_udf("string")
     def mark(texts, marks):
@@ -214,21 +214,21 @@ def _marked(docs: DataFrame, terms: dict[str, float]) -> DataFrame:
             out.append(",".join([had, *more] if had else more))
         return pd.Series(out)
 
-    return docs.withColumn("_marks", mark("text", "_marks"))
+    return docs.withColumn(name, mark("text", name))
 
 
-def with_marks(docs: DataFrame, terms: DataFrame, ws: Workspace) -> DataFrame:
+def with_marks(docs: DataFrame, terms: DataFrame, ws: Workspace, name: str) -> DataFrame:
     """Marks the terms, TERMS_SENT of them at a time: a task never holds more. One pass is the rule; where it
     takes several, each writes its result for the next."""
-    marked = docs.withColumn("_marks", F.lit(""))
+    marked = docs.withColumn(name, F.lit(""))
     part: dict[str, float] = {}
     passes = 0
     for row in terms.toLocalIterator():
         part[row["term"]] = row["share"]
         if len(part) == TERMS_SENT:
             passes += 1
-            marked, part = ws.store(_marked(marked, part), f"marked-{passes}"), {}
-    return _marked(marked, part) if part else marked
+            marked, part = ws.store(_marked(marked, part, name), f"marked-{passes}"), {}
+    return _marked(marked, part, name) if part else marked
 
 
 def sanitised(text: str, base: list[Span], marks: list[tuple[int, int, str]]) -> str:
@@ -250,8 +250,8 @@ def _joined(spans: list[Span]) -> str:
 FOUND = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, clean_text string"
 
 
-def found(docs: DataFrame, terms: DataFrame, ws: Workspace) -> DataFrame:
-    """All columns and what was found: counts, the digest of the base spans, all spans, the sanitised text.
+def with_findings(docs: DataFrame, terms: DataFrame, ws: Workspace, name: str) -> DataFrame:
+    """Adds a struct ``name``: counts, the digest of the base spans, all spans, the sanitised text.
 
     ``clean_text`` is null where nothing was found. A term inside a base span is part of that span.
     """
@@ -274,8 +274,9 @@ def found(docs: DataFrame, terms: DataFrame, ws: Workspace) -> DataFrame:
             rows.append((*(kinds[k] for k in KINDS), digest, _joined(every), sanitised(text, base, free) if every else None))
         return pd.DataFrame(rows, columns=fields)
 
-    marked = with_marks(docs, terms, ws).withColumn("_f", scan("text", "_marks"))
-    return marked.select(*docs.columns, *[F.col(f"_f.{c}").alias(c) for c in fields])
+    marks = common.fresh(docs, "_marks")
+    marked = with_marks(docs, terms, ws, marks)
+    return marked.select(*docs.columns, scan("text", marks).alias(name))
 
 
 def find(spark: SparkSession, docs: DataFrame, ws: Workspace) -> DataFrame:
@@ -285,8 +286,8 @@ def find(spark: SparkSession, docs: DataFrame, ws: Workspace) -> DataFrame:
     """
     common.small_batches(spark)
     terms = ws.store(disclosing_terms(docs, ws), "terms")
-    rows = found(docs.select("doc_id", "text"), terms, ws)
-    return rows.select("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", "spans")
+    rows = with_findings(docs.select("doc_id", "text"), terms, ws, "f")
+    return rows.select("doc_id", *[f"f.n_{k}" for k in KINDS], "f.base_sha256", "f.spans")
 
 
 def cleaned(spark: SparkSession, docs: DataFrame, ws: Workspace) -> DataFrame:
@@ -296,9 +297,10 @@ def cleaned(spark: SparkSession, docs: DataFrame, ws: Workspace) -> DataFrame:
     """
     common.small_batches(spark)
     terms = ws.store(disclosing_terms(docs, ws), "terms")
-    rows = found(docs, terms, ws).withColumn("text", F.coalesce("clean_text", "text"))
+    name = common.fresh(docs, "_f")
+    clean = F.col(name)["clean_text"]
+    out = {"text": F.coalesce(clean, "text").alias("text")}
     if "n_chars" in docs.columns:
-        changed = F.col("clean_text").isNotNull()
         kind = docs.schema["n_chars"].dataType
-        rows = rows.withColumn("n_chars", F.when(changed, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+        out["n_chars"] = F.when(clean.isNotNull(), F.char_length(clean).cast(kind)).otherwise(F.col("n_chars")).alias("n_chars")
+    return with_findings(docs, terms, ws, name).select(*[out.get(c, F.col(c)) for c in docs.columns])

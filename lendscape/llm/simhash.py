@@ -184,7 +184,16 @@ def near_duplicates(
 
 
 def survivors(spark: SparkSession, docs: DataFrame, ws: Workspace) -> DataFrame:
-    """The documents that stay: of each component the one that names it, once. A row without a doc_id stays."""
+    """The documents that stay: of each component the one whose doc_id names it. A row without a doc_id stays.
+
+    doc_id names a document; rows that repeat a doc_id and its text are one, rows that repeat a doc_id with
+    another text stay or go together.
+    """
     found = near_duplicates(spark, docs, ws)
     gone = ws.store(found.filter("doc_id != component_id").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti")
+    repeated = ws.store(found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "repeated")
+    kept = docs.join(gone, "doc_id", "left_anti")
+    if repeated.isEmpty():
+        return kept.select(*docs.columns)
+    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
