@@ -1,3 +1,49 @@
-"""DuckDB answers to the registered queries that SQL can express."""
+"""DuckDB answers to the registered queries that SQL can express.
 
-ANSWERS: dict[str, str] = {}
+None for SimHash, personal data, token ids, language, fertility and packing: XXH64, CRC-32, spans with
+checks, tokenisers and learnt vectors are beyond it. Their tests compare with brute force.
+"""
+
+WARC = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+h AS (SELECT d, n, max(page_id) AS head FROM p WHERE n >= 1000 GROUP BY d, n)
+SELECT page_id, p.n AS payload_bytes, p.d AS payload_digest,
+  CASE WHEN page_id <> head THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id <> head THEN head END AS refers_to
+FROM p LEFT JOIN h ON p.d = h.d AND p.n = h.n
+"""
+
+MIXING = r"""
+WITH s AS (
+  SELECT doc_id, source AS src, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+    CAST('0x' || substr(md5('mix|' || doc_id || '|' || md5(coalesce(text, ''))), 1, 13) AS BIGINT) AS draw
+  FROM documents),
+g AS (SELECT src, sum(size) AS total, row_number() OVER (ORDER BY src NULLS LAST) - 1 AS nth FROM s GROUP BY src),
+w AS (SELECT *, CAST([5, 2, 1][nth % 3 + 1] AS DOUBLE) AS weight, 3.0 * CAST(total AS DOUBLE) AS cap FROM g),
+l AS (
+  SELECT *, (CAST(sum(total) OVER () AS DOUBLE) - coalesce(sum(cap) OVER before, 0))
+    / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
+  FROM w WINDOW before AS (ORDER BY cap / weight, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT src, total, least(cap, max(level) OVER () * weight) AS target FROM l),
+q AS (
+  SELECT s.*, t.total, t.target, CAST(round(t.target) AS BIGINT) AS quota,
+    sum(size) OVER (PARTITION BY s.src ORDER BY draw, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS begins
+  FROM s JOIN t ON s.src IS NOT DISTINCT FROM t.src)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(total AS BIGINT) AS source_size, target,
+  CAST(CASE WHEN total = 0 THEN 0 ELSE quota // total * size + greatest(0, least(begins + size, quota % total) - begins) END AS BIGINT) AS taken
+FROM q
+"""
+
+EMBEDDINGS = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+fit AS (SELECT * FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+  AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM fit a JOIN fit b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id, vec_id AS r FROM v UNION SELECT reach.vec_id, links.y FROM reach JOIN links ON reach.r = links.x),
+c AS (SELECT vec_id, min(r) AS component_id FROM reach GROUP BY vec_id),
+n AS (SELECT x AS vec_id, count(*) AS n_links FROM links GROUP BY x)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
+"""
+
+ANSWERS: dict[str, str] = {"op3_warc": WARC, "op6_mixing": MIXING, "op8_embeddings": EMBEDDINGS}
