@@ -23,12 +23,9 @@ from lendscape.sources import bank, layers, sample
 SNAPSHOT = date(2001, 1, 1)
 RUN_MONTH = date(2000, 1, 1)
 AS_OF = "01-11-2026"
-# The months the sample's loans run over: applications, and up to seven months on book.
-MONTHS = month_starts(date(1995, 1, 1), date(2002, 6, 1))
 WINDOW = (date(1996, 1, 1), date(2000, 12, 1))
 COMPLETED_BEFORE = date(2001, 1, 1)
 FINAL_INSTALLMENT = 7
-SEARCH_TRIAL_DRAWS = 2
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -76,8 +73,8 @@ class Inputs:
     def train_rows(self) -> DataFrame:
         return training.with_categories(self.tagged).filter("split = 'train'")
 
-    def flagged(self, table: DataFrame, *columns: str) -> DataFrame:
-        return rates.with_default_flag(table.select("Customer_ID", *columns), rates.latest_default_flag(self.loans))
+    def flagged(self, table: DataFrame, *columns: str, counted: bool = True) -> DataFrame:
+        return rates.with_default_flag(table.select("Customer_ID", *columns), rates.latest_default_flag(self.loans), counted)
 
     @cached_property
     def predictions(self) -> DataFrame:
@@ -95,6 +92,14 @@ class Inputs:
         rows = stored(self.train_rows.select(*columns), "train-rows")
         return rows, encoding.fit(rows)
 
+    @cached_property
+    def months(self) -> list[date]:
+        """Every month from the first to the last of any raw relation."""
+        day = F.col("snapshot_date").try_cast("date")
+        spans = [self.raw(t).agg(F.min(day).alias("low"), F.max(day).alias("high")) for t in S.TABLES]
+        low, high = layers.append_months(spans).agg(F.min("low"), F.max("high")).first()
+        return month_starts(low, high) if low else []
+
     def workspace(self, name: str) -> str:
         return f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -130,7 +135,7 @@ def query(fn: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame]:
 @query
 def snapshot_ingest(i: Inputs) -> DataFrame:
     """All months of the loan book, selected in one pass."""
-    return layers.of_months(i.raw("loans"), MONTHS)
+    return layers.of_months(i.raw("loans"), i.months)
 
 
 @query
@@ -442,7 +447,7 @@ def table_preview(i: Inputs) -> DataFrame:
 
 
 def _correlations(i: Inputs) -> DataFrame:
-    return rates.rank_by_correlation(i.flagged(i.clickstream, *S.CLICK_FEATURES), S.CLICK_FEATURES)
+    return rates.rank_by_correlation(i.flagged(i.clickstream, *S.CLICK_FEATURES, counted=False), S.CLICK_FEATURES)
 
 
 def _rounded(ranking: DataFrame) -> DataFrame:
@@ -507,7 +512,7 @@ def target_encode_apply(i: Inputs) -> DataFrame:
     """Encode all rows of all splits with the map of the training split."""
     _, fitted = i.fitted
     rows = training.with_categories(i.tagged).select("loan_id", "split", *S.CATEGORIES)
-    encoded = encoding.apply_encoding(rows, fitted.encoding, F.lit(fitted.overall), size=fitted.encoding_rows)
+    encoded = encoding.apply_encoding(rows, fitted.encoding, F.lit(fitted.overall))
     return encoded.select("loan_id", "split", *[F.round(c, 6).alias(c) for c in S.ENCODED_FEATURES])
 
 
@@ -592,7 +597,7 @@ def leakage_audit(i: Inputs) -> DataFrame:
 def bronze_roundtrip(i: Inputs) -> DataFrame:
     """Land all months of a source by month and read them back."""
     root = i.workspace("bronze")
-    layers.land_bronze(i.raw("financials"), root, "financials", MONTHS)
+    layers.land_bronze(i.raw("financials"), root, "financials", i.months)
     return layers.read_table(i.spark, root, "bronze", "financials").select(*S.FINANCIALS)
 
 
@@ -608,7 +613,7 @@ def csv_scan(i: Inputs) -> DataFrame:
 def backfill_store(i: Inputs) -> DataFrame:
     """Bronze, silver and gold for all months through files, then the store read back."""
     root = i.workspace("backfill")
-    layers.run_backfill(i.spark, {t: i.raw(t) for t in S.TABLES}, root, MONTHS)
+    layers.run_backfill(i.spark, {t: i.raw(t) for t in S.TABLES}, root, i.months)
     return layers.read_table(i.spark, root, "gold", "label_store").select(*S.STORE_COLUMNS)
 
 
@@ -652,8 +657,8 @@ def train_fixed(i: Inputs) -> DataFrame:
 
 @query
 def train_search(i: Inputs) -> DataFrame:
-    """Cross-validated AUC of each draw; a few draws of the grid, over all training rows."""
-    trained = training.train(i.store, i.windows, tune=True, draws=SEARCH_TRIAL_DRAWS)
+    """Cross-validated AUC of each draw, over all training rows."""
+    trained = training.train(i.store, i.windows, tune=True)
     return i.spark.createDataFrame(
         [{**{k: float(v) for k, v in t.items()}} for t in trained.trials],
         ", ".join(f"{k} double" for k in [*training.SEARCH_GRID, "mean_auc"]),

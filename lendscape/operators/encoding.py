@@ -10,10 +10,9 @@ from pyspark.sql import functions as F
 
 from lendscape import schemas as S
 from lendscape.operators.ranks import bracketed, grouped_quantiles, histogram
-from lendscape.session import stored
+from lendscape.session import outliving, stored
 
 SMOOTHING = 20
-BROADCAST_ROWS = 200_000
 
 
 def medians(rows: DataFrame, columns: Sequence[str] = S.NUMERIC_FEATURES) -> DataFrame:
@@ -46,16 +45,14 @@ def target_encoding(rows: DataFrame, columns: Sequence[str] = S.CATEGORIES, smoo
 
 
 def apply_encoding(
-    rows: DataFrame, table: DataFrame, overall: Column, columns: Sequence[str] = S.CATEGORIES, size: int | None = None
+    rows: DataFrame, table: DataFrame, overall: Column, columns: Sequence[str] = S.CATEGORIES
 ) -> DataFrame:
     """Attach ``<column>_TE``; a category never seen in training gets the overall mean.
 
-    The map is broadcast where its counted ``size`` allows; otherwise the planner joins as it sees fit.
+    The map is a stored table, so the planner knows its size and joins accordingly.
     """
     for c in columns:
         part = table.filter(F.col("feature") == c).select(F.col("category").alias(c), F.col("encoded").alias("_encoded"))
-        if size is not None and size <= BROADCAST_ROWS:
-            part = F.broadcast(part)
         rows = rows.join(part, on=c, how="left").withColumn(f"{c}_TE", F.coalesce("_encoded", overall)).drop("_encoded")
     return rows
 
@@ -76,7 +73,6 @@ class Fitted:
     scales: dict[str, tuple[float, float]]
     overall: float
     encoding: DataFrame
-    encoding_rows: int
 
     def transform(self, rows: DataFrame, keep: Sequence[str]) -> DataFrame:
         """Impute, encode, scale; the columns come out in training order."""
@@ -86,7 +82,7 @@ class Fitted:
     def encoded(self, rows: DataFrame, keep: Sequence[str]) -> DataFrame:
         """The features before scaling."""
         filled = impute(rows, self.medians, [*keep, *S.CATEGORIES])
-        return apply_encoding(filled, self.encoding, F.lit(self.overall), size=self.encoding_rows)
+        return apply_encoding(filled, self.encoding, F.lit(self.overall))
 
     def _scaled(self, feature: str) -> Column:
         mean, std = self.scales[feature]
@@ -99,8 +95,9 @@ def fit(rows: DataFrame) -> Fitted:
     Only per-feature numbers come back to the driver: one median, mean and deviation each.
     """
     middle = {r.feature: r.median for r in medians(rows).collect()}
-    table = stored(target_encoding(rows), "encoding")
+    with outliving(rows.sparkSession):
+        table = stored(target_encoding(rows), "encoding")
     overall = rows.agg(F.avg("label")).first()[0]
-    draft = Fitted(middle, {}, overall, table, table.count())
+    draft = Fitted(middle, {}, overall, table)
     spread = {r.feature: (r["mean"], r["std"]) for r in scales(draft.encoded(rows, [])).collect()}
-    return Fitted(middle, spread, overall, table, draft.encoding_rows)
+    return Fitted(middle, spread, overall, table)

@@ -1,4 +1,4 @@
-"""One row per key, per-period modes, and joins that hold up when one key is hot."""
+"""One row per key, and per-period modes."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 8
-
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key in a stated order.
@@ -46,19 +44,6 @@ def period_modes(df: DataFrame, period: str, ranges: dict[str, tuple[float, floa
 def with_period_modes(df: DataFrame, period: str, ranges: dict[str, tuple[float, float]]) -> DataFrame:
     """Attach ``_mode_<column>`` of the row's period.
 
-    The lookup has one row per calendar date (months, in practice), a bound the data cannot exceed
-    however large it grows, so it is broadcast and the rows themselves are not shuffled.
-    """
-    return df.join(F.broadcast(period_modes(df, period, ranges)), on=period, how="left")
-
-
-def salted_lookup(rows: DataFrame, lookup: DataFrame, key: str, salts: int = SALTS) -> DataFrame:
-    """Inner join of many rows to a lookup with one narrow row per key, safe for a hot key.
-
-    The salt is the row's input partition, so even identical copies spread over all salts, and a
-    recomputed task salts its rows the same way. Each lookup row is repeated once per salt. Both
-    sides end in an exchange on (key, salt), which lets adaptive execution split what is still hot.
+    The lookup has one row per calendar date; the planner broadcasts it where its measured size allows.
     """
-    salted = rows.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
-    repeated = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, on=[key, "_salt"], how="inner").drop("_salt")
+    return df.join(period_modes(df, period, ranges), on=period, how="left")

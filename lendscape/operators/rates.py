@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lendscape.functions.columns import loan_type_name, percent
-from lendscape.operators.keys import first_per_key, salted_lookup
+from lendscape.operators.keys import first_per_key
 from lendscape.operators.ranks import grouped_quantiles, histogram
 
 
@@ -21,18 +21,38 @@ def latest_default_flag(loans: DataFrame) -> DataFrame:
     )
 
 
-def with_default_flag(rows: DataFrame, flags: DataFrame) -> DataFrame:
-    """Rows of customers that have a loan, with the flag. Select the needed columns first."""
-    return salted_lookup(rows, flags.select("Customer_ID", "isDefault"), "Customer_ID")
+ROWS = "_rows"
+
+
+def with_default_flag(rows: DataFrame, flags: DataFrame, counted: bool = True) -> DataFrame:
+    """Rows of customers that have a loan, with the flag. Select the needed columns first.
+
+    Equal rows of a customer become one with their number (``_rows``) before the join, so a customer with
+    most of the rows has shrunk when it is met. Not ``counted``, every row is kept; the join is one that
+    adaptive execution can split.
+    """
+    if counted:
+        rows = rows.groupBy(*rows.columns).agg(F.count("*").alias(ROWS))
+    return rows.join(flags.select("Customer_ID", "isDefault"), "Customer_ID")
+
+
+def _weight(flagged: DataFrame) -> Column:
+    return F.col(ROWS) if ROWS in flagged.columns else F.lit(1)
 
 
 def bad_rate_by(flagged: DataFrame, *keys: str, count_as: str = "Total_Customers", **means: tuple[Column, int]) -> DataFrame:
     """Rows, defaults and default rate per key; ``means`` adds rounded averages."""
+    n = _weight(flagged)
+    rows, bad = F.sum(n), F.sum(F.col("isDefault") * n)
+
+    def mean(c: Column) -> Column:
+        return F.try_divide(F.sum(c * n), F.sum(F.when(c.isNotNull(), n)))
+
     return flagged.groupBy(*keys).agg(
-        F.count("*").alias(count_as),
-        F.sum("isDefault").alias("Total_Defaults"),
-        percent(F.sum("isDefault"), F.count("*")).alias("Default_Rate_Percent"),
-        *[F.round(F.avg(c), places).alias(name) for name, (c, places) in means.items()],
+        rows.alias(count_as),
+        bad.alias("Total_Defaults"),
+        percent(bad, rows).alias("Default_Rate_Percent"),
+        *[F.round(mean(c), places).alias(name) for name, (c, places) in means.items()],
     )
 
 
@@ -59,10 +79,10 @@ def bad_rate_by_bucket(flagged: DataFrame, features: Sequence[str], buckets: int
     Rows are reduced to (feature, value) counts first; everything after that works on distinct
     values only.
     """
-    long = flagged.select("isDefault", *[F.col(f).cast("double").alias(f) for f in features]).unpivot(
-        "isDefault", list(features), "feature", "value"
-    )
-    hist = histogram(long, ["feature"], "value", n=F.lit(1), bad=F.col("isDefault"))
+    ids = ["isDefault", ROWS]
+    values = [F.col(f).cast("double").alias(f) for f in features]
+    long = flagged.select("isDefault", _weight(flagged).alias(ROWS), *values).unpivot(ids, list(features), "feature", "value")
+    hist = histogram(long, ["feature"], "value", n=F.col(ROWS), bad=F.col("isDefault") * F.col(ROWS))
     return (
         quantile_buckets(hist, ["feature"], "value", "n", buckets)
         .groupBy("feature", "bucket")

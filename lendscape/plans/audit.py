@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lendscape import schemas as S
 from lendscape.operators import profiling
 from lendscape.operators.ranks import grouped_auc, histogram
+from lendscape.plans.gold import one_row_per_loan
 
 # Above the first a feature is suspect, above the second it leaks.
 SUSPECT_AUC, LEAK_AUC = 0.85, 0.95
@@ -44,6 +45,8 @@ def univariate_auc(matrix: DataFrame, features: Sequence[str] = S.FEATURES) -> D
 def leakage_audit(store: DataFrame, tagged: DataFrame, train_matrix: DataFrame, clickstream: DataFrame) -> DataFrame:
     """One row per check: what was found, what is allowed, and whether it passes.
 
+    Repeated loans are counted in the store as it is; what follows looks at one row per loan.
+
     The inputs are the store, its rows tagged by split, the training split's feature matrix with
     its label, and the silver clickstream.
     """
@@ -56,13 +59,14 @@ def leakage_audit(store: DataFrame, tagged: DataFrame, train_matrix: DataFrame,
             found.alias("value"), F.lit(float(allowed)).alias("allowed"), passed.cast("int").alias("passed"),
         )
 
+    raw, store = store, one_row_per_loan(store)
     overlaps = customer_overlap(tagged).withColumn("check_name", F.concat(F.lit("customer_overlap_"), "pair"))
     anchors = profiling.coverage(store, S.ANCHOR_FEATURES).withColumn(
         "check_name", F.concat(F.lit("anchor_coverage_"), "feature")
     )
     strongest = univariate_auc(train_matrix).agg(F.max("univariate_auc").alias("auc"))
     parts = [
-        check("repeated_loans", profiling.duplicate_keys(store, "loan_id"), "duplicates", 0),
+        check("repeated_loans", profiling.duplicate_keys(raw, "loan_id"), "duplicates", 0),
         check("repeated_click_keys", profiling.duplicate_keys(clickstream, "Customer_ID", "snapshot_date"), "duplicates", 0),
         check("max_loans_per_customer", profiling.max_loans_per_customer(store), "max_loans_per_customer", 1),
         check("", overlaps, "shared_customers", 0),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lendscape.operators import drift
+from lendscape.plans.gold import one_row_per_loan
 from lendscape.plans.training import Trained
 from lendscape.session import scratch
 from lendscape.sources import layers
@@ -16,9 +17,12 @@ THRESHOLD = 0.5
 
 
 def predictions(store: DataFrame, trained: Trained, month: date | None = None) -> DataFrame:
-    """Probability and class of every loan, or of one application month's."""
+    """Probability and class of every loan, or of one application month's; a repeated loan is scored once."""
     if month is not None:
         store = store.filter(F.col("snapshot_date") == F.lit(month))
+    if store.isEmpty():
+        raise ValueError(f"nothing to score{'' if month is None else f' in {month}'}")
+    store = one_row_per_loan(store)
     return with_class(trained.score(store), trained.version)
 
 

@@ -20,7 +20,7 @@ KEY = ["Customer_ID", PERIOD]
 
 
 def typed(df: DataFrame, table: str, prepare=None) -> DataFrame:
-    """Cast every known column that is present, in one projection; unparsable text becomes null."""
+    """Cast every known column that is present, in one projection; unparsable text becomes null, unknown columns go."""
     known = S.TABLES[table]
 
     def column(name: str) -> Column:
@@ -62,10 +62,13 @@ def clean_attributes(raw: DataFrame) -> DataFrame:
     def prepare(name: str, dtype: str, text: Column) -> Column:
         return C.keep_only(text, "0-9-") if name == "Age" else text
 
-    with_modes = with_period_modes(typed(raw, "attributes", prepare), PERIOD, {"Age": S.AGE_RANGE})
+    known = typed(raw, "attributes", prepare)
+    if "Age" not in known.columns:
+        return _one_per_customer(known)
+    with_modes = with_period_modes(known, PERIOD, {"Age": S.AGE_RANGE})
     modal = F.coalesce(F.col("_mode_Age").cast("int"), F.lit(S.AGE_DEFAULT))
     age = F.when(C.outside(F.col("Age"), S.AGE_RANGE) | F.col("Age").isNull(), modal).otherwise(F.col("Age"))
-    return _one_per_customer(with_modes.select(*[age.alias(c) if c == "Age" else c for c in raw.columns]))
+    return _one_per_customer(with_modes.select(*[age.alias(c) if c == "Age" else c for c in known.columns]))
 
 
 def clean_financials(raw: DataFrame) -> DataFrame:
@@ -74,8 +77,10 @@ def clean_financials(raw: DataFrame) -> DataFrame:
     def prepare(name: str, dtype: str, text: Column) -> Column:
         return C.keep_only(text, "0-9.-") if S.is_number(dtype) else text
 
-    with_modes = with_period_modes(typed(raw, "financials", prepare), PERIOD, S.MODE_RANGES)
-    types = F.split("Type_of_Loan", r",\s*")
+    known = typed(raw, "financials", prepare)
+    modes = {c: r for c, r in S.MODE_RANGES.items() if c in known.columns}
+    with_modes = with_period_modes(known, PERIOD, modes) if modes else known
+    types = F.split("Type_of_Loan" if "Type_of_Loan" in known.columns else F.lit(None).cast("string"), r",\s*")
 
     def repaired(name: str) -> Column:
         column, dtype = F.col(name), S.FINANCIALS[name]
@@ -91,7 +96,7 @@ def clean_financials(raw: DataFrame) -> DataFrame:
             return types
         return C.non_negative(column) if S.is_number(dtype) else column
 
-    return _one_per_customer(with_modes.select(*[repaired(c).alias(c) for c in raw.columns]))
+    return _one_per_customer(with_modes.select(*[repaired(c).alias(c) for c in known.columns]))
 
 
 def clean_clickstream(raw: DataFrame, run_month: date | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
 from dataclasses import dataclass, field
 
@@ -20,6 +21,7 @@ from lendscape.functions import columns as C
 from lendscape.functions.dates import Windows
 from lendscape.operators import encoding
 from lendscape.operators.ranks import grouped_auc, histogram
+from lendscape.plans.gold import one_row_per_loan
 from lendscape.session import scratch, stored
 
 SPLIT_SEED = 88
@@ -40,7 +42,7 @@ SEARCH_GRID = {
 }
 SEARCH_DRAWS = 100
 FOLDS = 3
-SEARCH_PARALLELISM = 4
+PARTITION_BYTES = 32 << 20
 
 
 def with_categories(store: DataFrame) -> DataFrame:
@@ -122,16 +124,39 @@ def draw_params(draws: int, grid: dict = SEARCH_GRID, seed: int = SEARCH_SEED) -
     return [dict(zip(grid, p, strict=True)) for p in picked]
 
 
+def with_folds(rows: DataFrame, folds: int = FOLDS, seed: int = SEARCH_SEED) -> DataFrame:
+    """Adds ``fold``, stratified: each label is cut into equal parts along a hash of the loan.
+
+    The cuts, ``folds - 1`` per label, come from a sketch.
+    """
+    share = hash_share(F.col("loan_id"), seed)
+    parts = [k / folds for k in range(1, folds)]
+    cuts = rows.groupBy("label").agg(F.percentile_approx(share, parts, 10_000).alias("cuts")).collect()
+    fold = F.lit(0)
+    for row in cuts:
+        passed = sum(((share > F.lit(c)).cast("int") for c in row["cuts"]), F.lit(0))
+        fold = F.when(F.col("label") == row["label"], passed).otherwise(fold)
+    return rows.withColumn("fold", fold)
+
+
+def matrix_partitions(rows: int) -> int:
+    """As few as hold PARTITION_BYTES of features each: a fit is hundreds of small jobs over all of them."""
+    return max(1, math.ceil(rows * len(S.FEATURES) * 8 / PARTITION_BYTES))
+
+
 def search(
-    train: DataFrame, draws: int = SEARCH_DRAWS, parallelism: int = SEARCH_PARALLELISM, grid: dict = SEARCH_GRID
+    train: DataFrame, draws: int = SEARCH_DRAWS, parallelism: int = 1, grid: dict = SEARCH_GRID
 ) -> tuple[Model, list[dict]]:
-    """Cross-validated random search by AUC; the best draw is refitted on all training rows."""
+    """Cross-validated random search by AUC; the best draw is refitted on all training rows.
+
+    ``parallelism`` fits run side by side on one cached matrix per fold.
+    """
     points = draw_params(draws, grid)
     trees = booster()
     maps = [param_map(trees, p) for p in points]
     # The score column holds every distinct score: no binning of the curve.
     evaluator = BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC", numBins=0)
-    folded = train.withColumn("fold", F.pmod(F.xxhash64("loan_id"), F.lit(FOLDS)).cast("int"))
+    folded = with_folds(train).select("fold", "label", "weight", "features")
     validator = CrossValidator(
         estimator=trees, estimatorParamMaps=maps, evaluator=evaluator,
         numFolds=FOLDS, foldCol="fold", parallelism=parallelism,
@@ -171,14 +196,15 @@ def train(
     tune: bool = False,
     draws: int = SEARCH_DRAWS,
 ) -> Trained:
-    """Fit preprocessing and model on the training split of a store with one row per loan.
+    """Fit preprocessing and model on the training split of a store; a repeated loan counts once.
 
     The training rows and their matrix are stored while fitting, which passes over them many times.
     The encoding map stays stored for as long as the model is in use.
     """
     spark = store.sparkSession
-    with scratch(spark, keep={"encoding"}):
-        fit_rows = with_categories(with_split(store, windows).filter("split = 'train'"))
+    with scratch(spark):
+        inside = store.filter(F.col("snapshot_date").between(F.lit(windows.fit_start), F.lit(windows.fit_end)))
+        fit_rows = with_categories(with_split(one_row_per_loan(inside), windows).filter("split = 'train'"))
         fit_rows = stored(fit_rows.select(*KEEP, *S.NUMERIC_FEATURES, *S.CATEGORIES), "train-rows")
         balance = class_balance(fit_rows).first()
         if balance.positives + balance.negatives == 0:
@@ -187,8 +213,11 @@ def train(
         weight = F.when(F.col("label") == 1, F.lit(balance.pos_weight)).otherwise(F.lit(1.0))
         matrix = assembled(preprocessing.transform(fit_rows, KEEP)).withColumn("weight", weight)
         matrix = stored(matrix.select(*KEEP, "weight", "features"), "train-matrix")
+        parts = matrix_partitions(balance.positives + balance.negatives)
+        matrix = matrix.coalesce(parts)
         if tune:
-            model, trials = search(matrix, draws)
+            # A small matrix would leave cores idle.
+            model, trials = search(matrix, draws, max(1, spark.sparkContext.defaultParallelism // parts))
             best = max(trials, key=lambda t: t["mean_auc"])
             chosen = {k: v for k, v in best.items() if k != "mean_auc"}
         else:
@@ -200,7 +229,7 @@ def train(
 
 def evaluate(trained: Trained, store: DataFrame) -> DataFrame:
     """Rows, bad rate, AUC and Gini per split."""
-    tagged = with_split(store, trained.windows)
+    tagged = with_split(one_row_per_loan(store), trained.windows)
     scored = trained.score(tagged, [*KEEP, "split"])
     hist = histogram(scored, ["split"], "model_predict_proba", pos=F.col("label"), neg=1 - F.col("label"))
     auc = grouped_auc(hist, ["split"], "model_predict_proba")

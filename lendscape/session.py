@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Collection, Iterator
+from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,37 +67,53 @@ class Workspace:
         target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-_STORED: list[tuple[str, str]] = []
+_CURRENT: ContextVar[Workspace | None] = ContextVar("workspace", default=None)
+_LOOSE: dict[str, Workspace] = {}
+
+
+def _workspace(spark: SparkSession) -> Workspace:
+    """That of the job in whose ``scratch`` block the caller is, else the session's."""
+    current = _CURRENT.get()
+    if current is not None:
+        return current
+    return _LOOSE.setdefault(spark.sparkContext.applicationId, Workspace(spark, "session"))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write an intermediate result to the shared folder and read it back.
+    """Write an intermediate result to the job's folder and read it back.
 
-    For results that several branches of a job use: they are computed once, branches cannot
-    disagree, pruning works on what is read back, and a lost executor costs a read instead of the
-    whole lineage. ``scratch`` and ``drop_stored`` remove what has been stored.
+    For results that several branches of a job use. ``scratch`` removes what its job has stored,
+    ``drop_stored`` what was stored outside any.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _STORED.append((name, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return _workspace(df.sparkSession).store(df, f"{name}-{uuid.uuid4().hex}")
+
+
+def drop_stored(spark: SparkSession) -> None:
+    """Remove what was stored outside any ``scratch`` block."""
+    loose = _LOOSE.pop(spark.sparkContext.applicationId, None)
+    if loose is not None:
+        loose.remove()
 
 
-def drop_stored(spark: SparkSession, since: int = 0, keep: Collection[str] = ()) -> None:
-    """Remove stored results from the ``since``-th on, but for those of the names to keep."""
-    doomed = [entry for entry in _STORED[since:] if entry[0] not in keep]
-    for entry in doomed:
-        path = spark._jvm.org.apache.hadoop.fs.Path(entry[1])
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        _STORED.remove(entry)
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Workspace]:
+    """A job whose result no longer needs what it stored on the way. Other jobs' results are not touched."""
+    own, before = Workspace(spark, "job"), _CURRENT.get()
+    _CURRENT.set(own)
+    try:
+        yield own
+    finally:
+        if _CURRENT.get() is own:
+            _CURRENT.set(before)
+        own.remove()
 
 
 @contextmanager
-def scratch(spark: SparkSession, keep: Collection[str] = ()) -> Iterator[None]:
-    """A job whose result no longer needs what it stored on the way."""
-    since = len(_STORED)
+def outliving(spark: SparkSession) -> Iterator[None]:
+    """Inside a ``scratch`` block: what is stored here stays until ``drop_stored``."""
+    before = _CURRENT.get()
+    _CURRENT.set(None)
     try:
         yield
     finally:
-        drop_stored(spark, since, keep)
+        _CURRENT.set(before)

@@ -1,8 +1,9 @@
-"""Model bank: one folder per model version, with a one-row manifest saying what is in it."""
+"""Model bank: a folder per save below its version's, and a manifest with a row per save."""
 
 from __future__ import annotations
 
 import json
+import uuid
 from datetime import UTC, date, datetime
 
 from pyspark.errors import AnalysisException
@@ -17,34 +18,38 @@ from lendscape.plans.training import Trained
 
 MANIFEST = (
     "model_version string, trained_at timestamp, path string, snapshot date, features array<string>, "
-    "params string, pos_weight double, overall_bad_rate double, encoding_rows long, trials string"
+    "params string, pos_weight double, overall_bad_rate double, trials string"
 )
 STATISTICS = "feature string, median double, mean double, std double"
 
 
 def save(spark: SparkSession, trained: Trained, bank: str, results: DataFrame | None = None) -> str:
-    """Store a version, replacing an earlier run of the same snapshot. The manifest is written last."""
-    path = f"{bank.rstrip('/')}/{trained.version}"
+    """Store a version. Every save has a folder of its own and is published by its manifest row, last.
+
+    An interrupted save leaves earlier ones whole, and a loaded model can be saved back to its own bank.
+    """
+    root = bank.rstrip("/")
+    path = f"{root}/{trained.version}/{uuid.uuid4().hex}"
     fitted = trained.preprocessing
-    trained.model.write().overwrite().save(f"{path}/model")
+    trained.model.write().save(f"{path}/model")
     # One row per model input.
     rows = [(f, fitted.medians.get(f), *fitted.scales[f]) for f in S.FEATURES]
-    spark.createDataFrame(rows, STATISTICS).coalesce(1).write.mode("overwrite").parquet(f"{path}/statistics")
-    fitted.encoding.write.mode("overwrite").parquet(f"{path}/encoding")
+    spark.createDataFrame(rows, STATISTICS).coalesce(1).write.parquet(f"{path}/statistics")
+    fitted.encoding.write.parquet(f"{path}/encoding")
     if results is not None:
-        results.write.mode("overwrite").parquet(f"{path}/results")
+        results.write.parquet(f"{path}/results")
     row = (
         trained.version, datetime.now(UTC), path, trained.windows.snapshot, S.FEATURES, json.dumps(trained.params),
-        float(trained.pos_weight), float(fitted.overall), fitted.encoding_rows, json.dumps(trained.trials),
+        float(trained.pos_weight), float(fitted.overall), json.dumps(trained.trials),
     )
-    spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
+    spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append").parquet(f"{root}/manifest")
     return path
 
 
 def manifests(spark: SparkSession, bank: str) -> DataFrame:
-    """All versions in the bank."""
+    """All saves in the bank, of all versions."""
     try:
-        return spark.read.schema(MANIFEST).parquet(f"{bank.rstrip('/')}/*/manifest")
+        return spark.read.schema(MANIFEST).parquet(f"{bank.rstrip('/')}/manifest")
     except AnalysisException as missing:
         raise FileNotFoundError(f"no models in {bank}: train one first") from missing
 
@@ -68,7 +73,6 @@ def load(spark: SparkSession, bank: str, version: str | None = None) -> Trained:
         scales={r.feature: (r["mean"], r["std"]) for r in statistics},
         overall=row.overall_bad_rate,
         encoding=spark.read.parquet(f"{row.path}/encoding"),
-        encoding_rows=row.encoding_rows,
     )
     snapshot: date = row.snapshot
     return Trained(

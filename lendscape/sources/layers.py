@@ -10,7 +10,7 @@ from collections.abc import Iterable, Sequence
 from datetime import date
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lendscape import schemas as S
@@ -22,9 +22,20 @@ FIRST_MONTH = date(2023, 1, 1)
 LAST_MONTH = date(2025, 11, 1)
 
 
-def read_raw(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """A raw CSV with header, every column text: no inference pass over the file."""
-    return spark.read.schema(S.raw_schema(table)).option("header", True).option("enforceSchema", False).csv(path)
+def read_raw(spark: SparkSession, paths: str | Sequence[str], table: str) -> DataFrame:
+    """Raw CSV with headers, every column text: no inference pass over the files.
+
+    Columns are found by name in each file's own header, in whatever order. Absent ones are null, unknown
+    ones are ignored. A folder is read as one file: give paths one by one where their headers differ.
+    """
+    known = list(S.TABLES[table])
+    parts = []
+    for path in [paths] if isinstance(paths, str) else paths:
+        part = spark.read.option("header", True).csv(path)
+        if not set(known) & set(part.columns):
+            raise ValueError(f"no column of {table} in the header of {path}")
+        parts.append(part.select([F.col(c) if c in part.columns else F.lit(None).cast("string").alias(c) for c in known]))
+    return append_months(parts)
 
 
 def path_of(root: str, layer: str, table: str) -> str:
@@ -51,18 +62,31 @@ def load_window(spark: SparkSession, root: str, start: date = FIRST_MONTH, end:
     return tuple(read_table(spark, root, "silver", t).filter(in_window(start, end)) for t in names)
 
 
-def write_table(df: DataFrame, path: str, counted: Observation | None = None) -> None:
-    """Replace the months ``df`` holds and no others.
+def write_table(df: DataFrame, path: str, months: Iterable[date] = ()) -> None:
+    """Replace the months ``df`` holds, and empty those of ``months`` that it does not.
 
-    Rebalancing by month gives well-sized files: small months share no task with each other's
-    files, and a month that is too big for one task is split. Row counts ride along with the write.
+    The directories of ``months`` go first, so a run that breaks off leaves its months absent, never stale;
+    repeating it completes them. Rebalancing by month gives well-sized files: small months share no task
+    with each other's files, and a month that is too big for one task is split.
     """
-    if counted is not None:
-        df = df.observe(counted, F.count("*").alias("rows"))
+    spark = df.sparkSession
+    for month in months:
+        gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{PERIOD}={month}")
+        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
     writer = df.hint("rebalance", PERIOD).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy(PERIOD).parquet(path)
 
 
+def rows_of(spark: SparkSession, path: str, months: Iterable[date]) -> int:
+    """Rows a table has in some months: counted from the files' footers, 0 where nothing was ever written."""
+    try:
+        return spark.read.parquet(path).filter(F.col(PERIOD).isin(list(months))).count()
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return 0
+
+
 def of_months(df: DataFrame, months: Iterable[date]) -> DataFrame:
     """Rows of the given months; text dates are compared as dates."""
     return df.filter(F.col(PERIOD).try_cast("date").isin(list(months)))
@@ -71,35 +95,65 @@ def of_months(df: DataFrame, months: Iterable[date]) -> DataFrame:
 def land_bronze(raw: DataFrame, root: str, table: str, months: Sequence[date]) -> int:
     """Land the months of one source as received. One pass over the source, however many months."""
     day = F.col(PERIOD).try_cast("date").alias(PERIOD)
-    counted = Observation(f"bronze_{table}")
-    as_received = of_months(raw, months).select(*[c for c in raw.columns if c != PERIOD], day)
-    write_table(as_received, path_of(root, "bronze", table), counted)
-    return counted.get["rows"]
+    path = path_of(root, "bronze", table)
+    write_table(of_months(raw, months).select(*[c for c in raw.columns if c != PERIOD], day), path, months)
+    return rows_of(raw.sparkSession, path, months)
+
+
+def _raw_or_none_yet(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """Bronze, without rows where a table has no month."""
+    try:
+        return read_table(spark, root, "bronze", table)
+    except FileNotFoundError:
+        return spark.createDataFrame([], S.raw_schema(table)).withColumn(PERIOD, F.col(PERIOD).cast("date"))
+
+
+def _silver_or_none_yet(spark: SparkSession, root: str, table: str) -> DataFrame:
+    try:
+        return read_table(spark, root, "silver", table)
+    except FileNotFoundError:
+        return silver.CLEANERS[table](spark.createDataFrame([], S.raw_schema(table)))
 
 
 def refine_silver(spark: SparkSession, root: str, table: str, months: Sequence[date]) -> int:
-    bronze = of_months(read_table(spark, root, "bronze", table), months).select(*S.TABLES[table])
-    counted = Observation(f"silver_{table}")
-    write_table(silver.CLEANERS[table](bronze), path_of(root, "silver", table), counted)
-    return counted.get["rows"]
+    landed = _raw_or_none_yet(spark, root, table)
+    path = path_of(root, "silver", table)
+    write_table(silver.CLEANERS[table](of_months(landed, months)), path, months)
+    return rows_of(spark, path, months)
+
+
+def matured(loans: DataFrame, months: Sequence[date], mob: int = gold.MONTHS_ON_BOOK) -> list[date]:
+    """The application months whose labels what was landed in ``months`` can change.
+
+    Those of loans whose row of month ``mob`` was landed then, whenever it was due, or an earlier one that came
+    after it; and the application months a run for ``months`` owns by the calendar, which have to
+    be emptied where their loans were withdrawn. Reads the landed months and all month-0 rows; one date a
+    month reaches the driver.
+    """
+    anchors = gold.application_rows(loans).groupBy("Customer_ID", "loan_id").agg(F.min(PERIOD).alias("applied"))
+    landed = of_months(loans, months).filter(F.col("mob").between(1, mob)).select("Customer_ID", "loan_id", PERIOD, "mob")
+    late = F.months_between(PERIOD, "applied") >= mob
+    touched = landed.join(anchors, ["Customer_ID", "loan_id"]).filter((F.col("mob") == mob) | late)
+    found = {r[0] for r in touched.select("applied").distinct().collect()}
+    return sorted(found | {shift_months(m, -mob) for m in months})
 
 
 def build_gold(
     spark: SparkSession, root: str, months: Sequence[date], mob: int = gold.MONTHS_ON_BOOK, dpd: int = gold.DAYS_PAST_DUE
 ) -> int:
-    """Label the loans that reach month ``mob`` in the given months.
+    """Label the loans that reach month ``mob`` in the given months, however late that is reported.
 
-    Those are the applications of ``mob`` months earlier, each stored once under its application
-    month. Only that span of silver is read.
+    Each is stored once under its application month; those months are rebuilt whole. Only their own
+    features and what came after them of the loans are read. Returns the rows of the rebuilt months.
     """
-    applied = [shift_months(m, -mob) for m in months]
+    known = {t: _silver_or_none_yet(spark, root, t) for t in S.TABLES}
+    applied = matured(known["loans"], months, mob)
     first, last = min(applied), max(applied)
-    loans, _, _, _ = load_window(spark, root, first, shift_months(last, mob))
-    _, clicks, attrs, fins = load_window(spark, root, first, last)
-    store = of_months(gold.feature_store(loans, clicks, attrs, fins, mob, dpd), applied)
-    counted = Observation("gold_store")
-    write_table(store, path_of(root, "gold", "label_store"), counted)
-    return counted.get["rows"]
+    loans = known["loans"].filter(F.col(PERIOD) >= F.lit(first))
+    features = [known[t].filter(in_window(first, last)) for t in ("clickstream", "attributes", "financials")]
+    path = path_of(root, "gold", "label_store")
+    write_table(of_months(gold.feature_store(loans, *features, mob, dpd), applied), path, applied)
+    return rows_of(spark, path, applied)
 
 
 def run_backfill(

@@ -9,7 +9,7 @@ from contract import queries as Q
 from lendscape import schemas as S
 from lendscape import session
 from lendscape.functions.dates import month_starts, training_windows
-from lendscape.plans import audit, scoring, training
+from lendscape.plans import audit, scoring, silver, training
 from lendscape.sources import bank, layers, sample
 
 SF = "/root/testdata/sf0.001"
@@ -27,7 +27,7 @@ def raw(spark, tmp_path_factory):
 @pytest.fixture(scope="module")
 def backfilled(spark, raw, tmp_path_factory):
     root = str(tmp_path_factory.mktemp("layers"))
-    return root, layers.run_backfill(spark, raw, root, Q.MONTHS)
+    return root, layers.run_backfill(spark, raw, root, Q.Inputs(spark, SF).months)
 
 
 def rows(df):
@@ -59,16 +59,43 @@ def test_rerunning_months_changes_nothing(spark, raw, backfilled):
 
 def test_month_by_month_equals_all_at_once(spark, raw, backfilled, tmp_path):
     root, _ = backfilled
-    months = month_starts(date(1995, 1, 1), date(1995, 9, 1))
-    for m in months:
-        layers.run_backfill(spark, raw, str(tmp_path), [m]) if m >= months[6] else [
-            (layers.land_bronze(raw[t], str(tmp_path), t, [m]), layers.refine_silver(spark, str(tmp_path), t, [m])) for t in S.TABLES
-        ]
+    for m in month_starts(date(1995, 1, 1), date(1995, 9, 1)):
+        layers.run_backfill(spark, raw, str(tmp_path), [m])
     grown = layers.read_table(spark, str(tmp_path), "gold", "label_store")
     whole = layers.read_table(spark, root, "gold", "label_store").filter(layers.in_window(date(1995, 1, 1), date(1995, 3, 1)))
     assert rows(grown) == rows(whole)
 
 
+LOAN = "loan_id, Customer_ID, loan_start_date, tenure, installment_num, loan_amt, due_amt, paid_amt, overdue_amt, balance, snapshot_date"
+
+
+def loan_rows(spark, book):
+    """(loan, month on book, snapshot, overdue) as raw text rows of the loan book."""
+    data = [(f"L{n}", f"C{n}", "2023-01-01", "10", str(k), "1000", "100", "100", str(late), "0", f"{day}") for n, k, day, late in book]
+    return spark.createDataFrame(data, ", ".join(f"{c} string" for c in LOAN.split(", ")))
+
+
+def test_late_and_withdrawn_loans_month_by_month(spark, tmp_path):
+    months = month_starts(date(2023, 1, 1), date(2023, 9, 1))
+    book = [(n, k, months[k], 0) for n in (1, 2) for k in range(7)]
+    book += [(3, k, months[k], 0) for k in range(6)] + [(3, 6, months[7], 0)]  # month 6 comes a month late
+    book += [(4, k, months[k], 0) for k in (0, 1, 2, 4, 5, 6)] + [(4, 3, months[8], 900)]  # a missed month comes after it
+    others = {t: spark.createDataFrame([], S.raw_schema(t)) for t in S.TABLES if t != "loans"}
+    raw = {**others, "loans": loan_rows(spark, book)}
+    grown, whole = str(tmp_path / "grown"), str(tmp_path / "whole")
+    counts = [layers.run_backfill(spark, raw, grown, [m])["gold.label_store"] for m in months]
+    assert counts[:6] == [0] * 6 and counts[6] == 3
+    layers.run_backfill(spark, raw, whole, months)
+    store = layers.read_table(spark, grown, "gold", "label_store")
+    assert rows(store) == rows(layers.read_table(spark, whole, "gold", "label_store"))
+    assert {r.loan_id: r.label for r in store.collect()} == {"L1": 0, "L2": 0, "L3": 0, "L4": 1}
+    gone = {**others, "loans": raw["loans"].filter("loan_id not in ('L1', 'L2', 'L4')")}
+    layers.run_backfill(spark, gone, grown, months)
+    assert [r.loan_id for r in layers.read_table(spark, grown, "gold", "label_store").collect()] == ["L3"]
+    layers.run_backfill(spark, {**others, "loans": raw["loans"].limit(0)}, grown, months)
+    assert layers.rows_of(spark, f"{grown}/gold/label_store", months) == 0
+
+
 def test_window_prunes_directories(spark, backfilled):
     root, _ = backfilled
     loans = layers.load_window(spark, root, date(1996, 1, 1), date(1996, 2, 1))[0]
@@ -88,6 +115,21 @@ def test_raw_text_keeps_what_inference_would_change(spark, tmp_path):
     assert layers.read_raw(spark, str(tmp_path), "attributes").first().Customer_ID == "007"
 
 
+def test_raw_columns_are_found_by_name(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("snapshot_date,Extra,Age,Customer_ID\n2023-01-01,e,23,C1\n")
+    (tmp_path / "b.csv").write_text("Customer_ID,Name,Age,SSN,Occupation,snapshot_date\nC2,n,41,1,Lawyer,2023-01-01\n")
+    raw = layers.read_raw(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")], "attributes")
+    assert raw.columns == list(S.ATTRIBUTES)
+    got = {r.Customer_ID: r for r in silver.clean_attributes(raw.withColumn("Unknown", F.lit("u"))).collect()}
+    assert (got["C1"].Age, got["C1"].Occupation, got["C2"].Age, got["C2"].Occupation) == (23, None, 41, "Lawyer")
+    bare = spark.createDataFrame([("C3", "2023-01-01")], "Customer_ID string, snapshot_date string")
+    assert silver.clean_financials(bare).columns == silver.clean_attributes(bare).columns == bare.columns
+    assert silver.clean_financials(bare.withColumn("Num_of_Loan", F.lit("99"))).first().Num_of_Loan == 0
+    with pytest.raises(ValueError, match="no column of loans"):
+        (tmp_path / "c.csv").write_text("x,y\n1,2\n")
+        layers.read_raw(spark, str(tmp_path / "c.csv"), "loans")
+
+
 @pytest.fixture(scope="module")
 def trained(spark, backfilled):
     root, _ = backfilled
@@ -101,10 +143,25 @@ def test_scores_are_probabilities_and_repeat(spark, trained):
     scored = scoring.predictions(store, model)
     low, high, n = scored.agg(F.min("model_predict_proba"), F.max("model_predict_proba"), F.count("*")).first()
     assert 0 <= low <= high <= 1 and n == store.count()
-    before = set(session._STORED)
-    again = training.train(store, model.windows, {"n_estimators": 5})
-    assert {name for name, _ in set(session._STORED) - before} == {"encoding"}
+    again = training.train(store.union(store.limit(300)), model.windows, {"n_estimators": 5})
     assert rows(scoring.predictions(store, again)) == rows(scored)
+    assert rows(scoring.predictions(store.union(store), model)) == rows(scored)
+    with pytest.raises(ValueError, match="nothing to score"):
+        scoring.predictions(store, model, date(2050, 1, 1))
+
+
+def test_jobs_do_not_remove_each_others_results(spark):
+    one, two = session.scratch(spark), session.scratch(spark)
+    one.__enter__()
+    mine = session.stored(spark.range(3), "mine")
+    two.__enter__()
+    other = session.stored(spark.range(5), "other")
+    one.__exit__(None, None, None)
+    assert other.count() == 5
+    two.__exit__(None, None, None)
+    for gone in (mine, other):
+        with pytest.raises(Exception, match="FILE_NOT_EXIST|PATH_NOT_FOUND|does not exist"):
+            spark.read.parquet(gone.inputFiles()[0]).count()
 
 
 def test_scoring_one_month(spark, trained):
@@ -122,6 +179,9 @@ def test_bank_returns_the_latest_and_the_named(spark, trained, tmp_path):
     assert bank.load(spark, str(tmp_path)).version == other.version
     loaded = bank.load(spark, str(tmp_path), model.version)
     assert rows(scoring.predictions(store, loaded)) == rows(scoring.predictions(store, model))
+    again = bank.save(spark, loaded, str(tmp_path))
+    assert bank.find(spark, str(tmp_path), model.version).path == again
+    assert rows(scoring.predictions(store, bank.load(spark, str(tmp_path), model.version))) == rows(scoring.predictions(store, model))
     with pytest.raises(FileNotFoundError, match="no model nothing"):
         bank.load(spark, str(tmp_path), "nothing")
 
