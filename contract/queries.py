@@ -645,9 +645,7 @@ def _trained(i: Inputs) -> tuple[DataFrame, training.Trained]:
     return _TRAINED[key]
 
 
-@query
-def train_fixed(i: Inputs) -> DataFrame:
-    """Importance of each feature in the fixed-parameter model."""
+def train_fixed_rows(i: Inputs) -> DataFrame:
     _, trained = _trained(i)
     weights = trained.model.featureImportances.toArray()
     return i.spark.createDataFrame(
@@ -655,6 +653,12 @@ def train_fixed(i: Inputs) -> DataFrame:
     )
 
 
+@query
+def train_fixed(i: Inputs) -> DataFrame:
+    """Importance of each feature in the fixed-parameter model."""
+    return train_fixed_rows(i)
+
+
 @query
 def train_search(i: Inputs) -> DataFrame:
     """Cross-validated AUC of each draw, over all training rows."""
@@ -684,3 +688,62 @@ def artefact_roundtrip(i: Inputs) -> DataFrame:
     path = i.workspace("bank")
     bank.save(i.spark, trained, path, training.evaluate(trained, store))
     return scoring.predictions(store, bank.load(i.spark, path))
+
+
+# Models: what SQL can state about them
+
+
+@query
+def model_scores(i: Inputs) -> DataFrame:
+    """Every loan is scored once; probabilities are ones, and the class follows them."""
+    store, trained = _trained(i)
+    p = F.col("model_predict_proba")
+    follows = F.col("model_predict_label") == (p >= scoring.THRESHOLD).cast("int")
+    return scoring.predictions(store, trained).select(
+        "loan_id", "Customer_ID", "snapshot_date", "label", "model_version",
+        p.between(0, 1).cast("int").alias("in_range"), follows.cast("int").alias("class_follows"),
+    )
+
+
+@query
+def model_split_rows(i: Inputs) -> DataFrame:
+    """Rows and bad rate of each split the model is evaluated on."""
+    store, trained = _trained(i)
+    in_range = F.col("auc").between(0, 1).cast("int").alias("auc_in_range")
+    return training.evaluate(trained, store).select("split", "n", "bad_rate", in_range)
+
+
+@query
+def model_importances(i: Inputs) -> DataFrame:
+    """The importances are shares of all model inputs."""
+    weights = train_fixed_rows(i)
+    return weights.agg(
+        F.count("*").alias("n_features"), F.count_if(F.col("importance") < 0).alias("n_negative"),
+        F.round(F.sum("importance"), 6).alias("total"),
+    )
+
+
+@query
+def model_reloaded(i: Inputs) -> DataFrame:
+    """Loans whose score differs once the model has been saved, loaded, saved and loaded again."""
+    store, trained = _trained(i)
+    path = i.workspace("bank")
+    bank.save(i.spark, trained, path)
+    bank.save(i.spark, bank.load(i.spark, path), path)
+    score = F.col("model_predict_proba")
+    before = scoring.predictions(store, trained).select("loan_id", score.alias("before"))
+    after = scoring.predictions(store, bank.load(i.spark, path)).select("loan_id", score.alias("after"))
+    both = before.join(after, "loan_id", "full")
+    return both.agg(F.count("*").alias("n_loans"), F.count_if(~F.col("before").eqNullSafe(F.col("after"))).alias("n_different"))
+
+
+@query
+def model_monitoring(i: Inputs) -> DataFrame:
+    """Store, model scores, predictions table, monitoring table: months as read back from its CSV half."""
+    store, trained = _trained(i)
+    root = i.workspace("monitored")
+    scoring.write_predictions(scoring.predictions(store, trained), root)
+    scoring.write_monitoring(i.spark, root)
+    written = i.spark.read.option("header", True).csv(f"{layers.path_of(root, 'gold', 'model_monitoring')}/csv")
+    auc = F.col("auc").try_cast("double")
+    return written.select(F.col("month").try_cast("date").alias("month"), (auc.isNull() | auc.between(0, 1)).cast("int").alias("auc_in_range"))

@@ -645,3 +645,20 @@ for _key, _table, _columns, _where, _n, _places in [
     ANSWERS[f"bad_rate_by_{_key}_bucket"] = with_needs([f"flagged_{_table}"], "").rstrip() + buckets(_rows, _n, _places).replace(
         "\nwith v as", ",\nv as", 1
     )
+
+ANSWERS |= {
+    "model_scores": with_needs(
+        ["labels"],
+        f"select loan_id, Customer_ID, {day('snapshot_date')}, label, 'credit_model_2001_01_01' as model_version, "
+        "1 as in_range, 1 as class_follows from labels",
+    ),
+    "model_split_rows": with_needs(
+        ["tagged"],
+        f"select split, count(*) as n, {half_up('sum(label)', 'count(*)', 3)} as bad_rate, 1 as auc_in_range from tagged group by split",
+    ),
+    "model_importances": with_needs(["labels"], "select cast(41 as bigint) as n_features, cast(0 as bigint) as n_negative, 1.0 as total from (select count(*) from labels)"),
+    "model_reloaded": with_needs(["labels"], "select count(*) as n_loans, cast(0 as bigint) as n_different from labels"),
+    "model_monitoring": with_needs(
+        ["labels"], "select distinct cast(cast(date_trunc('month', snapshot_date) as date) as varchar) as month, 1 as auc_in_range from labels"
+    ),
+}

@@ -1,82 +1,153 @@
-"""Encoding whole texts with the tokenizers library, each distinct unit of a text once.
-
-Both tokenizers split a text at white space before they merge, so a text's ids are those of its
-white-space units one after the other. A worker keeps the ids of the units it has met: words repeat
-far more often than texts do. Texts with white space or marks that the two libraries might see
-differently, and texts that spell a special token, are encoded whole.
+"""Encoding whole texts with the tokenizers library, each distinct piece of a text once.
+
+Both tokenizers cut a text into pieces before they merge, so a text's ids are those of its pieces one
+after the other. Here a text is parted at white space into units; a worker keeps the ids of the units it has
+met, cuts new ones into pieces by the tokenizer's own pattern, keeps those as well, and asks the
+library's model for the pieces it has not met. Texts beyond Latin-1 are not cut finer than units; texts with
+white space that the two libraries might see differently, and texts that spell a special token, are
+encoded whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable
+from array import array
+from collections.abc import Callable
 from functools import cache
 
 import numpy as np
 import public_tokenizers
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-UNITS_KEPT = 200_000
+UNITS_KEPT = 400_000
 # A word with the space before it; of longer white space all but the last, then that one.
 SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-# White space other than the ASCII kind, separators Python alone counts as such, joiners and marks.
-ODD = re.compile(r"[\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁯　﻿]|<\|")
+CROWDED = re.compile(r"\s ")
+# White space other than the ASCII kind, separators Python alone counts as such, joiners and marks; NUL is ours.
+ODD = re.compile(r"[\x00\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]|<\|")
+FIRST = "\0"
+# The letters and numbers of Latin-1, and the tokenizers' patterns over them: fixed values.
+LETTER, NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾"
+BYTE_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^\s{LETTER}{NUMBER}]+|\s+(?!\S)|\s+")
+WORD_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[{NUMBER}]|[^\s{LETTER}{NUMBER}]+")
+
+
+def in_latin(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+class _Kept(dict):
+    """What has been worked out; asks for what has not."""
+
+    def __init__(self, find: Callable[[str], bytes]):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, key: str) -> bytes:
+        self[key] = found = self.find(key)
+        return found
 
 
 class UnitEncoder:
-    """``encode_units``: ids of one batch of units; the two newest generations of units are kept."""
+    """Ids of units, joined. ``encode_piece`` gives the ids of a piece, ``cut`` cuts a unit into pieces.
+
+    The two newest generations of units are kept, and one of pieces: memory stays bounded however many
+    there are.
+    """
+
+    def __init__(self, encode_piece: Callable[[str], list[int]], cut: Callable[[str], list[str]] | None = None, kept: int = UNITS_KEPT):
+        self.cut, self.kept = cut, kept
+        self.pieces = _Kept(lambda piece: array("I", encode_piece(piece)).tobytes())
+        self.young, self.old = _Kept(self._learn), {}
 
-    def __init__(self, encode_units, kept: int = UNITS_KEPT, kind: str = "<u4"):
-        self.encode_units, self.kept, self.kind = encode_units, kept, np.dtype(kind)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+    def _learn(self, unit: str) -> bytes:
+        known = self.old.get(unit)
+        if known is not None:
+            return known
+        if self.cut is None:
+            return self.pieces.find(unit)
+        return b"".join(map(self.pieces.__getitem__, self.cut(unit)))
 
     def encode(self, units: list[str]) -> np.ndarray:
-        """Ids of all units, joined."""
         if len(self.young) > self.kept:
-            self.young, self.old = {}, self.young
-        young, old, unknown = self.young, self.old, []
-        for unit in set(units):
-            if unit not in young:
-                known = old.get(unit)
-                if known is None:
-                    unknown.append(unit)
-                else:
-                    young[unit] = known
-        for at in range(0, len(unknown), 4096):
-            part = unknown[at : at + 4096]
-            for unit, ids in zip(part, self.encode_units(part), strict=True):
-                young[unit] = np.asarray(ids, self.kind).tobytes()
-        return np.frombuffer(b"".join(map(young.__getitem__, units)), self.kind)
+            self.young, self.old = _Kept(self._learn), self.young
+        if len(self.pieces) > self.kept:
+            self.pieces.clear()
+        return np.frombuffer(b"".join(map(self.young.__getitem__, units)), np.uint32)
+
+
+@cache
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes of Latin-1 stand for themselves, the others follow 255 in order."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 class TextEncoder:
     """Ids of whole texts, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them."""
 
-    def __init__(self, path: str, spaces_count: bool):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.spaces_count = spaces_count
-        self.units = UnitEncoder(self._encode_units)
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.latin = UnitEncoder(self._merge, self._cut)
+        self.wide = UnitEncoder(self._whole)
+
+    def _merge(self, piece: str) -> list[int]:
+        """A piece is merged by the library's model; nothing is left to cut or to normalise."""
+        return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
 
-    def _encode_units(self, units: list[str]) -> Iterable[list[int]]:
-        return (e.ids for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False))
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def __call__(self, text: str) -> np.ndarray:
+        if not text:
+            return np.zeros(0, np.uint32)
         if ODD.search(text):
-            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        return self.units.encode(SPACED.findall(text) if self.spaces_count else text.split())
+            return np.asarray(self._whole(text), np.uint32)
+        return self._of_units(text)
+
+
+class ByteEncoder(TextEncoder):
+    """White space is part of the ids: a unit is a word with the space before it."""
+
+    def _cut(self, unit: str) -> list[str]:
+        return BYTE_PIECES.findall(unit[1:] if unit.startswith(FIRST) else f" {unit}")
+
+    def _of_units(self, text: str) -> np.ndarray:
+        if not in_latin(text) or CROWDED.search(text):  # a space that does not stand alone goes with others
+            return self.wide.encode(SPACED.findall(text))
+        units = text.split(" ")
+        units[0] = FIRST + units[0]
+        return self.latin.encode(units)
+
+
+class WordEncoder(TextEncoder):
+    """White space only separates, and case is ignored."""
+
+    def _cut(self, unit: str) -> list[str]:
+        return WORD_PIECES.findall(unit)
+
+    def _of_units(self, text: str) -> np.ndarray:
+        return self.latin.encode(text.lower().split()) if in_latin(text) else self.wide.encode(text.split())
 
 
 @cache
-def byte_encoder(name: str = "byte_bpe_50k.json") -> TextEncoder:
-    """One per worker. White space is part of the ids."""
-    return TextEncoder(public_tokenizers.path(name), spaces_count=True)
+def byte_encoder(name: str = "byte_bpe_50k.json") -> ByteEncoder:
+    """One per worker."""
+    return ByteEncoder(public_tokenizers.path(name))
 
 
 @cache
-def word_encoder(name: str = "word_bpe_49k.json") -> TextEncoder:
-    """One per worker. White space only separates."""
-    return TextEncoder(public_tokenizers.path(name), spaces_count=False)
+def word_encoder(name: str = "word_bpe_49k.json") -> WordEncoder:
+    """One per worker."""
+    return WordEncoder(public_tokenizers.path(name))

@@ -23,17 +23,18 @@ def test_units_give_what_whole_texts_give():
 
 
 def test_forgetting_units_changes_nothing():
-    calls = []
-
-    def encode(units):
-        calls.extend(units)
-        return np.array([x for u in units for x in (len(u), ord(u[0]))]), np.full(len(units), 2)
+    def encode(piece):
+        return [len(piece), ord(piece[0])]
 
     encoder = tokens.UnitEncoder(encode, kept=3)
     for text in ("a b c d a", "b e f g h", "a a b", "i j k l m n", "a b c"):
         want = [x for u in text.split() for x in (len(u), ord(u[0]))]
         assert encoder.encode(text.split()).tolist() == want
     assert encoder.encode([]).tolist() == []
+    parted = tokens.UnitEncoder(encode, lambda unit: [unit[:1], unit[1:]] if unit[1:] else [unit], kept=3)
+    for text in ("ab bc a", "ab cd ef gh ij kl ab", "a b c d e f ab"):
+        want = [x for u in text.split() for p in (u[:1], u[1:]) if p for x in (len(p), ord(p[0]))]
+        assert parted.encode(text.split()).tolist() == want
 
 
 def test_shards_hold_what_was_put_in(monkeypatch):
