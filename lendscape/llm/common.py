@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Sequence
+from pathlib import Path
 
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+import lendscape
+
 # Words are runs of anything but the ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -20,8 +25,31 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package along with the session's jobs, once: workers need not have it installed.
+
+    Spark's file server hands the archive to every executor.
+    """
+    application = spark.sparkContext.applicationId
+    if application not in _SHIPPED:
+        root = Path(lendscape.__file__).parent
+        archive = Path(tempfile.mkdtemp(prefix="lendscape-")) / "lendscape_package.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for source in sorted(root.rglob("*.py")):
+                out.write(source, source.relative_to(root.parent))
+        spark.sparkContext.addPyFile(str(archive))
+        _SHIPPED.add(application)
+
+
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Rows per Arrow batch: texts are of any length, so a batch of thousands could fill a worker."""
+    """Prepare for Python workers: they get the package, and ``rows`` rows per Arrow batch.
+
+    Texts are of any length, so a batch of thousands could fill a worker.
+    """
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
