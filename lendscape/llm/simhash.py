@@ -179,6 +179,8 @@ def near_duplicates(
     heads = linked.groupBy("label").agg(F.min("first").alias("head"))
     named = linked.join(heads, "label").select("fp", "head")
     of_class = classes.join(named, "fp", "left").select("fp", F.coalesce("head", "first").alias("component_id"))
+    # Stored, so that the last join stands alone: adaptive execution can split a crowd of one fingerprint there.
+    of_class = ws.store(of_class, "components")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return found.join(of_class, "fp").select("doc_id", digits, "component_id")
 
