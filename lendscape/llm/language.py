@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from lendscape.llm import common
 
 DIMENSIONS = 1024
-GRAMS_KEPT = 20_000
-WORDS_KEPT = 100_000
+GRAMS_KEPT = 8_000
+TABLE_STEP = 2048
+WORDS_KEPT = 60_000
 WORDS_AT_ONCE = 20_000
 LONG_WORD = 64
 DOCS_AT_ONCE = 64
@@ -57,7 +58,7 @@ class Profiles:
     def forget(self) -> None:
         self.place: dict[str, int] = {}
         self.of_word: dict[str, bytes] = {}
-        self.table = np.zeros((1024, DIMENSIONS), np.float32)
+        self.table = np.zeros((TABLE_STEP, DIMENSIONS), np.float32)
 
     def full(self) -> bool:
         return len(self.place) > GRAMS_KEPT
@@ -70,7 +71,7 @@ class Profiles:
             if at is None:
                 at = self.place[gram] = len(self.place)
                 if at >= len(self.table):
-                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+                    self.table = np.concatenate([self.table, np.zeros((TABLE_STEP, DIMENSIONS), np.float32)])
                 a, b, c = (letter_vector(ord(x)) for x in gram)
                 self.table[at] = np.roll(a, 2) * np.roll(b, 1) * c
             out.append(at)
@@ -129,11 +130,13 @@ def prototypes(docs: DataFrame) -> list[tuple[str, np.ndarray]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         weights: dict[str, np.ndarray] = {}
-        own = Profiles()
+        own = profiles()  # a worker runs one task at a time; whoever finds it full settles and forgets
 
         def settle() -> None:
             for lang, w in weights.items():
-                sums[lang] = sums.get(lang, 0.0) + w @ own.table[: len(w)].astype(np.float64)
+                for at in range(0, len(w), TABLE_STEP):  # in parts: doubles take twice the room of the table
+                    part = w[at : at + TABLE_STEP]
+                    sums[lang] = sums.get(lang, 0.0) + part @ own.table[at : at + len(part)].astype(np.float64)
             weights.clear()
 
         def add(lang: str, n: np.ndarray, scale: float) -> None:

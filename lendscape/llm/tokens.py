@@ -94,13 +94,13 @@ def _byte_letters() -> dict[int, str]:
 class TextEncoder:
     """Ids of whole texts, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = UNITS_KEPT):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.latin = UnitEncoder(self._merge, self._cut)
-        self.wide = UnitEncoder(self._whole)
+        self.latin = UnitEncoder(self._merge, self._cut, kept)
+        self.wide = UnitEncoder(self._whole, kept=kept // 4)
 
     def _merge(self, piece: str) -> list[int]:
         """A piece is merged by the library's model; nothing is left to cut or to normalise."""
@@ -150,4 +150,4 @@ def byte_encoder(name: str = "byte_bpe_50k.json") -> ByteEncoder:
 @cache
 def word_encoder(name: str = "word_bpe_49k.json") -> WordEncoder:
     """One per worker."""
-    return WordEncoder(public_tokenizers.path(name))
+    return WordEncoder(public_tokenizers.path(name), kept=UNITS_KEPT // 3)
