@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendscape.llm import common
+from lendscape.llm import common, near_copies
 from lendscape.llm.components import components
 from lendscape.session import Workspace
 
@@ -186,14 +186,18 @@ def near_duplicates(
 
 
 def survivors(spark: SparkSession, docs: DataFrame, ws: Workspace) -> DataFrame:
-    """The documents that stay: of each component the one whose doc_id names it. A row without a doc_id stays.
+    """The documents that stay: of each component of near copies the one whose doc_id names it. A row without a doc_id stays.
 
-    doc_id names a document; rows that repeat a doc_id and its text are one, rows that repeat a doc_id with
-    another text stay or go together.
+    A fingerprint of 64 bits tells copies with hardly a word changed; which documents go is decided on shingles
+    (see ``near_copies``). doc_id names a document; rows that repeat a doc_id and its text are one, rows that repeat
+    a doc_id with another text stay or go together.
     """
-    found = near_duplicates(spark, docs, ws)
-    gone = ws.store(found.filter("doc_id != component_id").select("doc_id").distinct(), "gone")
-    repeated = ws.store(found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "repeated")
+    rows, led = near_copies.heads(spark, docs, ws)
+    firsts = rows.groupBy("node").agg(F.min("doc_id").alias("first"))
+    named = firsts.join(led, "node", "left").select("node", F.coalesce("head_id", "first").alias("component_id"))
+    named = ws.store(named, "named")
+    gone = ws.store(rows.join(named, "node").filter("doc_id != component_id").select("doc_id").distinct(), "gone")
+    repeated = ws.store(rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "repeated")
     kept = docs.join(gone, "doc_id", "left_anti")
     if repeated.isEmpty():
         return kept.select(*docs.columns)
