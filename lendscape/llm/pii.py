@@ -2,21 +2,23 @@
 
 The base finds e-mail addresses, IP addresses, card and phone numbers. Each distinct value is a protected
 entity. How strongly a term reveals an entity is measured over the corpus, as pointwise mutual
-information as a share of the entity's own information content: 1 if the entity is near wherever the term
-occurs, 0 if the term says nothing about it. Terms at the generalising threshold or above are replaced by their
+information as a share of the entity's own information content: 1 if the entity is in every document of the
+term, 0 if the term says nothing about it. Terms at the generalising threshold or above are replaced by their
 kind (a number, a code, a name, a word), those at the removing threshold or above disappear, wherever they occur.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lendscape.llm import common
@@ -30,10 +32,8 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 WORDS = re.compile(r"[^\W_]+")
-# Terms this near an entity are its context.
-WINDOW = 10
-# An entity or a pair in fewer different texts says nothing reliable.
-LEAST_TEXTS = 5
+# The odds at which chance would bring a term and an entity together as often as the evidence for a pair has it.
+CHANCE = 0.01
 GENERALISE, REMOVE = 0.8, 0.95
 TERMS_HELD = 100_000
 TERMS_SENT = 20_000
@@ -92,24 +92,16 @@ def entity(text: str, span: Span) -> str:
     return f"{kind} {found.lower() if kind == 'email' else found if kind == 'ip' else _digits(found)}"
 
 
-def contexts(text: str) -> set[tuple[str, str]]:
-    """Entities of a text, each with the terms near it; an entity without any has the empty term."""
-    spans = base_spans(text)
-    if not spans:
-        return set()
-    words = [m for m in WORDS.finditer(text) if m.end() - m.start() > 1]
-    starts = [m.start() for m in words]
-    taken = _covered(spans)
-    free = [not _inside(taken, m.start(), m.end()) for m in words]
-    out = set()
-    for span in spans:
-        name = entity(text, span)
-        out.add((name, ""))
-        low, high = bisect_left(starts, span[1]), bisect_left(starts, span[2])
-        for k in [*range(max(0, low - WINDOW), low), *range(high, min(len(words), high + WINDOW))]:
-            if free[k]:
-                out.add((name, words[k][0].lower()))
-    return out
+def entities(text: str | None) -> set[str]:
+    """What the base finds in a text."""
+    return {entity(text, span) for span in base_spans(text)}
+
+
+def terms_of(text: str) -> set[str]:
+    """The words of a text that are not part of an entity."""
+    taken = _covered(base_spans(text))
+    words = (m for m in WORDS.finditer(text) if m.end() - m.start() > 1)
+    return {m[0].lower() for m in words if not _inside(taken, m.start(), m.end())}
 
 
 def _covered(spans: list[Span]) -> list[tuple[int, int]]:
@@ -128,22 +120,50 @@ def _inside(stretches: list[tuple[int, int]], start: int, end: int) -> bool:
     return (k >= 0 and stretches[k][1] > start) or (k + 1 < len(stretches) and stretches[k + 1][0] < end)
 
 
-def _mentions(docs: DataFrame) -> DataFrame:
-    """A row per document, entity and term near it, with a hash of the text."""
+def _digest() -> Column:
+    return F.xxhash64("text").alias("digest")
+
+
+def _listed(docs: DataFrame, found: Callable[[str], set[str]], name: str) -> DataFrame:
+    """A row per document (column ``digest``) and string found in its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [[], [], []]
-            for text in batch.column(0).to_pylist():
-                if text and (pairs := contexts(text)):
-                    digest = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
-                    for name, term in pairs:
-                        for column, value in zip(out, (name, term, digest), strict=True):
-                            column.append(value)
-            kinds = (pa.string(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["entity", "term", "digest"])
+            found_in = [list(found(text)) if text else [] for text in batch.column(1).to_pylist()]
+            digests = np.repeat(batch.column(0).to_numpy(), [len(x) for x in found_in])
+            strings = pa.array([x for part in found_in for x in part], pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.int64()), strings], names=["digest", name])
+
+    return docs.select(_digest(), "text").mapInArrow(run, f"digest long, {name} string")
+
 
-    return docs.select("text").mapInArrow(run, "entity string, term string, digest long")
+def together(docs: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
+    """How many documents hold each entity (``n_entity``), and each entity with a term anywhere in the document
+    (``n_both``; ``texts`` counts copies once).
+
+    Left out is only what one text alone holds: by ``evidence`` it proves nothing.
+    """
+    mentions = ws.store(_listed(docs, entities, "entity").groupBy("digest", "entity").agg(F.count("*").alias("n")), "mentions")
+    alone = mentions.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("texts")).filter("texts > 1")
+    alone = ws.store(alone.drop("texts"), "entities")
+    held = ws.store(mentions.join(alone, "entity").select("digest", "entity", "n"), "held")
+    texts = docs.select(_digest(), "text").join(held.select("digest").distinct(), "digest", "left_semi").dropDuplicates(["digest"])
+    words = _listed(texts.select("text"), terms_of, "term")
+    pairs = held.join(words, "digest").groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts"))
+    return alone, ws.store(pairs.filter("texts > 1"), "pairs")
+
+
+def evidence() -> Column:
+    """Bits by which chance is ruled out as the reason why a term and an entity occur together (Chernoff's bound).
+
+    The first text makes one ask, the others answer: of the ``texts`` that hold both and the documents that hold the term
+    alone, all but one are trials, each with the entity at its share of all documents if the term says nothing about it.
+    """
+    hits = (F.col("texts") - 1).cast("double")
+    trials = hits + F.col("n_term") - F.col("n_both")
+    rate, chance = hits / trials, F.col("n_entity") / F.col("n_docs")
+    missed = F.when(rate < 1, (1 - rate) * F.log2(F.try_divide(1 - rate, 1 - chance))).otherwise(0.0)
+    return F.when(rate > chance, trials * (rate * F.log2(rate / chance) + missed)).otherwise(0.0)
 
 
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -174,17 +194,14 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 def disclosing_terms(docs: DataFrame, ws: Workspace) -> DataFrame:
     """Terms that give a protected entity away: term and the strongest ``share`` of an entity's information.
 
-    Counts are of documents, all of them; an entity and a pair count as evidence only if LEAST_TEXTS
-    different texts hold them, so copies of one text prove nothing.
+    Counts are of documents, all of them. Rare entities and pairs are judged like any other: a pair counts if chance
+    would bring it about with odds of less than CHANCE, by different texts, so copies of one text prove nothing.
     """
-    by_text = _mentions(docs).groupBy("entity", "term", "digest").agg(F.count("*").alias("n"))
-    pairs = by_text.groupBy("entity", "term").agg(F.sum("n").alias("n"), F.count("*").alias("texts"))
-    pairs = ws.store(pairs.filter(F.col("texts") >= LEAST_TEXTS), "pairs")
-    together = pairs.filter("term != ''").withColumnRenamed("n", "n_both")
-    alone = pairs.filter("term = ''").select("entity", F.col("n").alias("n_entity"))
-    counted = term_counts(docs, together.select("term").distinct())
+    alone, pairs = together(docs, ws)
+    counted = term_counts(docs, pairs.select("term").distinct())
     all_docs = docs.agg(F.count("*").alias("n_docs"))
-    joined = together.join(alone, "entity").join(counted, "term").withColumn("n_docs", all_docs.scalar())
+    joined = pairs.join(alone, "entity").join(counted, "term").withColumn("n_docs", all_docs.scalar())
+    joined = joined.filter(evidence() >= -math.log2(CHANCE))
     own = F.log2(F.col("n_docs") / F.col("n_entity"))
     mutual = F.log2(F.col("n_both") * F.col("n_docs") / F.col("n_entity") / F.col("n_term"))
     share = joined.withColumn("share", F.try_divide(mutual, own)).filter(F.col("share") >= GENERALISE)

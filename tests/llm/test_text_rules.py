@@ -80,6 +80,16 @@ def test_terms_that_give_an_entity_away(spark):
     assert pii.find(spark, df.limit(0), Workspace(spark, "pii-test")).collect() == []
 
 
+def test_rare_entities_and_far_terms_are_judged(spark):
+    far = " ".join(f"filler{n}" for n in range(40))
+    rows = [(k, f"Quillfeather wrote in week {k} {far} reach r{k}q at quill@nest.org", None) for k in range(4)]
+    rows += [(100 + k, f"plain talk {far} about week {k} with nobody", None) for k in range(200)]
+    rows += [(400 + k, "one text only hermit@cave.org moonbeam", None) for k in range(9)]
+    ws = Workspace(spark, "pii-test")
+    terms = {r["term"]: r["share"] for r in pii.disclosing_terms(docs(spark, rows), ws).collect()}
+    assert terms["quillfeather"] >= pii.REMOVE and not {"moonbeam", "filler3", "week", "r1q"} & set(terms)
+
+
 def test_terms_in_several_passes_change_nothing(spark, monkeypatch):
     rows = [(k, f"alpha beta gamma mail a@b.cd here {k}", None) for k in range(10)] + [(50 + k, f"quiet {k}", None) for k in range(90)]
     df = docs(spark, rows)
