@@ -217,8 +217,19 @@ def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def accepted(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents with a language: those without a letter go. All columns stay as they are."""
+    """The documents with a language: null texts and those without a letter go. All columns stay as they are.
+
+    No cosine rejects. Where nothing was learnt, as no text with a language could be learnt from, the letters alone decide.
+    """
     common.small_batches(spark)
-    predict = predictor(prototypes(docs.select("doc_id", "text", "lang")))
+    learnt = prototypes(docs.select("doc_id", "text", "lang"))
+    if not learnt:
+
+        @F.pandas_udf("boolean")
+        def lettered(texts):
+            return texts.map(lambda text: LETTERS.search(text or "") is not None).astype(bool)
+
+        return docs.filter(lettered("text"))
+    predict = predictor(learnt)
     name = common.fresh(docs, "_p")
     return docs.withColumn(name, predict("text")).filter(F.col(name)["lang_pred"] != UNKNOWN).select(*docs.columns)

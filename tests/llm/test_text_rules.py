@@ -127,6 +127,15 @@ def test_what_has_no_letter_has_no_language(spark):
     assert {r["lang_pred"] for r in language.identify(spark, df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_texts_with_letters_stay_where_nothing_can_be_learnt(spark):
+    held = [k for k in range(40) if language.held_out(k)]
+    texts = {1: "some words", 2: "12 + 3", 3: None, 4: "", 5: "漢字"}
+    df = docs(spark, [(d, t, None) for d, t in texts.items()])
+    assert sorted(r["doc_id"] for r in language.accepted(spark, df).collect()) == [1, 5]
+    df = docs(spark, [(d, f"some words {d}", "en") for d in held])
+    assert language.accepted(spark, df).count() == len(held) > 0
+
+
 def test_bundles_are_sums_of_bound_letters(monkeypatch):
     def slow(text):
         out = np.zeros(language.DIMENSIONS)
