@@ -190,16 +190,18 @@ def survivors(spark: SparkSession, docs: DataFrame, ws: Workspace) -> DataFrame:
 
     A fingerprint of 64 bits tells copies with hardly a word changed; which documents go is decided on shingles
     (see ``near_copies``). doc_id names a document; rows that repeat a doc_id and its text are one, rows that repeat
-    a doc_id with another text stay or go together.
+    a doc_id with another text are judged each by its own component.
     """
     rows, led = near_copies.heads(spark, docs, ws)
-    firsts = rows.groupBy("node").agg(F.min("doc_id").alias("first"))
-    named = firsts.join(led, "node", "left").select("node", F.coalesce("head_id", "first").alias("component_id"))
-    named = ws.store(named, "named")
-    gone = ws.store(rows.join(named, "node").filter("doc_id != component_id").select("doc_id").distinct(), "gone")
-    repeated = ws.store(rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "repeated")
-    kept = docs.join(gone, "doc_id", "left_anti")
+    firsts = rows.groupBy("node").agg(F.min("doc_id").alias("_first"))
+    heads = firsts.join(led, "node", "left").filter("head is null or head = node").filter("_first is not null")
+    heads = ws.store(heads.select(F.col("node").alias("_node"), "_first"), "heads")
+    again = rows.filter("doc_id is not null").groupBy("doc_id", "node").agg(F.count("*").alias("n")).filter("n > 1")
+    repeated = ws.store(again.select(F.col("doc_id").alias("_first"), F.col("node").alias("_node")), "repeated")
+    named = docs.withColumns({"_first": F.col("doc_id").cast("long"), "_node": near_copies.node()})
+    kept = named.join(heads, ["_first", "_node"], "left_semi")
+    unnamed = docs.filter("doc_id is null")
     if repeated.isEmpty():
-        return kept.select(*docs.columns)
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
+        return kept.select(*docs.columns).unionByName(unnamed)
+    once = kept.join(repeated, ["_first", "_node"], "left_semi").dropDuplicates(["_first", "_node"]).select(*docs.columns)
+    return kept.join(repeated, ["_first", "_node"], "left_anti").select(*docs.columns).unionByName(once).unionByName(unnamed)

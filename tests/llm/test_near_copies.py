@@ -61,6 +61,13 @@ def test_a_crowd_leaves_one_and_no_two_that_stay_are_near(spark):
     assert not [(a, b) for a in left for b in left if a < b and similarity(texts[a], texts[b]) >= 0.8]
 
 
+def test_a_doc_id_with_two_texts_leaves_one_of_each_group(spark):
+    rows = [(5, "a text of group one here"), (9, "a text of group one here"), (5, "some other text of group two"), (3, "some other text of group two")]
+    rows += [(5, "a text of group one here"), (None, "a text of group one here")]
+    left = simhash.survivors(spark, spark.createDataFrame(rows, SCHEMA), Workspace(spark, "near-test")).collect()
+    assert sorted(((r[0] or -1), r[1][:4]) for r in left) == [(-1, "a te"), (3, "some"), (5, "a te")]
+
+
 def test_what_buckets_leave_unlike_is_compared_pair_by_pair(spark, monkeypatch):
     monkeypatch.setattr(near_copies, "ROUNDS", 0)
     rows = [(k, "one text of a good many words " * 3 + "the same for all of these " * 2 + ("." if k % 2 else "")) for k in range(4)]
