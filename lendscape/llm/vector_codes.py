@@ -160,7 +160,7 @@ def _moved(kept: DataFrame, books: np.ndarray) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, sums, counts = Coder(books), None, np.zeros(books.shape[:2], np.int64)
-        for batch in common.regrouped(batches, max(1, HELD // (PARTS * width))):
+        for batch in common.regrouped(batches, max(1, HELD // max(PARTS, PARTS * width))):
             parts = _parts(batch.column(0), width)
             index, _ = coder.assign(parts)
             if sums is None:
@@ -225,7 +225,7 @@ def encode(spark: SparkSession, rows: DataFrame, ws: Workspace, rounds: int = RO
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(books)
-        for batch in common.regrouped(batches, max(1, HELD // (PARTS * width))):
+        for batch in common.regrouped(batches, max(1, HELD // max(PARTS, PARTS * width))):
             index, distance = coder.assign(_parts(batch.column(2), width))
             error = [min(int(e), LONGEST) for e in distance.sum(axis=1)]
             found = pa.array(index.tolist(), pa.list_(pa.int32()))

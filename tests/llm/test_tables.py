@@ -18,7 +18,7 @@ SF = "/root/testdata/sf0.01"
 @pytest.mark.parametrize("name", sorted(ANSWERS))
 def test_query_matches_its_answer(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "pages", "embeddings"):
+    for table in ("documents", "pages", "embeddings", "conversations", "labels"):
         con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     want = con.execute(ANSWERS[name]).fetchdf()
     got = QUERIES[name](spark, SF).toPandas()
