@@ -1,17 +1,24 @@
 """Near copies: documents whose sets of five-word shingles have a Jaccard similarity of at least 0.8.
 
-Candidates share a bucket: BANDS of ROWS minima of the hashed shingles each. A pair at the threshold shares none with
-probability (1 - 0.8 ** 6) ** 40 = 5e-6, a closer pair with less. Every link is then verified on the shingles.
-
-A bucket is not compared pair by pair, so a crowd of near copies costs one comparison for each of them: its members are
-compared with the smallest, those near it are settled, the rest compare with the smallest of the rest, and so on.
-What this leaves apart is met again: as long as there are new links, the heads of the components are compared once more.
+Candidates come from SimHash through Golay keys. Every shingle votes on SEGMENTS * 23 bits. A pair at the threshold
+differs in about 15% of them, too many for whole segments to be equal or within the code's reach; so a segment is
+decoded from the votes themselves to the codeword that they follow most, on which such a pair agrees one time in four. A key
+joins the codewords of a few segments: more segments the more documents there are, so that strangers
+seldom share one, and more keys the more segments, so that a pair at the threshold is met nine times in ten and a
+closer one all but always (``recall`` in the tests).
+
+Who shares a key is compared, never pair by pair: members are taken in turn, those near a leader belong to it, the
+others are leaders themselves, and every member is compared with all leaders. Fingerprints rule out most, the
+rest are compared on their shingles, so every link is verified. A crowd is cut into blocks first, whose leaders meet again.
+A first pass over some of the keys takes most copies out; the heads of the components meet once more over all keys, until
+that finds no new link.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+import math
+from collections.abc import Iterator, Sequence
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,23 +26,27 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lendscape.llm import common
+from lendscape.llm import common, golay
 from lendscape.llm.components import components
 from lendscape.session import Workspace
 
 SHINGLE_WORDS = 5
 # Similarity of at least 4 / 5, in whole numbers.
 NEAR = (4, 5)
-BANDS, ROWS = 40, 6
 SEED = 42
-SHINGLES_AT_ONCE = 256
-# After so many rounds what is left in a bucket, all unlike each other, is compared pair by pair.
-ROUNDS = 6
-HASHES_HELD = 1 << 20
-
-_DRAWN = np.random.default_rng(SEED)
-FACTORS = _DRAWN.integers(0, 1 << 31, BANDS * ROWS).astype(np.uint32) * np.uint32(2) + np.uint32(1)
-OFFSETS = _DRAWN.integers(0, 1 << 32, BANDS * ROWS).astype(np.uint32)
+SEGMENTS = 32
+WORDS = -(-SEGMENTS * golay.BITS // 64)
+# Strangers that share a key, on average, at most.
+LOAD = 1 / 64
+# How many keys of so many segments. Beyond 10^9 documents strangers share more keys than LOAD says.
+KEYS = {2: 64, 3: 512}
+# The share of the keys that the first pass looks at; the others look at all of them.
+FIRST = 0.25
+# Bits in which near copies may differ, as a share: their 15% and, for short texts, over four deviations more.
+FARTHEST = 0.27
+# Shingles that a task holds of one block.
+BLOCK = 1 << 21
+VOTES = 255
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -56,107 +67,176 @@ def near(a: np.ndarray, b: np.ndarray) -> bool:
     return NEAR[1] * both >= NEAR[0] * (len(a) + len(b) - both)
 
 
-def buckets(found: np.ndarray) -> list[int]:
-    """A signed 64-bit key per band."""
-    short = (found ^ (found >> np.uint64(32))).astype(np.uint32)
-    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(short), SHINGLES_AT_ONCE):
-        least = np.minimum(least, (short[at : at + SHINGLES_AT_ONCE, None] * FACTORS + OFFSETS).min(0))
-    bands = least.reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(bands)], np.uint64).view(np.int64).tolist()
+def votes(found: np.ndarray) -> np.ndarray:
+    """Per bit, by how many shingles those for 1 outnumber those for 0."""
+    ones = np.zeros(64 * WORDS, np.int64)
+    salts = np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(found), VOTES):
+        drawn = found[at : at + VOTES, None] + salts
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            drawn = (drawn ^ (drawn >> np.uint64(shift))) * np.uint64(factor)
+        drawn ^= drawn >> np.uint64(31)
+        # No more votes at a time than a byte can count.
+        ones += np.unpackbits(drawn.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return (2 * ones - len(found))[: SEGMENTS * golay.BITS]
+
+
+def segments_for(classes: int) -> int:
+    """Segments to a key, so that strangers share one LOAD times on average."""
+    return min(max(2, math.ceil(math.log(max(classes, 1) / LOAD) / math.log(4096))), max(KEYS))
+
+
+@cache
+def combinations(segments: int) -> np.ndarray:
+    """The segments of each key, all used about equally often."""
+    rng = np.random.default_rng(SEED)
+    chosen: list[tuple[int, ...]] = []
+    while len(chosen) < KEYS[segments]:
+        order = rng.permutation(SEGMENTS)
+        chosen += [tuple(sorted(order[k : k + segments])) for k in range(0, SEGMENTS - segments + 1, segments)]
+        chosen = list(dict.fromkeys(chosen))
+    return np.array(chosen[: KEYS[segments]])
+
 
+def keys(sums: np.ndarray, segments: int) -> np.ndarray:
+    """Signed 64-bit keys, a row of them per row of votes. 12 bits a segment and 12 for which they are fit one number."""
+    codes = np.stack([golay.nearest(sums[:, k * golay.BITS : (k + 1) * golay.BITS]) for k in range(SEGMENTS)], axis=1)
+    combined = np.zeros((len(sums), KEYS[segments]), np.int64)
+    for part in combinations(segments).T:
+        combined = combined << 12 | codes[:, part]
+    return combined << 12 | np.arange(KEYS[segments])
 
-def node() -> Column:
-    """Rows of one text are one node."""
-    return F.xxhash64(F.coalesce("text", F.lit("")))
 
+def digest() -> Column:
+    """Rows of one text are one class."""
+    return F.sha2(F.coalesce("text", F.lit("")), 256)
 
-def _entries(docs: DataFrame) -> DataFrame:
-    """A row per node, with its buckets."""
+
+def _entries(docs: DataFrame, segments: int) -> DataFrame:
+    """digest, bits (the fingerprint) and keys per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [buckets(shingles(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64()))], names=["node", "keys"])
+            sums = np.array([votes(shingles(t)) for t in batch.column(1).to_pylist()], np.int64).reshape(batch.num_rows, -1)
+            bits = [row.tobytes() for row in np.packbits(sums > 0, axis=1)]
+            found = pa.array(keys(sums, segments).tolist(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary()), found], names=["digest", "bits", "keys"])
 
-    return docs.select(node().alias("node"), "text").mapInArrow(run, "node long, keys array<long>").dropDuplicates(["node"])
+    return docs.select(digest().alias("digest"), "text").mapInArrow(run, "digest string, bits binary, keys array<long>")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Adds to pairs a < b of nodes whether they are ``near``."""
+def _sets(texts: DataFrame) -> DataFrame:
+    """node, bits, n and the shingles as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        size = 0
         for batch in batches:
-            ends, out = [c.to_pylist() for c in batch.columns[:2]], []
-            for k, (a, b) in enumerate(zip(*ends, strict=True)):
-                if a not in held:
-                    if size > HASHES_HELD:
-                        held, size = {}, 0
-                    held[a] = shingles(batch.column(2)[k].as_py())
-                    size += len(held[a])
-                out.append(near(held[a], shingles(batch.column(3)[k].as_py())))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.bool_())], names=["a", "b", "near"])
-
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(run, "a long, b long, near boolean")
-
-
-def _compared(members: DataFrame, texts: DataFrame, known: list[DataFrame], ws: Workspace, name: str) -> list[DataFrame]:
-    """Verdicts on the members of buckets, besides those that are known: see above."""
-    fresh: list[DataFrame] = []
-    for k in range(ROUNDS + 1):
-        if k < ROUNDS:
-            pivots = members.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("far")).filter("a != far").drop("far")
-            met = members.join(pivots, "key").filter("node != a").select("key", "a", F.col("node").alias("b"))
+            found = [shingles(t) for t in batch.column(2).to_pylist()]
+            n = pa.array([len(f) for f in found], pa.int64())
+            held = pa.array([f.tobytes() for f in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], n, held], names=["node", "bits", "n", "held"])
+
+    return texts.select("node", "bits", "text").mapInArrow(run, "node long, bits binary, n long, held binary")
+
+
+def led_by(nodes: Sequence[int], bits: np.ndarray, sets: Sequence[np.ndarray]) -> list[tuple[int, int]]:
+    """Links (leader, member) among those who share a key, in the order given."""
+    most = FARTHEST * SEGMENTS * golay.BITS
+    leaders, others, links = [], [], []
+
+    def close(k: int, among: list[int]) -> Iterator[int]:
+        apart = np.bitwise_count(bits[among] ^ bits[k]).sum(axis=1, dtype=np.int64)
+        return (among[j] for j in np.flatnonzero(apart <= most).tolist() if near(sets[among[j]], sets[k]))
+
+    for k in range(len(nodes)):
+        (leaders if not leaders or next(close(k, leaders), None) is None else others).append(k)
+    for k in others:
+        links += [(nodes[leader], nodes[k]) for leader in close(k, leaders)]
+    return links
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """Links a, b of the groups in ``rows``: grp, node, bits, held, arriving sorted by (grp, node)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, nodes, bits, sets = None, [], [], []
+
+        def done() -> pa.RecordBatch:
+            links = led_by(nodes, np.array(bits, np.uint8).reshape(len(nodes), -1), sets) if len(nodes) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            for grp, node, found, held in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if grp != now:
+                    yield done()
+                    now, nodes, bits, sets = grp, [], [], []
+                nodes.append(node)
+                bits.append(np.frombuffer(found, np.uint8))
+                sets.append(np.frombuffer(held, np.uint64))
+        yield done()
+
+    return rows.select("grp", "node", "bits", "held").mapInArrow(run, "a long, b long")
+
+
+def _pass(members: DataFrame, sets: DataFrame, ws: Workspace, name: str) -> list[DataFrame]:
+    """Links found by the keys of ``members`` (key, node); each frame is stored.
+
+    A key's members are compared in blocks. Where there are several, their leaders meet again in fewer blocks,
+    until one is left; where a round leaves over half of them, unlike as they are, its blocks are compared two by two.
+    """
+    parts = common.partitions(members.sparkSession)
+    sized = members.join(sets.select("node", "n"), "node")
+    found, k, whole = [], 0, False
+    while True:
+        held = sized.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.col("n") + 8).alias("held")).filter("m > 1")
+        cut = sized.join(held, "key").withColumn("blocks", F.ceil(F.col("held") / BLOCK).cast("int"))
+        cut = ws.store(cut.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), f"{name}-cut-{k}")
+        if whole:
+            dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            grp = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
         else:
-            met = members.withColumnRenamed("node", "a").join(members.withColumnRenamed("node", "b"), "key").filter("a < b")
-        pairs = met.select("a", "b").distinct()
-        before = [*known, *fresh]
-        if before:
-            pairs = pairs.join(reduce(DataFrame.unionByName, before).select("a", "b"), ["a", "b"], "left_anti")
-        fresh.append(ws.store(_verified(pairs, texts), f"{name}-verdicts-{k}"))
-        linked = reduce(DataFrame.unionByName, [*known, *fresh]).filter("near").select("a", "b")
-        if k < ROUNDS:
-            rest = met.join(linked, ["a", "b"], "left_anti").select("key", F.col("b").alias("node"))
-            members = ws.store(rest, f"{name}-rest-{k}")
-            if members.isEmpty():
-                break
-    return fresh
+            dealt, grp = cut, F.xxhash64("key", "own")
+        ready = dealt.select(grp.alias("grp"), "node").join(sets.select("node", "bits", "held"), "node")
+        links = ws.store(_met(ready.repartition(parts, "grp").sortWithinPartitions("grp", "node")), f"{name}-links-{k}")
+        found.append(links)
+        crowds = cut.filter("blocks > 1")
+        before = 0 if whole else crowds.count()
+        if not before:
+            return found
+        sized = ws.store(crowds.select("key", "node", "n").join(links.select(F.col("b").alias("node")).distinct(), "node", "left_anti"), f"{name}-rest-{k}")
+        whole = 2 * sized.count() > before
+        k += 1
 
 
 def heads(spark: SparkSession, docs: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
-    """Two frames: the rows' ``doc_id`` and ``node``, and per node that goes or leads its component's ``head_id`` and ``head``.
+    """Two frames: ``classes``, the different texts (digest, node, first: their smallest doc_id), and per node of a component
+    of near copies its ``head``, the node with the smallest doc_id.
 
-    The head of a component is its smallest doc_id with that row's text. No two heads are near (see above for the
-    odds), and every node is linked to its head by verified links. A node that is near no other is not listed.
+    Every node is linked to its head by verified links, and no two heads are near, but for those that share no key.
     """
     common.small_batches(spark)
-    rows = ws.store(docs.select(F.col("doc_id").cast("long"), node().alias("node")), "rows")
-    entries = ws.store(_entries(docs), "entries")
+    names = docs.select(digest().alias("digest"), F.col("doc_id").cast("long").alias("doc_id"))
+    grouped = names.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    classes = ws.store(grouped.select("digest", F.monotonically_increasing_id().alias("node"), "first"), "classes")
+    segments = segments_for(classes.count())
+    entries = _entries(docs, segments).dropDuplicates(["digest"])
+    entries = ws.store(entries.join(classes.select("digest", "node"), "digest"), "entries")
     keyed = entries.select(F.explode("keys").alias("key"), "node")
     shared = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a != z").select("key")
     members = ws.store(keyed.join(shared, "key"), "members")
+    candidates = entries.select("digest", "node", "bits").join(members.select("node").distinct(), "node", "left_semi")
+    texts = docs.select(digest().alias("digest"), "text").join(candidates, "digest").dropDuplicates(["node"])
+    sets = ws.store(_sets(texts), "sets")
     ws.drop("entries")
-    candidates = members.select("node").distinct()
-    texts = docs.select(node().alias("node"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = ws.store(texts.join(candidates, "node", "left_semi").dropDuplicates(["node"]), "texts")
-    firsts = ws.store(rows.join(candidates, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("first")), "firsts")
-    led = spark.createDataFrame([], "node long, head_id long, head long")
-    known: list[DataFrame] = []
-    now, k = members, 0
+    now, links, k = members.filter(F.col("key").bitwiseAND(0xFFF) < FIRST * KEYS[segments]), [], 0
+    led = spark.createDataFrame([], "node long, head long")
     while True:
-        fresh = _compared(now, texts, known, ws, f"pass-{k}")
-        known += fresh
-        if reduce(DataFrame.unionByName, fresh).filter("near").isEmpty():
-            return rows, led
-        label = components(reduce(DataFrame.unionByName, known).filter("near").select("a", "b"), ws, f"components-{k}")
-        named = label.join(firsts, "node")
-        least = F.min(F.struct(F.col("first").isNull(), F.col("first").alias("head_id"), F.col("node").alias("head"))).alias("h")
-        head = named.groupBy("label").agg(least).select("label", "h.head_id", "h.head")
-        led = ws.store(named.join(head, "label").select("node", "head_id", "head"), f"led-{k}")
-        now = ws.store(members.join(led.filter("node != head"), "node", "left_anti").select("key", "node"), f"members-{k}")
+        fresh = _pass(now, sets, ws, f"pass-{k}")
+        if k and reduce(DataFrame.unionByName, fresh).isEmpty():
+            return classes, led
+        links += fresh
+        named = components(reduce(DataFrame.unionByName, links), ws, f"components-{k}").join(classes, "node")
+        least = F.min(F.struct(F.col("first").isNull(), "first", F.col("node").alias("head"))).alias("h")
+        head = named.groupBy("label").agg(least).select("label", "h.head")
+        led = ws.store(named.join(head, "label").select("node", "head"), f"led-{k}")
+        now = members.join(led.filter("node != head"), "node", "left_anti").select("key", "node")
         k += 1

@@ -28,14 +28,13 @@ from pyspark.sql import functions as F
 
 from lendscape.llm import common, near_copies
 from lendscape.llm.components import components
+from lendscape.llm.golay import GENERATOR
 from lendscape.session import Workspace
 
 SHINGLE_WORDS = 3
 MOST_BITS = 3
 SEED = 42
 WIDTHS = (22, 21, 21)
-# Generator polynomial of the binary Golay code: a fixed value.
-GENERATOR = 0b110001110101
 SHINGLES_AT_ONCE = 1 << 16
 
 
@@ -190,18 +189,18 @@ def survivors(spark: SparkSession, docs: DataFrame, ws: Workspace) -> DataFrame:
 
     A fingerprint of 64 bits tells copies with hardly a word changed; which documents go is decided on shingles
     (see ``near_copies``). doc_id names a document; rows that repeat a doc_id and its text are one, rows that repeat
-    a doc_id with another text are judged each by its own component.
+    a doc_id with another text are judged each by its own component. Columns stay as they are, whatever their names.
     """
-    rows, led = near_copies.heads(spark, docs, ws)
-    firsts = rows.groupBy("node").agg(F.min("doc_id").alias("_first"))
-    heads = firsts.join(led, "node", "left").filter("head is null or head = node").filter("_first is not null")
-    heads = ws.store(heads.select(F.col("node").alias("_node"), "_first"), "heads")
-    again = rows.filter("doc_id is not null").groupBy("doc_id", "node").agg(F.count("*").alias("n")).filter("n > 1")
-    repeated = ws.store(again.select(F.col("doc_id").alias("_first"), F.col("node").alias("_node")), "repeated")
-    named = docs.withColumns({"_first": F.col("doc_id").cast("long"), "_node": near_copies.node()})
-    kept = named.join(heads, ["_first", "_node"], "left_semi")
+    classes, led = near_copies.heads(spark, docs, ws)
+    key, text = common.fresh(docs, "_first"), common.fresh(docs, "_digest")
+    stay = classes.join(led, "node", "left").filter("head is null or head = node").filter("first is not null")
+    heads = ws.store(stay.select(F.col("digest").alias(text), F.col("first").alias(key)), "heads")
+    named = docs.withColumns({key: F.col("doc_id").cast("long"), text: near_copies.digest()})
+    again = named.filter("doc_id is not null").groupBy(key, text).agg(F.count("*").alias("n")).filter("n > 1")
+    repeated = ws.store(again.select(key, text), "repeated")
+    kept = named.join(heads, [key, text], "left_semi")
     unnamed = docs.filter("doc_id is null")
     if repeated.isEmpty():
         return kept.select(*docs.columns).unionByName(unnamed)
-    once = kept.join(repeated, ["_first", "_node"], "left_semi").dropDuplicates(["_first", "_node"]).select(*docs.columns)
-    return kept.join(repeated, ["_first", "_node"], "left_anti").select(*docs.columns).unionByName(once).unionByName(unnamed)
+    once = kept.join(repeated, [key, text], "left_semi").dropDuplicates([key, text]).select(*docs.columns)
+    return kept.join(repeated, [key, text], "left_anti").select(*docs.columns).unionByName(once).unionByName(unnamed)

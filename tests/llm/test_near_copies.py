@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from lendscape.llm import near_copies, simhash
 from lendscape.session import Workspace
@@ -68,16 +69,56 @@ def test_a_doc_id_with_two_texts_leaves_one_of_each_group(spark):
     assert sorted(((r[0] or -1), r[1][:4]) for r in left) == [(-1, "a te"), (3, "some"), (5, "a te")]
 
 
-def test_what_buckets_leave_unlike_is_compared_pair_by_pair(spark, monkeypatch):
-    monkeypatch.setattr(near_copies, "ROUNDS", 0)
-    rows = [(k, "one text of a good many words " * 3 + "the same for all of these " * 2 + ("." if k % 2 else "")) for k in range(4)]
-    assert kept(spark, rows) == [0]
+@pytest.mark.parametrize("unlike", [False, True])
+def test_a_crowd_of_many_blocks(spark, monkeypatch, unlike):
+    """Leaders of the blocks meet again; a crowd that stays unlike is compared block by block."""
+    monkeypatch.setattr(near_copies, "BLOCK", 600)
+    rng = np.random.default_rng(9)
+    words = [f"w{n}" for n in rng.integers(0, 3000, 90)]
+    rows = [(k, " ".join(edited(rng, words, 9 if unlike else 1))) for k in range(60)]
+    rows += [(100 + k, rows[k][1].replace("x", "x", 1) + " end") for k in range(0, 60, 4)]
+    if unlike:
+        monkeypatch.setattr(near_copies, "keys", lambda sums, segments: np.zeros((len(sums), near_copies.KEYS[segments]), np.int64) + np.arange(near_copies.KEYS[segments]))
+        monkeypatch.setattr(near_copies, "KEYS", {2: 2})
+        monkeypatch.setattr(near_copies, "FARTHEST", 1.0)
+    left = kept(spark, rows)
+    texts = {d: sets(t) for d, t in rows}
+    assert not [(a, b) for a in left for b in left if a < b and similarity(texts[a], texts[b]) >= 0.8]
+    assert all(any(similarity(texts[d], texts[b]) >= 0.8 for b in texts if b != d) for d in texts if d not in left)
+    assert len(left) == (60 if unlike else 1)
 
 
-def test_recall_of_the_buckets():
+@pytest.mark.parametrize("segments", [2, 3])
+def test_recall_of_the_keys(segments):
+    """At least nine in ten at the threshold, more above it, and few strangers."""
     rng = np.random.default_rng(8)
-    met = 0
-    for _ in range(300):
-        both, a, b = (rng.integers(0, 1 << 63, n).astype(np.uint64) for n in (80, 10, 10))
-        met += bool(set(near_copies.buckets(np.concatenate([both, a]))) & set(near_copies.buckets(np.concatenate([both, b]))))
-    assert met == 300
+
+    def all_keys(found):
+        return near_copies.keys(np.array([near_copies.votes(f) for f in found]), segments)
+
+    for size in (40, 400):
+        for common, least in ((0.8, 0.9), (0.85, 0.95), (0.9, 0.98), (0.95, 0.99)):
+            both = [rng.integers(0, 1 << 63, round(size * common)).astype(np.uint64) for _ in range(400)]
+            rest = (size - round(size * common)) // 2
+            sides = [[np.concatenate([b, rng.integers(0, 1 << 63, rest).astype(np.uint64)]) for b in both] for _ in range(2)]
+            a, b = (all_keys(side) for side in sides)
+            met = (a == b).any(axis=1).mean()
+            assert met >= least, (size, common, met)
+            assert (a == np.roll(b, 1, axis=0)).mean() < 3 / 4096**segments + 2e-4
+    assert near_copies.segments_for(200_000) == 2 and near_copies.segments_for(10**8) == 3
+
+
+def test_leaders_take_all_that_are_near():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, 100).astype(np.uint64)
+    found = [np.sort(base[k:]) for k in (0, 5, 10, 25, 30)] + [np.sort(rng.integers(0, 1 << 63, 100).astype(np.uint64))]
+    bits = np.packbits(np.array([near_copies.votes(f) for f in found]) > 0, axis=1)
+    assert near_copies.led_by(range(6), bits, found) == [(0, 1), (0, 2), (3, 2), (3, 4)]
+
+
+def test_columns_keep_their_names(spark):
+    rows = [(1, "one text", "mine1", 7, 8), (2, "one text", "mine2", 7, 8), (3, None, "mine3", 7, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _digest string, _first int, node int")
+    left = simhash.survivors(spark, df, Workspace(spark, "near-test"))
+    assert sorted(tuple(r) for r in left.collect()) == sorted([rows[0], rows[2]]) and left.columns == df.columns
+    assert simhash.survivors(spark, df.limit(0), Workspace(spark, "near-test")).collect() == []
