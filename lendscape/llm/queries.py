@@ -33,7 +33,7 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(spark, common.table(spark, sf_dir, "documents"), Workspace(spark, "mixing"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op7_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,14 +24,26 @@ l AS (
   SELECT *, (CAST(sum(total) OVER () AS DOUBLE) - coalesce(sum(cap) OVER before, 0))
     / (sum(weight) OVER () - coalesce(sum(weight) OVER before, 0)) AS level
   FROM w WINDOW before AS (ORDER BY cap / weight, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT src, total, least(cap, max(level) OVER () * weight) AS target FROM l),
+t AS (SELECT src, nth, total, least(cap, max(level) OVER () * weight) AS target, CAST(ceil(total / 32) AS BIGINT) AS blocks FROM l),
+due AS (SELECT *, CASE WHEN total > 0 THEN target / CAST(total AS DOUBLE) * blocks ELSE 0.0 END AS due FROM t),
+upto AS (
+  SELECT *, sum(due) OVER (ORDER BY nth) / sum(due) OVER () AS upto, sum(due) OVER () AS slots, nth = max(nth) FILTER (due > 0) OVER () AS last
+  FROM due),
+share AS (SELECT *, coalesce(lag(upto) OVER (ORDER BY nth), 0.0) AS after FROM upto),
+points AS (SELECT slot, slot * 0.6180339887498949::DOUBLE - floor(slot * 0.6180339887498949::DOUBLE) AS point
+  FROM (SELECT unnest(range(CAST((SELECT coalesce(ceil(max(slots)), 0) FROM upto) AS BIGINT))) AS slot)),
+slots AS (SELECT slot, src, row_number() OVER (PARTITION BY src ORDER BY slot) - 1 AS k FROM points JOIN share
+  ON after <= point AND (point < upto OR last) AND due > 0),
+used AS (SELECT t.*, least(coalesce(had, 0), 3 * blocks) AS used FROM t
+  LEFT JOIN (SELECT src, count(*) AS had FROM slots GROUP BY src) c ON t.src IS NOT DISTINCT FROM c.src),
 q AS (
-  SELECT s.*, t.total, t.target, CAST(round(t.target) AS BIGINT) AS quota,
-    sum(size) OVER (PARTITION BY s.src ORDER BY draw, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS begins
-  FROM s JOIN t ON s.src IS NOT DISTINCT FROM t.src)
-SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(total AS BIGINT) AS source_size, target,
-  CAST(CASE WHEN total = 0 THEN 0 ELSE quota // total * size + greatest(0, least(begins + size, quota % total) - begins) END AS BIGINT) AS taken
-FROM q
+  SELECT s.*, total, target, blocks, used, sum(size) OVER (PARTITION BY s.src ORDER BY draw, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS begins
+  FROM s JOIN used ON s.src IS NOT DISTINCT FROM used.src),
+x AS (
+  SELECT *, CAST(CASE WHEN size = 0 THEN 0 ELSE used // blocks * size + greatest(0, least(begins + size, used % blocks * 32) - begins) END AS BIGINT) AS taken
+  FROM q)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(total AS BIGINT) AS source_size, target, taken, CASE WHEN taken > 0 THEN slot END AS first_slot
+FROM x LEFT JOIN slots ON x.src IS NOT DISTINCT FROM slots.src AND slots.k = begins // 32
 """
 
 EMBEDDINGS = """
