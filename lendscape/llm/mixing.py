@@ -123,13 +123,14 @@ def mix(
 def mixture(spark: SparkSession, docs: DataFrame, ws: Workspace, slot: str | None = None, **how) -> DataFrame:
     """The documents of the mix: each as often as it is taken, none where it is not. Columns stay as they are.
 
-    ``slot`` names a column to add: where the mix has this copy. In its order, every stretch of the mix holds the sources in
+    ``slot`` names a column to add, of a name that the table does not have: where the mix has this copy. In its order, every stretch of the mix holds the sources in
     proportion. A source's cut falls inside one document at most; that one counts as whole from half of its words on.
     Repeated rows share what they are taken evenly. An empty table has an empty mix.
     """
     times = F.round(F.sum(F.col("taken") / F.col("size")) / F.count("*")).cast("int")
-    identity = [common.fresh(docs, f"_mix_{c}") for c in ("id", "key", "draw")]
-    nth, at = common.fresh(docs, "_mix_nth"), common.fresh(docs, "_mix_k")
+    taken_names = docs if slot is None else docs.withColumn(slot, F.lit(0))
+    identity = [common.fresh(taken_names, f"_mix_{c}") for c in ("id", "key", "draw")]
+    nth, at = common.fresh(taken_names, "_mix_nth"), common.fresh(taken_names, "_mix_k")
     taken = mix(spark, docs, ws, **how).filter("taken > 0")
     named = taken.select(
         F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(identity[0]), F.col("key").alias(identity[1]),

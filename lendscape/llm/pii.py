@@ -3,7 +3,8 @@
 The base finds e-mail addresses, IP addresses, card and phone numbers. Each distinct value is a protected
 entity. How strongly a term reveals an entity is measured over the corpus, as pointwise mutual
 information as a share of the entity's own information content: 1 if the entity is in every document of the
-term, 0 if the term says nothing about it. Terms at the generalising threshold or above are replaced by their
+term, 0 if the term says nothing about it. What chance could have brought together is left out first, at a false
+discovery rate over all pairs of a term and an entity. Terms at the generalising threshold or above are replaced by their
 kind (a number, a code, a name, a word), those at the removing threshold or above disappear, wherever they occur.
 """
 
@@ -18,7 +19,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lendscape.llm import common
@@ -32,11 +34,15 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 WORDS = re.compile(r"[^\W_]+")
-# The odds at which chance would bring a term and an entity together as often as the evidence for a pair has it.
+# Of the pairs that count as evidence, the share that chance may have brought together.
 CHANCE = 0.01
+# Evidence is read off in steps of 1 / STEPS bits, up to MOST_BITS.
+STEPS, MOST_BITS = 16, 1024
+SHINGLE_WORDS = 5
 GENERALISE, REMOVE = 0.8, 0.95
 TERMS_HELD = 100_000
-TERMS_SENT = 20_000
+# Bits of the filter that a task asks before it hands a word on: their number is all that grows into a task.
+FILTER_BITS = 1 << 23
 
 Span = tuple[str, int, int]
 
@@ -121,7 +127,15 @@ def _inside(stretches: list[tuple[int, int]], start: int, end: int) -> bool:
 
 
 def _digest() -> Column:
-    return F.xxhash64("text").alias("digest")
+    return F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest")
+
+
+def witness(text: str) -> int:
+    """The least hash of the text's five-word shingles: near copies mostly have the same, other texts hardly ever."""
+    words = text.encode("utf-8", "replace").lower().split()
+    runs = (b" ".join(s) for s in zip(*(words[k:] for k in range(SHINGLE_WORDS)), strict=False))
+    least = min((xxhash.xxh64_intdigest(s, 1) for s in runs), default=xxhash.xxh64_intdigest(b" ".join(words), 1))
+    return least - (1 << 63)
 
 
 def _listed(docs: DataFrame, found: Callable[[str], set[str]], name: str) -> DataFrame:
@@ -130,27 +144,41 @@ def _listed(docs: DataFrame, found: Callable[[str], set[str]], name: str) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found_in = [list(found(text)) if text else [] for text in batch.column(1).to_pylist()]
-            digests = np.repeat(batch.column(0).to_numpy(), [len(x) for x in found_in])
+            rows = np.repeat(np.arange(batch.num_rows), [len(x) for x in found_in])
             strings = pa.array([x for part in found_in for x in part], pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.int64()), strings], names=["digest", name])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), strings], names=["digest", name])
+
+    return docs.select(_digest(), "text").mapInArrow(run, f"digest binary, {name} string")
+
+
+def _witnessed(texts: DataFrame) -> DataFrame:
+    """digest and ``witness`` of texts."""
 
-    return docs.select(_digest(), "text").mapInArrow(run, f"digest long, {name} string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([witness(t or "") for t in batch.column(1).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), found], names=["digest", "witness"])
+
+    return texts.select("digest", "text").mapInArrow(run, "digest binary, witness long")
 
 
-def together(docs: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
-    """How many documents hold each entity (``n_entity``), and each entity with a term anywhere in the document
-    (``n_both``; ``texts`` counts copies once).
+def together(docs: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame, int]:
+    """How many documents hold each entity (``n_entity``); each entity with a term anywhere in the document (``n_both``; ``texts``
+    counts copies and near copies once); and the number of all such pairs.
 
-    Left out is only what one text alone holds: by ``evidence`` it proves nothing.
+    Left out of the pairs is only what one text alone holds: by ``evidence`` it proves nothing.
     """
     mentions = ws.store(_listed(docs, entities, "entity").groupBy("digest", "entity").agg(F.count("*").alias("n")), "mentions")
     alone = mentions.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("texts")).filter("texts > 1")
     alone = ws.store(alone.drop("texts"), "entities")
     held = ws.store(mentions.join(alone, "entity").select("digest", "entity", "n"), "held")
     texts = docs.select(_digest(), "text").join(held.select("digest").distinct(), "digest", "left_semi").dropDuplicates(["digest"])
-    words = _listed(texts.select("text"), terms_of, "term")
-    pairs = held.join(words, "digest").groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts"))
-    return alone, ws.store(pairs.filter("texts > 1"), "pairs")
+    texts = ws.store(texts, "texts")
+    words = _listed(texts.select("text"), terms_of, "term").join(_witnessed(texts), "digest")
+    met = held.join(words, "digest").groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count_distinct("witness").alias("texts"))
+    asked = Observation()
+    pairs = ws.store(met.observe(asked, F.count("*").alias("n")).filter("texts > 1"), "pairs")
+    return alone, pairs, asked.get["n"]
 
 
 def evidence() -> Column:
@@ -166,6 +194,21 @@ def evidence() -> Column:
     return F.when(rate > chance, trials * (rate * F.log2(rate / chance) + missed)).otherwise(0.0)
 
 
+def enough(pairs: DataFrame, asked: int) -> float:
+    """The least evidence at which, of the pairs that have it, chance explains no more than the share CHANCE.
+
+    Benjamini and Hochberg's rule over all ``asked`` pairs, read off a histogram of the evidence of bounded size.
+    """
+    step = F.floor(F.col("bits") * STEPS)
+    counted = sorted(((r.step, r.n) for r in pairs.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect()), reverse=True)
+    least, passed = math.inf, 0
+    for at, n in counted:
+        passed += n
+        if math.log2(asked / (CHANCE * passed)) <= at / STEPS:
+            least = at / STEPS
+    return least
+
+
 def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """How many documents each of some terms occurs in, over the whole corpus.
 
@@ -194,14 +237,15 @@ def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
 def disclosing_terms(docs: DataFrame, ws: Workspace) -> DataFrame:
     """Terms that give a protected entity away: term and the strongest ``share`` of an entity's information.
 
-    Counts are of documents, all of them. Rare entities and pairs are judged like any other: a pair counts if chance
-    would bring it about with odds of less than CHANCE, by different texts, so copies of one text prove nothing.
+    Counts are of documents, all of them. Rare entities and pairs are judged like any other: a pair counts if its
+    evidence is ``enough`` for the number of pairs there are, by different texts, so copies of one text prove nothing.
     """
-    alone, pairs = together(docs, ws)
+    alone, pairs, asked = together(docs, ws)
     counted = term_counts(docs, pairs.select("term").distinct())
     all_docs = docs.agg(F.count("*").alias("n_docs"))
     joined = pairs.join(alone, "entity").join(counted, "term").withColumn("n_docs", all_docs.scalar())
-    joined = joined.filter(evidence() >= -math.log2(CHANCE))
+    joined = ws.store(joined.withColumn("bits", F.least(evidence(), F.lit(float(MOST_BITS)))), "evidence")
+    joined = joined.filter(F.col("bits") >= enough(joined, asked))
     own = F.log2(F.col("n_docs") / F.col("n_entity"))
     mutual = F.log2(F.col("n_both") * F.col("n_docs") / F.col("n_entity") / F.col("n_term"))
     share = joined.withColumn("share", F.try_divide(mutual, own)).filter(F.col("share") >= GENERALISE)
@@ -217,35 +261,44 @@ def general(term: str) -> str:
     return "[name]" if term[:1].isupper() else "[word]"
 
 
-def _marked(docs: DataFrame, terms: dict[str, float], name: str) -> DataFrame:
-    """Adds to the column ``name`` where the terms are: start, end and what becomes of it (g or r)."""
+def _places(term: str, size: int) -> tuple[int, int]:
+    found = xxhash.xxh64_intdigest(term.encode("utf-8", "replace"), 2)
+    return found % size, (found >> 32) % size
 
-    @F.pandas_udf("string")
-    def mark(texts, marks):
-        import pandas as pd
 
-        out = []
-        for text, had in zip(texts, marks, strict=True):
-            hits = ((m, terms.get(m[0].lower())) for m in WORDS.finditer(text or ""))
-            more = [f"{m.start()}:{m.end()}:{'r' if share >= REMOVE else 'g'}" for m, share in hits if share is not None]
-            out.append(",".join([had, *more] if had else more))
-        return pd.Series(out)
+def _filter(terms: DataFrame, size: int) -> np.ndarray:
+    """Bits that say of a word that it may be a term. Of fixed size, the only thing that reaches the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places: set[int] = set()
+        for batch in batches:
+            for term in batch.column(0).to_pylist():
+                places.update(_places(term, size))
+        words = pa.array([p >> 5 for p in places], pa.int32())
+        yield pa.RecordBatch.from_arrays([words, pa.array([1 << (p & 31) for p in places], pa.int64())], names=["at", "bits"])
+
+    table = np.zeros(size >> 5, np.int64)
+    for row in terms.select("term").mapInArrow(run, "at int, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toLocalIterator():
+        table[row["at"]] = row.bits
+    return table.astype(np.uint32)
+
 
-    return docs.withColumn(name, mark("text", name))
+def with_marks(docs: DataFrame, terms: DataFrame, ws: Workspace, name: str, size: int = FILTER_BITS) -> DataFrame:
+    """Adds to the documents the terms in their texts, as a map from term to share; null without any. One pass, however many terms.
+
+    A task hands on the words that pass the filter, once per text; the table of terms decides on them.
+    """
+    passes = _filter(terms, size)
 
+    def maybe(text: str) -> set[str]:
+        words = {w for w in WORDS.findall(text.lower()) if len(w) > 1}
+        return {w for w in words if all(passes[p >> 5] >> (p & 31) & 1 for p in _places(w, size))}
 
-def with_marks(docs: DataFrame, terms: DataFrame, ws: Workspace, name: str) -> DataFrame:
-    """Marks the terms, TERMS_SENT of them at a time: a task never holds more. One pass is the rule; where it
-    takes several, each writes its result for the next."""
-    marked = docs.withColumn(name, F.lit(""))
-    part: dict[str, float] = {}
-    passes = 0
-    for row in terms.toLocalIterator():
-        part[row["term"]] = row["share"]
-        if len(part) == TERMS_SENT:
-            passes += 1
-            marked, part = ws.store(_marked(marked, part, name), f"marked-{passes}"), {}
-    return _marked(marked, part, name) if part else marked
+    listed = _listed(docs, maybe, "term").distinct().join(terms, "term")
+    held = F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias(name)
+    key = common.fresh(docs, "_digest")
+    hits = ws.store(listed.groupBy(F.col("digest").alias(key)).agg(held), "marks")
+    return docs.withColumn(key, _digest()).join(hits, key, "left").select(*docs.columns, name)
 
 
 def sanitised(text: str, base: list[Span], marks: list[tuple[int, int, str]]) -> str:
@@ -283,7 +336,10 @@ def with_findings(docs: DataFrame, terms: DataFrame, ws: Workspace, name: str) -
             text = text or ""
             base = base_spans(text)
             stretches = _covered(base)
-            places = [(int(s), int(e), how) for s, e, how in (x.split(":") for x in marked.split(",") if x)]
+            words = WORDS.finditer(text) if marked else ()
+            shares = dict(marked or ())
+            hits = ((m, shares.get(m[0].lower())) for m in words)
+            places = [(m.start(), m.end(), "r" if share >= REMOVE else "g") for m, share in hits if share is not None]
             free = [x for x in places if not _inside(stretches, x[0], x[1])]
             kinds = Counter(k for k, _, _ in base)
             every = sorted([*base, *((TERM, s, e) for s, e, _ in free)], key=lambda s: (s[1], (*KINDS, TERM).index(s[0]), s[2]))

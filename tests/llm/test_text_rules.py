@@ -1,7 +1,9 @@
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -81,21 +83,82 @@ def test_terms_that_give_an_entity_away(spark):
 
 
 def test_rare_entities_and_far_terms_are_judged(spark):
-    far = " ".join(f"filler{n}" for n in range(40))
-    rows = [(k, f"Quillfeather wrote in week {k} {far} reach r{k}q at quill@nest.org", None) for k in range(4)]
-    rows += [(100 + k, f"plain talk {far} about week {k} with nobody", None) for k in range(200)]
+    rng = random.Random(6)
+    far = lambda: " ".join(f"filler{n}" for n in rng.sample(range(40), 40))
+    rows = [(k, f"Quillfeather wrote in week {k} {far()} reach r{k}q at quill@nest.org", None) for k in range(4)]
+    rows += [(100 + k, f"plain talk {far()} about week {k} with nobody", None) for k in range(200)]
+    near = far()
+    rows += [(600 + k, f"Inkwell wrote in week {k} {near} write to ink@nest.org", None) for k in range(4)]  # near copies: one text
     rows += [(400 + k, "one text only hermit@cave.org moonbeam", None) for k in range(9)]
     ws = Workspace(spark, "pii-test")
     terms = {r["term"]: r["share"] for r in pii.disclosing_terms(docs(spark, rows), ws).collect()}
-    assert terms["quillfeather"] >= pii.REMOVE and not {"moonbeam", "filler3", "week", "r1q"} & set(terms)
+    assert terms["quillfeather"] >= pii.REMOVE and not {"moonbeam", "inkwell", "filler3", "week", "r1q"} & set(terms)
 
 
-def test_terms_in_several_passes_change_nothing(spark, monkeypatch):
-    rows = [(k, f"alpha beta gamma mail a@b.cd here {k}", None) for k in range(10)] + [(50 + k, f"quiet {k}", None) for k in range(90)]
+def test_a_full_filter_changes_nothing(spark, monkeypatch):
+    rows = [(k, f"alpha beta gamma mail a@b.cd here {k} {k * 31} and more of it {k * 17}", None) for k in range(10)] + [(50 + k, f"quiet {k}", None) for k in range(90)]
     df = docs(spark, rows)
-    once = sorted(map(tuple, pii.find(spark, df, Workspace(spark, "pii-test")).collect()))
-    monkeypatch.setattr(pii, "TERMS_SENT", 2)
-    assert sorted(map(tuple, pii.find(spark, df, Workspace(spark, "pii-test")).collect())) == once and "term" in once[0][-1]
+    terms = pii.disclosing_terms(df, Workspace(spark, "pii-test"))
+    marked = [pii.with_marks(df, terms, Workspace(spark, "pii-test"), "found", size).select("doc_id", "found").collect() for size in (32, 1 << 20)]
+    once, again = (sorted((r["doc_id"], sorted((r["found"] or {}).items())) for r in rows) for rows in marked)
+    assert once == again and any(found for _, found in once)
+
+
+def plain_terms(rows):
+    """Shares and evidence straight from their definitions."""
+    texts = [t or "" for _, t, _ in rows]
+    found = [(pii.entities(t), pii.terms_of(t), {w for w in pii.WORDS.findall(t.lower()) if len(w) > 1}) for t in texts]
+    n_entity, n_term, n_both, seen, different = Counter(), Counter(), Counter(), defaultdict(set), defaultdict(set)
+    for text, (entities, terms, words) in zip(texts, found, strict=True):
+        n_term.update(words)
+        for e in entities:
+            n_entity[e] += 1
+            different[e].add(text)
+            for w in terms:
+                n_both[e, w] += 1
+                seen[e, w].add(pii.witness(text))
+    asked = [pair for pair in n_both if len(different[pair[0]]) > 1]
+
+    def bits(e, w):
+        hits = len(seen[e, w]) - 1
+        trials = hits + n_term[w] - n_both[e, w]
+        if not hits:
+            return 0.0
+        rate, chance = hits / trials, n_entity[e] / len(rows)
+        missed = (1 - rate) * math.log2((1 - rate) / (1 - chance)) if rate < 1 else 0.0
+        return trials * (rate * math.log2(rate / chance) + missed) if rate > chance else 0.0
+
+    ranked = sorted(((bits(*pair), pair) for pair in asked), reverse=True)
+    last = max((k for k, (b, _) in enumerate(ranked, 1) if 2.0**-b <= pii.CHANCE * k / len(asked)), default=0)
+    out = {}
+    for _, (e, w) in ranked[:last]:
+        share = math.log2(n_both[e, w] * len(rows) / n_entity[e] / n_term[w]) / math.log2(len(rows) / n_entity[e])
+        if share >= pii.GENERALISE:
+            out[w] = max(out.get(w, 0), share)
+    return out
+
+
+def test_shares_and_evidence_equal_brute_force_and_planted_terms_are_caught(spark):
+    rng = random.Random(4)
+    talk = lambda n: " ".join(f"w{int(rng.paretovariate(0.7))}" for _ in range(n))
+    rows = []
+    for k in range(8):
+        rows += [(len(rows), f"{talk(30)} nick{k} sends {talk(20)} user{k}@mail{k}.org {talk(9)}", None) for _ in range(6)]
+    for k in range(150):
+        # A single text of an address, and two of the same by chance beside a rare word.
+        rows.append((len(rows), f"{talk(40)} rare{k} once{k}@x.org {talk(30)}", None))
+        rows += [(len(rows) + j, f"{talk(30)} memo{k} {talk(30)} pair{k}@y.org", None) for j in range(2)]
+    note = f"a note of zebrafish {talk(60)} copy@z.org"
+    rows += [(len(rows) + k, f"{note} {k}", None) for k in range(9)]
+    rows += [(len(rows) + k, talk(70), None) for k in range(1500)]
+    df = docs(spark, rows)
+    got = {r["term"]: r["share"] for r in pii.disclosing_terms(df, Workspace(spark, "pii-test")).collect()}
+    want = plain_terms(rows)
+    assert set(got) == set(want) and all(abs(got[w] - want[w]) < 1e-9 for w in want)
+    assert {f"nick{k}" for k in range(8)} <= set(got) and not any(w.startswith(("memo", "zebra", "rare")) for w in got)
+    clean = [r for r in rows if "@" not in r[1]]
+    texts = {r["doc_id"]: r["text"] for r in pii.cleaned(spark, df, Workspace(spark, "pii-test")).collect()}
+    assert sum(texts[d] == t for d, t, _ in clean) >= 0.99 * len(clean)
 
 
 def test_general_forms():
