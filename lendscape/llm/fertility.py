@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -30,8 +31,8 @@ LEAST_WORDS = 50
 MOST_REPEATED = 50
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
-LONG_WORD = 256
 WORD_CHARACTERS = re.compile(r"[^\W_]+")
+LETTER = re.compile(r"[^\W\d_]")
 REACH = 2.5
 # Bands reach this far at least: ordinary text differs by as much.
 SLACK = {"chars_per_token": 0.25, "fallback_share": 0.05, "entropy": 0.2}
@@ -74,8 +75,6 @@ class Measurer:
     def __call__(self, text: str) -> tuple[int, float, float, float] | None:
         """Tokens and measures; None without a token."""
         words = text.split()
-        if sum(map(len, words)) > LONG_WORD * len(words):  # endless words are measured in pieces
-            words = [w[at : at + LONG_WORD] for w in words for at in range(0, len(w), LONG_WORD)]
         ids = self.units.encode(words)
         if not len(ids):
             return None
@@ -99,13 +98,12 @@ def _script_of(letter: str) -> str:
 
 
 def script(text: str) -> str:
-    """The script of most of 200 letters spread over the text, ``none`` without letters."""
-    letters = re.findall(r"[^\W\d_]", text[:: max(1, len(text) // 2000)]) or re.findall(r"[^\W\d_]", text)
-    letters = letters[:: max(1, len(letters) // 200)]
-    if not letters:
-        return "none"
-    found = [_script_of(c) for c in letters]
-    return max(sorted(set(found)), key=found.count)
+    """The script of most of the text's letters, of equal ones the first by name; ``none`` without letters."""
+    found: Counter[str] = Counter()
+    for character, n in Counter(text).items():
+        if LETTER.match(character):
+            found[_script_of(character)] += n
+    return max(sorted(found), key=found.__getitem__, default="none")
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")

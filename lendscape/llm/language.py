@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lendscape.llm import common
+from lendscape.session import Workspace
 
 DIMENSIONS = 1024
 GRAMS_KEPT = 8_000
@@ -28,9 +29,10 @@ WORDS_KEPT = 60_000
 WORDS_AT_ONCE = 20_000
 LONG_WORD = 64
 DOCS_AT_ONCE = 64
-GAP = 32
 UNKNOWN = "und"
-MOST_LANGUAGES = 1000
+# A document goes whose cosine is this many deviations below that of the labelled ones of its language and size.
+DEVIATIONS = 6.0
+LEAST_PEERS = 30
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -124,7 +126,7 @@ def prototypes(docs: DataFrame) -> list[tuple[str, np.ndarray]]:
     Every text counts alike: by its 3-gram counts over their length. As bundling is a sum, a task adds
     the weights of its texts first and multiplies them with the 3-grams' vectors once; the sums of tasks
     are added up by (language, dimension) before anything reaches the driver, which gets DIMENSIONS whole
-    numbers per language, MOST_LANGUAGES languages at most.
+    numbers per language. However many languages there are, all are learnt; tasks hold 4 KB for each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,9 +167,7 @@ def prototypes(docs: DataFrame) -> list[tuple[str, np.ndarray]]:
     rest = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2) | F.col("doc_id").isNull()
     summed = known.filter(rest).select("text", "lang").mapInArrow(run, "lang string, vector array<long>")
     whole = summed.select("lang", F.posexplode("vector").alias("k", "x")).groupBy("lang", "k").agg(F.sum("x").alias("x"))
-    listed = whole.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("v")).limit(MOST_LANGUAGES + 1).collect()
-    if len(listed) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages to learn")
+    listed = whole.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("v")).collect()
     out = []
     for row in sorted(listed, key=lambda r: r["lang"]):
         vector = np.array([p["x"] for p in row["v"]], np.float64)
@@ -216,10 +216,21 @@ def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return out.select("doc_id", rest.alias("held_out"), "p.lang_pred", "p.score")
 
 
-def accepted(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The documents with a language: null texts and those without a letter go. All columns stay as they are.
+def floors(scored: DataFrame) -> DataFrame:
+    """Per language and size the least cosine that is still like the documents it was learnt from: lang_pred, size, floor.
 
-    No cosine rejects. Where nothing was learnt, as no text with a language could be learnt from, the letters alone decide.
+    Sizes are powers of two, as short texts are less like any prototype. A class of few documents has no floor.
+    """
+    n, mean, spread = F.count("*"), F.avg("score"), F.stddev_pop("score")
+    learnt = scored.filter("lang_pred = lang and not held_out")
+    return learnt.groupBy("lang_pred", "size").agg((mean - DEVIATIONS * spread).alias("floor"), n.alias("n")).filter(F.col("n") >= LEAST_PEERS).drop("n")
+
+
+def accepted(spark: SparkSession, docs: DataFrame, ws: Workspace) -> DataFrame:
+    """The documents with a language. All columns stay as they are.
+
+    Null texts go, those without a letter, and those whose cosine with the best language is below its ``floors``. Where nothing was
+    learnt, as no text with a language could be learnt from, the letters alone decide.
     """
     common.small_batches(spark)
     learnt = prototypes(docs.select("doc_id", "text", "lang"))
@@ -231,5 +242,12 @@ def accepted(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
         return docs.filter(lettered("text"))
     predict = predictor(learnt)
-    name = common.fresh(docs, "_p")
-    return docs.withColumn(name, predict("text")).filter(F.col(name)["lang_pred"] != UNKNOWN).select(*docs.columns)
+    p = common.fresh(docs, "_p")
+    predicted = ws.store(docs.withColumn(p, predict("text")).filter(F.col(p)["lang_pred"] != UNKNOWN), "predicted")
+    size = F.floor(F.log2(F.char_length("text") + 1)).cast("int")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    found = ws.store(floors(predicted.select(f"{p}.lang_pred", f"{p}.score", "lang", size.alias("size"), held.alias("held_out"))), "floors")
+    names = {c: common.fresh(predicted, f"_{c}") for c in ("lang_pred", "size", "floor")}
+    least = found.select(*[F.col(c).alias(n) for c, n in names.items()])
+    judged = predicted.withColumn(names["lang_pred"], F.col(p)["lang_pred"]).withColumn(names["size"], size).join(least, [names["lang_pred"], names["size"]], "left")
+    return judged.filter(F.col(p)["score"] >= F.coalesce(names["floor"], F.lit(0.0))).select(*docs.columns)

@@ -26,7 +26,8 @@ from lendscape.session import Workspace
 CAPACITY = 2048
 END_ID = 0
 GROUP_PIECES = 2048
-ROUNDS = 3
+# Groups that exchange are larger by this: more pieces to choose from.
+EXCHANGE = 4
 PACKED = "uid long, length long, grp long, bin long, offset long, n_bins long, bound long, left long"
 
 
@@ -123,14 +124,16 @@ def pack(spark: SparkSession, docs: DataFrame, ws: Workspace) -> DataFrame:
     """Per piece its sequence and its place there, gapless from 0.
 
     A null text is empty; repeated rows are packed each; a null doc_id is kept. Nothing gives nothing.
-    Other columns are ignored. Groups are dealt by a hash of the row, about GROUP_PIECES rows each.
+    Other columns are ignored. Groups are dealt by a hash of the row, about GROUP_PIECES rows each; those with a
+    gap exchange until a round saves no sequence.
     """
     common.small_batches(spark)
     cut = ws.store(pieces(docs).withColumn("uid", F.monotonically_increasing_id()), "pieces")
     groups = max(1, cut.count() // GROUP_PIECES)
     current = ws.store(_packed(cut, groups, 0), "packed-0")
     done = []
-    for k in range(1, ROUNDS + 1):
+    k = 1
+    while True:
         # A bin can only be saved by filling others: those with free space are dissolved.
         gap = (F.col("n_bins") > F.col("bound")) & (F.col("left") > 0)
         done.append(current.filter(~gap).select("uid", F.lit(k - 1).alias("round"), "grp", "bin", "offset"))
@@ -138,18 +141,17 @@ def pack(spark: SparkSession, docs: DataFrame, ws: Workspace) -> DataFrame:
         had, n = open_.select("grp", "bin").distinct().count(), open_.count()
         if not n:
             break
-        groups = max(1, min(groups // 4, n // GROUP_PIECES))
+        groups = max(1, n // (EXCHANGE * GROUP_PIECES))
         again = ws.store(_packed(open_, groups, k), f"packed-{k}")
         if again.select("grp", "bin").distinct().count() >= had:
             done.append(open_.select("uid", F.lit(k - 1).alias("round"), "grp", "bin", "offset"))
             break
         current = again
-    else:
-        done.append(current.select("uid", F.lit(ROUNDS).alias("round"), "grp", "bin", "offset"))
+        k += 1
     placed = done[0]
     for part in done[1:]:
         placed = placed.unionByName(part)
-    number = F.shiftleft(F.col("round").cast("long"), 56) + F.shiftleft("grp", 24) + F.col("bin")
+    number = F.shiftleft(F.col("round").cast("long"), 48) + F.shiftleft("grp", 16) + F.col("bin")
     return cut.join(placed.withColumn("sequence_id", number), "uid").select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
     )

@@ -184,7 +184,7 @@ def test_what_has_no_letter_has_no_language(spark):
     df = docs(spark, rows)
     got = [(r["doc_id"], r["lang_pred"]) for r in language.identify(spark, df).collect()]
     assert {d for d, p in got if p == "und"} == {50, 51, 52} and (None, "de") in got and (53, "en") in got and len(got) == len(rows)
-    kept = language.accepted(spark, df)
+    kept = language.accepted(spark, df, Workspace(spark, "lang-test"))
     assert kept.columns == df.columns and kept.count() == len(rows) - 3
     assert language.identify(spark, df.limit(0)).collect() == []
     assert {r["lang_pred"] for r in language.identify(spark, df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
@@ -194,9 +194,34 @@ def test_texts_with_letters_stay_where_nothing_can_be_learnt(spark):
     held = [k for k in range(40) if language.held_out(k)]
     texts = {1: "some words", 2: "12 + 3", 3: None, 4: "", 5: "漢字"}
     df = docs(spark, [(d, t, None) for d, t in texts.items()])
-    assert sorted(r["doc_id"] for r in language.accepted(spark, df).collect()) == [1, 5]
+    assert sorted(r["doc_id"] for r in language.accepted(spark, df, Workspace(spark, "lang-test")).collect()) == [1, 5]
     df = docs(spark, [(d, f"some words {d}", "en") for d in held])
-    assert language.accepted(spark, df).count() == len(held) > 0
+    assert language.accepted(spark, df, Workspace(spark, "lang-test")).count() == len(held) > 0
+
+
+def test_what_is_like_no_language_goes_and_clean_texts_stay(spark):
+    table = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang", "n_chars")
+    rng = random.Random(8)
+    letters = "qxzjkvwpfbyhgm"
+    junk = [(10**9 + k, " ".join("".join(rng.choice(letters) for _ in range(rng.randint(3, 9))) for _ in range(300)), None, 1) for k in range(50)]
+    junk += [(10**9 + 99, None, None, 1), (10**9 + 98, "1234 !", "en", 1)]
+    df = table.unionByName(spark.createDataFrame(junk, table.schema)).withColumn("_size", F.lit("mine")).withColumn("_p", F.lit(7))
+    kept = language.accepted(spark, df, Workspace(spark, "lang-test"))
+    assert kept.columns == df.columns and kept.select("_size", "_p").distinct().collect() == [("mine", 7)]
+    left = {r[0] for r in kept.select("doc_id").collect()}
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    clean = {r[0] for r in labels.filter("quality = 1").select("doc_id").collect()}
+    assert not {d for d in left if d >= 10**9} and clean <= left
+    # What else goes is one word over and over.
+    assert len(left) >= 0.99 * table.count()
+
+
+def test_many_languages_are_all_learnt(spark):
+    rows = [(4 * k, " ".join(chr(0x4E00 + 3 * k + j) for j in range(3)), f"l{k:04d}") for k in range(1100)]
+    rows = [r for r in rows if not language.held_out(r[0])]
+    got = language.identify(spark, docs(spark, rows)).collect()
+    names = {r[0]: r[2] for r in rows}
+    assert len(names) > 800 and all(r["lang_pred"] == names[r["doc_id"]] for r in got)
 
 
 def test_bundles_are_sums_of_bound_letters(monkeypatch):
@@ -253,5 +278,16 @@ def test_bands_part_junk_from_prose(spark):
     assert got[got["quality"] == 0]["kept"].mean() < 0.2
 
 
+def test_scripts_count_every_letter():
+    mixed = "".join("аb"[k % 2] for k in range(8000)) + "а" * 10  # one more of the Cyrillic ones
+    assert fertility.script(mixed) == "cyrillic" and fertility.script(mixed[::-1]) == "cyrillic" and fertility.script("ab" + "а" * 2) == "cyrillic"
+    assert fertility.script("1 2 _") == "none"
+
+
+def test_endless_words_are_measured_whole():
+    word = "".join(random.Random(1).choice("abcdefgh") for _ in range(600))
+    assert fertility.measurer()(word)[0] == len(fertility.Measurer().units.encode([word])) and fertility.measurer()("x" * 300000) is not None
+
+
 def test_scripts():
     assert [fertility.script(t) for t in ("abc", "абв г", "漢字", "12", "")] == ["latin", "cyrillic", "cjk", "none", "none"]
