@@ -14,8 +14,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language, null or without a letter, go."""
-    return language.accepted(spark, docs)
+    """Documents without a letter go, and those that are like no language."""
+    return language.accepted(spark, docs, Workspace(spark, "language"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
