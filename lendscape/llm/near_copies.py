@@ -44,6 +44,8 @@ KEYS = {2: 64, 3: 512}
 FIRST = 0.25
 # Bits in which near copies may differ, as a share: their 15% and, for short texts, over four deviations more.
 FARTHEST = 0.27
+# Up to so many who share a key are told apart by their fingerprints alone, before their shingles travel.
+COMPANY = 1024
 # Shingles that a task holds of one block.
 BLOCK = 1 << 21
 VOTES = 255
@@ -109,20 +111,54 @@ def keys(sums: np.ndarray, segments: int) -> np.ndarray:
 
 def digest() -> Column:
     """Rows of one text are one class."""
-    return F.sha2(F.coalesce("text", F.lit("")), 256)
+    return F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
 
 
 def _entries(docs: DataFrame, segments: int) -> DataFrame:
-    """digest, bits (the fingerprint) and keys per row."""
+    """A row per class: digest, first (the smallest doc_id), how many rows it has, bits (the fingerprint) and keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums = np.array([votes(shingles(t)) for t in batch.column(1).to_pylist()], np.int64).reshape(batch.num_rows, -1)
+            sums = np.array([votes(shingles(t)) for t in batch.column(2).to_pylist()], np.int64).reshape(batch.num_rows, -1)
             bits = [row.tobytes() for row in np.packbits(sums > 0, axis=1)]
             found = pa.array(keys(sums, segments).tolist(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.binary()), found], names=["digest", "bits", "keys"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(bits, pa.binary()), found], names=["digest", "doc_id", "bits", "keys"])
 
-    return docs.select(digest().alias("digest"), "text").mapInArrow(run, "digest string, bits binary, keys array<long>")
+    named = docs.select(digest().alias("digest"), F.col("doc_id").cast("long"), "text")
+    found = named.mapInArrow(run, "digest binary, doc_id long, bits binary, keys array<long>")
+    same = [F.any_value(c).alias(c) for c in ("bits", "keys")]
+    return found.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"), *same)
+
+
+def _with_company(members: DataFrame, entries: DataFrame) -> DataFrame:
+    """Of those who share a key, leaves out who is far from all others there. Crowds stay whole."""
+    most = FARTHEST * SEGMENTS * golay.BITS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, nodes, bits = None, [], []
+
+        def done() -> pa.RecordBatch:
+            kept = []
+            if len(nodes) > 1:
+                held = np.frombuffer(b"".join(bits), np.uint8).reshape(len(nodes), -1)
+                kept = [n for k, n in enumerate(nodes) if (np.bitwise_count(held ^ held[k]).sum(axis=1, dtype=np.int64) <= most).sum() > 1]
+            return pa.RecordBatch.from_arrays([pa.array([now] * len(kept), pa.int64()), pa.array(kept, pa.int64())], names=["key", "node"])
+
+        for batch in batches:
+            out = []
+            for key, node, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != now:
+                    out.append(done())
+                    now, nodes, bits = key, [], []
+                nodes.append(node)
+                bits.append(found)
+            yield from pa.Table.from_batches(out).combine_chunks().to_batches() if out else ()
+        yield done()
+
+    parts = common.partitions(members.sparkSession)
+    few = members.filter(F.col("n") <= COMPANY).join(entries.select("node", "bits"), "node").select("key", "node", "bits")
+    near = few.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(run, "key long, node long")
+    return near.unionByName(members.filter(F.col("n") > COMPANY).select("key", "node"))
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -208,25 +244,22 @@ def _pass(members: DataFrame, sets: DataFrame, ws: Workspace, name: str) -> list
 
 
 def heads(spark: SparkSession, docs: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
-    """Two frames: ``classes``, the different texts (digest, node, first: their smallest doc_id), and per node of a component
-    of near copies its ``head``, the node with the smallest doc_id.
+    """Two frames: ``classes``, the different texts (digest, node, first: their smallest doc_id, rows), and per node of a
+    component of near copies its ``head``, the node with the smallest doc_id.
 
     Every node is linked to its head by verified links, and no two heads are near, but for those that share no key.
     """
     common.small_batches(spark)
-    names = docs.select(digest().alias("digest"), F.col("doc_id").cast("long").alias("doc_id"))
-    grouped = names.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    classes = ws.store(grouped.select("digest", F.monotonically_increasing_id().alias("node"), "first"), "classes")
-    segments = segments_for(classes.count())
-    entries = _entries(docs, segments).dropDuplicates(["digest"])
-    entries = ws.store(entries.join(classes.select("digest", "node"), "digest"), "entries")
+    segments = segments_for(docs.agg(F.approx_count_distinct(F.xxhash64("text"))).first()[0])
+    entries = ws.store(_entries(docs, segments).withColumn("node", F.monotonically_increasing_id()), "entries")
+    classes = entries.select("digest", "node", "first", "rows")
     keyed = entries.select(F.explode("keys").alias("key"), "node")
-    shared = keyed.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a != z").select("key")
-    members = ws.store(keyed.join(shared, "key"), "members")
-    candidates = entries.select("digest", "node", "bits").join(members.select("node").distinct(), "node", "left_semi")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    members = ws.store(_with_company(keyed.join(shared, "key"), entries), "members")
+    # Stored, so that the planner sees whether they are few.
+    candidates = ws.store(entries.select("digest", "node", "bits").join(members.select("node").distinct(), "node", "left_semi"), "candidates")
     texts = docs.select(digest().alias("digest"), "text").join(candidates, "digest").dropDuplicates(["node"])
     sets = ws.store(_sets(texts), "sets")
-    ws.drop("entries")
     now, links, k = members.filter(F.col("key").bitwiseAND(0xFFF) < FIRST * KEYS[segments]), [], 0
     led = spark.createDataFrame([], "node long, head long")
     while True:

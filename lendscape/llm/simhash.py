@@ -192,15 +192,19 @@ def survivors(spark: SparkSession, docs: DataFrame, ws: Workspace) -> DataFrame:
     a doc_id with another text are judged each by its own component. Columns stay as they are, whatever their names.
     """
     classes, led = near_copies.heads(spark, docs, ws)
-    key, text = common.fresh(docs, "_first"), common.fresh(docs, "_digest")
-    stay = classes.join(led, "node", "left").filter("head is null or head = node").filter("first is not null")
-    heads = ws.store(stay.select(F.col("digest").alias(text), F.col("first").alias(key)), "heads")
-    named = docs.withColumns({key: F.col("doc_id").cast("long"), text: near_copies.digest()})
-    again = named.filter("doc_id is not null").groupBy(key, text).agg(F.count("*").alias("n")).filter("n > 1")
-    repeated = ws.store(again.select(key, text), "repeated")
-    kept = named.join(heads, [key, text], "left_semi")
-    unnamed = docs.filter("doc_id is null")
+    # Most texts have one row and no near copy: only the others are looked up, and the table of them is small.
+    marked = classes.join(led, "node", "left").filter("rows > 1 or head is not null")
+    names = {c: common.fresh(docs, f"_{c}") for c in ("digest", "first", "rows", "stays")}
+    stays = F.coalesce(F.col("head") == F.col("node"), F.lit(True)).alias(names["stays"])
+    marked = ws.store(marked.select(*[F.col(c).alias(names[c]) for c in ("digest", "first", "rows")], stays), "marked")
+    key, first = names["digest"], F.col(names["first"])
+    named = docs.withColumn(key, near_copies.digest()).join(marked, key, "left")
+    own = F.col("doc_id").cast("long") == first
+    kept = named.filter(F.col("doc_id").isNull() | F.col(names["stays"]).isNull() | (F.col(names["stays"]) & own))
+    again = kept.filter((F.col(names["rows"]) > 1) & F.col("doc_id").isNotNull()).groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
+    repeated = ws.store(again.select(key), "repeated")
     if repeated.isEmpty():
-        return kept.select(*docs.columns).unionByName(unnamed)
-    once = kept.join(repeated, [key, text], "left_semi").dropDuplicates([key, text]).select(*docs.columns)
-    return kept.join(repeated, [key, text], "left_anti").select(*docs.columns).unionByName(once).unionByName(unnamed)
+        return kept.select(*docs.columns)
+    once = kept.filter("doc_id is not null").join(repeated, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
+    rest = kept.filter("doc_id is not null").join(repeated, key, "left_anti").select(*docs.columns)
+    return rest.unionByName(once).unionByName(kept.filter("doc_id is null").select(*docs.columns))
