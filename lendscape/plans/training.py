@@ -5,16 +5,18 @@ from __future__ import annotations
 import itertools
 import math
 import random
+from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import Model
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from lendscape import schemas as S
 from lendscape.functions import columns as C
@@ -41,6 +43,7 @@ SEARCH_GRID = {
     "min_child_weight": [1, 3, 5],
 }
 SEARCH_DRAWS = 100
+ROUNDS = "n_estimators"
 FOLDS = 3
 PARTITION_BYTES = 32 << 20
 
@@ -144,26 +147,67 @@ def matrix_partitions(rows: int) -> int:
     return max(1, math.ceil(rows * len(S.FEATURES) * 8 / PARTITION_BYTES))
 
 
+def first_trees(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
+    """The ensemble after ``n`` rounds of boosting: what a fit of ``n`` rounds with the same settings would be."""
+    if n >= model.getNumTrees:
+        return model
+    spark = SparkSession.active()
+    gateway, java = spark.sparkContext._gateway, model._java_obj
+    trees = gateway.new_array(spark._jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    weights = gateway.new_array(gateway.jvm.double, n)
+    for k in range(n):
+        trees[k], weights[k] = java.trees()[k], java.treeWeights()[k]
+    made = spark._jvm.org.apache.spark.ml.classification.GBTClassificationModel(java.uid(), trees, weights)
+    return GBTClassificationModel(made.setFeaturesCol("features"))
+
+
+def families(points: Sequence[dict]) -> list[tuple[dict, list[int]]]:
+    """Points that differ only in the number of rounds share a fit: the settings, and the rounds asked for."""
+    found: dict[tuple, list[int]] = {}
+    for point in points:
+        found.setdefault(tuple((k, v) for k, v in point.items() if k != ROUNDS), []).append(point[ROUNDS])
+    return [(dict(key), sorted(set(rounds))) for key, rounds in found.items()]
+
+
 def search(
     train: DataFrame, draws: int = SEARCH_DRAWS, parallelism: int = 1, grid: dict = SEARCH_GRID
 ) -> tuple[Model, list[dict]]:
     """Cross-validated random search by AUC; the best draw is refitted on all training rows.
 
-    ``parallelism`` fits run side by side on one cached matrix per fold.
+    Draws that differ only in the number of boosting rounds are one fit, read off at each of its numbers: boosting
+    adds a tree to those before it and changes none. ``parallelism`` fits of any fold run side by side.
     """
     points = draw_params(draws, grid)
     trees = booster()
-    maps = [param_map(trees, p) for p in points]
     # The score column holds every distinct score: no binning of the curve.
     evaluator = BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC", numBins=0)
     folded = with_folds(train).select("fold", "label", "weight", "features")
-    validator = CrossValidator(
-        estimator=trees, estimatorParamMaps=maps, evaluator=evaluator,
-        numFolds=FOLDS, foldCol="fold", parallelism=parallelism,
-    )
-    found = validator.fit(folded)
-    ranked = [{**point, "mean_auc": auc} for point, auc in zip(points, found.avgMetrics, strict=True)]
-    return found.bestModel, ranked
+    sides = [(folded.filter(F.col("fold") != k).persist(), folded.filter(F.col("fold") == k).persist()) for k in range(FOLDS)]
+
+    def fitted(job: tuple[int, tuple[dict, list[int]]]) -> list[tuple[tuple, float]]:
+        k, (settings, rounds) = job
+        learn, check = sides[k]
+        model = trees.fit(learn, param_map(trees, {**settings, ROUNDS: rounds[-1]}))
+        return [((*sorted(settings.items()), n), evaluator.evaluate(first_trees(model, n).transform(check))) for n in rounds]
+
+    try:
+        with ThreadPoolExecutor(parallelism) as pool:
+            jobs = list(itertools.product(range(FOLDS), families(points)))
+            found = list(itertools.chain.from_iterable(pool.map(inheritable_thread_target(fitted), jobs)))
+    finally:
+        for side in itertools.chain.from_iterable(sides):
+            side.unpersist()
+    scores: dict[tuple, list[float]] = {}
+    for key, auc in found:
+        scores.setdefault(key, []).append(auc)
+
+    def mean(point: dict) -> float:
+        own = scores[(*sorted((k, v) for k, v in point.items() if k != ROUNDS), point[ROUNDS])]
+        return sum(own) / len(own)
+
+    ranked = [{**point, "mean_auc": mean(point)} for point in points]
+    best = max(ranked, key=lambda t: t["mean_auc"])
+    return trees.fit(train, param_map(trees, best)), ranked
 
 
 @dataclass
