@@ -609,6 +609,17 @@ def csv_scan(i: Inputs) -> DataFrame:
     return layers.read_raw(i.spark, path, "attributes")
 
 
+@query
+def csv_scan_mixed(i: Inputs) -> DataFrame:
+    """The same from one folder whose files have their columns in different orders, with a stranger among them."""
+    path, rows = i.workspace("csv"), i.raw("attributes")
+    late = F.crc32(F.col("Customer_ID").cast("binary")) % 2 == 0
+    rows.filter(~F.coalesce(late, F.lit(False))).write.option("header", True).csv(path)
+    mixed = rows.filter(late).withColumn("unknown", F.lit("x")).select("unknown", *reversed(rows.columns))
+    mixed.write.mode("append").option("header", True).csv(path)
+    return layers.read_raw(i.spark, path, "attributes")
+
+
 @query
 def backfill_store(i: Inputs) -> DataFrame:
     """Bronze, silver and gold for all months through files, then the store read back."""

@@ -630,6 +630,7 @@ ANSWERS: dict[str, str] = {
     ),
     "bronze_roundtrip": with_needs(["raw_financials"], f"select {', '.join(S.FINANCIALS)} from raw_financials"),
     "csv_scan": with_needs(["raw_attributes"], f"select {', '.join(S.ATTRIBUTES)} from raw_attributes"),
+    "csv_scan_mixed": with_needs(["raw_attributes"], f"select {', '.join(S.ATTRIBUTES)} from raw_attributes"),
     "backfill_store": with_needs(["store"], f"select {plain(_store_types())} from store"),
 }
 

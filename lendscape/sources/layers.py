@@ -22,19 +22,45 @@ FIRST_MONTH = date(2023, 1, 1)
 LAST_MONTH = date(2025, 11, 1)
 
 
+def _by_header(spark: SparkSession, path: str) -> list[list[str]]:
+    """The files below a path, those with one header together. Reads one line of each file; files without a line go."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(conf)
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+    found: dict[str, list[str]] = {}
+    for status in fs.globStatus(place) or []:
+        files = fs.listFiles(status.getPath(), True)
+        while files.hasNext():
+            at = files.next().getPath()
+            inner = at.toString().removeprefix(status.getPath().toString())
+            if any(part.startswith(("_", ".")) for part in inner.split("/")):
+                continue
+            codec, stream = codecs.getCodec(at), fs.open(at)
+            try:
+                text = codec.createInputStream(stream) if codec else stream
+                header = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(text, "UTF-8")).readLine()
+            finally:
+                stream.close()
+            if header is not None:
+                found.setdefault(header, []).append(at.toString())
+    return list(found.values()) if len(found) > 1 else [[path]]
+
+
 def read_raw(spark: SparkSession, paths: str | Sequence[str], table: str) -> DataFrame:
     """Raw CSV with headers, every column text: no inference pass over the files.
 
-    Columns are found by name in each file's own header, in whatever order. Absent ones are null, unknown
-    ones are ignored. A folder is read as one file: give paths one by one where their headers differ.
+    Columns are found by name in each file's own header, in whatever order; the files of a folder may differ. Absent
+    columns are null, unknown ones are ignored. There is one scan for each different header.
     """
     known = list(S.TABLES[table])
     parts = []
     for path in [paths] if isinstance(paths, str) else paths:
-        part = spark.read.option("header", True).csv(path)
-        if not set(known) & set(part.columns):
-            raise ValueError(f"no column of {table} in the header of {path}")
-        parts.append(part.select([F.col(c) if c in part.columns else F.lit(None).cast("string").alias(c) for c in known]))
+        for files in _by_header(spark, path):
+            part = spark.read.option("header", True).csv(files)
+            if not set(known) & set(part.columns):
+                raise ValueError(f"no column of {table} in the header of {files[0]}")
+            parts.append(part.select([F.col(c) if c in part.columns else F.lit(None).cast("string").alias(c) for c in known]))
     return append_months(parts)
 
 

@@ -16,7 +16,7 @@ ROWS_ONLY = {"train_fixed", "train_search", "score_batch", "split_evaluation", "
 SAMPLE = [
     "snapshot_ingest", "loans_dpd", "clean_attributes", "clean_financials", "clean_clickstream", "default_labels",
     "gold_feature_store", "latest_default_label", "bad_rate_by_click_bucket", "bad_rate_by_loan_type", "numeric_profile",
-    "correlation_rank", "customer_overlap", "monitoring_table", "leakage_audit",
+    "correlation_rank", "csv_scan_mixed", "customer_overlap", "monitoring_table", "leakage_audit",
 ]
 
 

@@ -1,8 +1,11 @@
 """Landing, backfill and the model bank, through files."""
 
+import gzip
+import random
 from datetime import date
 
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from contract import queries as Q
@@ -209,6 +212,37 @@ def test_search_draws_distinct_points_and_keeps_the_best(spark, trained):
     assert len(trials) == 2 and best.getOrDefault("stepSize") == max(trials, key=lambda t: t["mean_auc"])["learning_rate"]
 
 
+def test_fewer_rounds_are_the_first_trees(spark, trained):
+    """An ensemble cut to its first trees scores like one fitted with so many, so draws may share a fit."""
+    rng = random.Random(3)
+    rows = [(float(k % 3 == 0), 1.0, Vectors.dense([rng.random() + (k % 3 == 0) * 0.2, rng.random()])) for k in range(300)]
+    matrix = spark.createDataFrame(rows, ["label", "weight", "features"])
+    trees, params = training.booster(), {**training.DEFAULT_PARAMS, "n_estimators": 6}
+    whole = trees.fit(matrix, training.param_map(trees, params))
+    short = trees.fit(matrix, training.param_map(trees, {**params, "n_estimators": 3}))
+    cut = training.first_trees(whole, 3)
+    probability = lambda m: [r.probability for r in m.transform(matrix).select("probability").collect()]
+    assert probability(cut) == probability(short) != probability(whole) and training.first_trees(whole, 6) is whole
+
+
+def test_draws_that_differ_in_rounds_share_a_fit():
+    points = [{"n_estimators": n, "max_depth": d} for d in (2, 3) for n in (50, 25)] + [{"n_estimators": 25, "max_depth": 4}]
+    assert training.families(points) == [({"max_depth": 2}, [25, 50]), ({"max_depth": 3}, [25, 50]), ({"max_depth": 4}, [25])]
+    assert len(training.families(training.draw_params(100))) < 80
+
+
+def test_a_folder_of_files_with_other_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Customer_ID,Name,Age,snapshot_date\n1,Ann,30,2023-01-01\n")
+    (tmp_path / "b.csv").write_text("snapshot_date,other,Age,Customer_ID\n2023-02-01,x,40,2\n2023-02-01,x,41,3\n")
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "c.csv.gz").write_bytes(gzip.compress(b"Age,Customer_ID\n50,4\n"))
+    (tmp_path / "_SUCCESS").write_text("")
+    (tmp_path / "empty.csv").write_text("")
+    for path in (str(tmp_path), f"{tmp_path}/*"):
+        got = {r.Customer_ID: (r.Age, r.Name, r.snapshot_date) for r in layers.read_raw(spark, path, "attributes").collect()}
+        assert got == {"1": ("30", "Ann", "2023-01-01"), "2": ("40", None, "2023-02-01"), "3": ("41", None, "2023-02-01"), "4": ("50", None, None)}
+
+
 def test_overlap_is_empty_with_one_loan_per_customer(spark):
     tagged = spark.createDataFrame([("a", "train"), ("b", "dev"), ("c", "oot"), (None, "dev"), (None, "oot")], "Customer_ID string, split string")
     assert {r.shared_customers for r in audit.customer_overlap(tagged).collect()} == {0}
