@@ -3,8 +3,9 @@
 Both start from a histogram: one row per (group, value) with summed weights, stored because every
 operator here passes over it more than once. The value axis is cut into slices of about equal row
 count, and order is only established inside a (group, slice) cell; cells are then placed behind
-each other by their totals. The cuts come from a sketch, which decides how evenly work is spread
-and never what the result is.
+each other by their totals. Slices are cut again until a cell holds about ``CELL_ROWS`` rows, so it
+is the number of cells that grows with the data, not their size. The cuts come from sketches,
+which decide how evenly work is spread and never what the result is.
 """
 
 from __future__ import annotations
@@ -17,6 +18,9 @@ from pyspark.sql import functions as F
 from lendscape.session import stored
 
 SLICES = 64
+CELL_ROWS = 1 << 17
+# Cuts of slices are broadcast up to this level: 64 * 64 rows of 63 numbers, 2 MB.
+BROADCAST_LEVELS = 3
 
 
 def value_counts(df: DataFrame, by: Sequence[str], value: str, **sums: Column) -> DataFrame:
@@ -30,15 +34,23 @@ def histogram(df: DataFrame, by: Sequence[str], value: str, **sums: Column) -> D
     return stored(value_counts(df, by, value, **sums), "histogram")
 
 
-def with_slice(hist: DataFrame, value: str, slices: int = SLICES) -> DataFrame:
-    """Number the slice of the value axis each row lies in.
+def cut_levels(hist: DataFrame, cell_rows: int = CELL_ROWS) -> int:
+    """How often the axis has to be cut into ``SLICES`` until a slice holds at most ``cell_rows`` rows.
 
-    Cuts are taken over all rows of the histogram, so no (group, slice) cell holds much more than
-    one ``slices``-th of them, whatever the groups look like. Found by bisection, not by scanning.
+    Counts the rows, which for a stored histogram reads file footers only.
     """
-    shares = [k / slices for k in range(1, slices)]
-    axis = F.col(value).cast("double")
-    sketch = hist.agg(F.percentile_approx(axis, shares, 10 * slices))
+    rows, levels = hist.count(), 0
+    while rows > cell_rows * SLICES**levels:
+        levels += 1
+    return levels
+
+
+def _cuts(axis: Column) -> Column:
+    return F.percentile_approx(axis, [k / SLICES for k in range(1, SLICES)], 10 * SLICES)
+
+
+def _slice_number(axis: Column, cuts: Column) -> Column:
+    """Where the axis falls among the cuts; found by bisection, not by scanning."""
 
     def bisect(cuts: Column, lo: int, hi: int) -> Column:
         if lo == hi:
@@ -46,12 +58,34 @@ def with_slice(hist: DataFrame, value: str, slices: int = SLICES) -> DataFrame:
         mid = (lo + hi) // 2
         return F.when(axis <= cuts[mid], bisect(cuts, lo, mid)).otherwise(bisect(cuts, mid + 1, hi))
 
-    # Bound to one lambda variable, so that the plan holds the subquery once.
-    number = F.transform(F.array("_cuts"), lambda cuts: bisect(cuts, 0, slices - 1))[0]
-    return hist.withColumn("_cuts", sketch.scalar()).withColumn("_slice", number).drop("_cuts")
+    # Bound to one lambda variable, so that the plan holds what the cuts come from once.
+    return F.transform(F.array(cuts), lambda found: bisect(found, 0, SLICES - 1))[0].cast("long")
 
 
-def grouped_auc(hist: DataFrame, by: Sequence[str], value: str, carry: Sequence[str] = ()) -> DataFrame:
+def with_slice(hist: DataFrame, value: str, levels: int = 1) -> DataFrame:
+    """Number the slice of the value axis each row lies in, in the order of the values.
+
+    The first level cuts the axis over all rows of the histogram, every further one cuts each slice
+    over the rows in it: no (group, slice) cell holds much more than one ``SLICES ** levels``-th of
+    them, whatever the groups look like. A level is a scan with partial aggregation; rows stay where
+    they are.
+    """
+    axis = F.col(value).cast("double")
+    if levels == 0:
+        return hist.withColumn("_slice", F.lit(0).cast("long"))
+    sliced = hist.withColumn("_cuts", hist.agg(_cuts(axis)).scalar())
+    sliced = sliced.withColumn("_slice", _slice_number(axis, F.col("_cuts"))).drop("_cuts")
+    for level in range(2, levels + 1):
+        cuts = sliced.groupBy("_slice").agg(_cuts(axis).alias("_cuts"))
+        finer = F.col("_slice") * SLICES + _slice_number(axis, F.col("_cuts"))
+        sliced = sliced.join(F.broadcast(cuts) if level <= BROADCAST_LEVELS else cuts, "_slice")
+        sliced = sliced.withColumn("_slice", finer).drop("_cuts")
+    return sliced
+
+
+def grouped_auc(
+    hist: DataFrame, by: Sequence[str], value: str, carry: Sequence[str] = (), cell_rows: int = CELL_ROWS
+) -> DataFrame:
     """Area under the ROC curve per group and its Gini, ties averaged, null where one class is absent.
 
     ``hist`` has the columns ``pos`` and ``neg``; columns in ``carry`` are summed along per group.
@@ -61,7 +95,7 @@ def grouped_auc(hist: DataFrame, by: Sequence[str], value: str, carry: Sequence[
     """
     within = Window.partitionBy(*by, "_slice").orderBy(value)
     below = F.sum("neg").over(within) - F.col("neg")
-    ranked = with_slice(hist, value).withColumn("_wins", F.col("pos") * (below + F.col("neg") / 2))
+    ranked = with_slice(hist, value, cut_levels(hist, cell_rows)).withColumn("_wins", F.col("pos") * (below + F.col("neg") / 2))
     cells = ranked.groupBy(*by, "_slice").agg(
         *[F.sum(c).alias(c) for c in ("pos", "neg", "_wins", *carry)], F.count("*").alias("n_values")
     )
@@ -76,41 +110,61 @@ def grouped_auc(hist: DataFrame, by: Sequence[str], value: str, carry: Sequence[
     )
 
 
-def grouped_quantiles(hist: DataFrame, by: Sequence[str], value: str, weight: str, probs: Sequence[float]) -> DataFrame:
+def grouped_quantiles(
+    hist: DataFrame, by: Sequence[str], value: str, weight: str, probs: Sequence[float], cell_rows: int = CELL_ROWS
+) -> DataFrame:
     """Exact interpolated quantiles: one row (group, prob, quantile).
 
-    First pass: cell totals tell which value range holds each wanted order statistic. Second pass:
-    only rows of those ranges are put in order. Ranges are passed on as values, not slice numbers,
-    so the passes need not agree on the cuts. ``by`` must name a bounded set (features, splits, one
-    month): the ranges, two per group and probability, are broadcast.
+    Cell totals tell which value range holds each wanted order statistic. Ranges that may hold more
+    than ``cell_rows`` rows are cut again by themselves, and only rows of the last ranges are put in
+    order. Ranges are passed on as values, not slice numbers, so the passes need not agree on the
+    cuts. ``by`` must name a bounded set (features, splits, one month): the ranges, two per group
+    and probability, are broadcast.
     """
-    cells = (
-        with_slice(hist, value)
-        .groupBy(*by, "_slice")
-        .agg(F.sum(weight).alias("_n"), F.min(value).alias("_low"), F.max(value).alias("_high"))
-    )
-    # At most SLICES rows per group from here on.
+    rows = hist.select(*by, value, F.col(weight).alias("_w"))
+    cell = [F.sum("_w").alias("_n"), F.min(value).alias("_low"), F.max(value).alias("_high")]
+    cells = with_slice(rows, value).groupBy(*by, "_slice").agg(*cell)
+    # At most SLICES rows per group, or per range, in these windows.
     group = Window.partitionBy(*by)
     placed = cells.select(
         "*",
         (F.sum("_n").over(group.orderBy("_slice")) - F.col("_n")).alias("_before"),
         F.sum("_n").over(group).alias("_total"),
     )
+    holds_rank = (F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_before") + F.col("_n"))
     wanted = (
         placed.withColumn("prob", F.explode(F.array(*[F.lit(float(p)) for p in probs])))
         .withColumn("_position", F.col("prob") * (F.col("_total") - 1))
         .withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_position"), F.ceil("_position")))))
-        .filter((F.col("_before") <= F.col("_rank")) & (F.col("_rank") < F.col("_before") + F.col("_n")))
+        .filter(holds_rank)
         .select(*by, "prob", "_position", "_rank", "_before", "_low", "_high")
     )
-    found = (
-        hist.select(*by, value, F.col(weight).alias("_w"))
-        .join(F.broadcast(wanted), on=list(by))
-        .filter(F.col(value).between(F.col("_low"), F.col("_high")))
-    )
-    order = Window.partitionBy(*by, "prob", "_rank").orderBy(value)
+    axis, one_range = F.col(value).cast("double"), [*by, "prob", "_rank"]
+
+    def inside(ranges: DataFrame) -> DataFrame:
+        within = F.col(value).between(F.col("_low"), F.col("_high"))
+        return rows.join(F.broadcast(ranges), on=list(by)).filter(within)
+
+    for _ in range(1, cut_levels(hist, cell_rows)):
+        cuts = inside(wanted).groupBy(*one_range).agg(_cuts(axis).alias("_cuts"))
+        finer = (
+            inside(wanted)
+            .withColumnRenamed("_before", "_start")
+            .drop("_low", "_high")
+            .join(F.broadcast(cuts), one_range)
+            .withColumn("_slice", _slice_number(axis, F.col("_cuts")))
+            .groupBy(*one_range, "_position", "_start", "_slice")
+            .agg(*cell)
+        )
+        upto = F.sum("_n").over(Window.partitionBy(*one_range).orderBy("_slice"))
+        wanted = (
+            finer.withColumn("_before", F.col("_start") + upto - F.col("_n"))
+            .filter(holds_rank)
+            .select(*by, "prob", "_position", "_rank", "_before", "_low", "_high")
+        )
+    order = Window.partitionBy(*one_range).orderBy(value)
     upto = F.col("_before") + F.sum("_w").over(order)
-    hit = found.withColumn("_upto", upto).filter(
+    hit = inside(wanted).withColumn("_upto", upto).filter(
         (F.col("_upto") - F.col("_w") <= F.col("_rank")) & (F.col("_rank") < F.col("_upto"))
     )
     low, high = F.min(value).cast("double"), F.max(value).cast("double")

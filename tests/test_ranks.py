@@ -61,6 +61,42 @@ def test_cells_stay_small_when_one_group_holds_everything(spark):
     assert biggest <= 2 * 64_000 / ranks.SLICES
 
 
+@pytest.mark.parametrize("n", [300, 3_000, 30_000])
+def test_cells_do_not_grow_with_the_data(spark, n):
+    rows = spark.range(n).select(F.when(F.col("id") % 3 > 0, "hot").otherwise("other").alias("g"), F.exp(F.col("id") % 17).alias("tied"), "id")
+    hist = ranks.histogram(rows.withColumn("s", F.col("tied") + F.col("id") / n), ["g"], "s")
+    levels = ranks.cut_levels(hist, 20)
+    assert levels == {300: 1, 3_000: 2, 30_000: 2}[n]
+    cells = ranks.with_slice(hist, "s", levels).groupBy("_slice").agg(F.count("*").alias("n"), F.min("s").alias("lo"), F.max("s").alias("hi"))
+    found = cells.orderBy("_slice").collect()
+    assert sum(c.n for c in found) == n and max(c.n for c in found) <= 2 * 20
+    # Slices lie behind each other on the axis.
+    assert all(a.hi < b.lo for a, b in zip(found, found[1:], strict=False))
+
+
+@pytest.mark.parametrize("cell_rows", [1, 3, 50])
+def test_deeper_cuts_change_no_result(spark, cell_rows):
+    rows = scored(6, n=400)
+    assert auc_of(spark, rows, cell_rows=cell_rows) == pytest.approx(auc_of(spark, rows), abs=1e-12)
+    probs = [0.0, 0.3, 0.5, 1.0]
+    hist = ranks.histogram(spark.createDataFrame(rows, "g string, s double, y int"), ["g"], "s")
+    got = {(r.g, r.prob): r.quantile for r in ranks.grouped_quantiles(hist, ["g"], "s", "n", probs, cell_rows).collect()}
+    for g in {r[0] for r in rows}:
+        values = [s for k, s, _ in rows if k == g]
+        assert [got[g, p] for p in probs] == pytest.approx(list(np.quantile(values, probs)), abs=1e-9)
+
+
+def test_three_levels(spark):
+    df = spark.range(9_000).select(F.lit("g").alias("g"), F.sqrt("id").alias("s"), (F.col("id") % 5 == 0).cast("int").alias("y"))
+    hist = ranks.histogram(df, ["g"], "s", pos=F.col("y"), neg=1 - F.col("y"), n=F.lit(1))
+    assert ranks.cut_levels(hist, 2) == 3
+    deep, flat = (ranks.grouped_auc(hist, ["g"], "s", cell_rows=c).first().auc for c in (2, 10_000))
+    assert deep == pytest.approx(flat, abs=1e-12)
+    got = ranks.grouped_quantiles(hist, ["g"], "s", "n", [0.25, 0.9], 2).collect()
+    values = np.sqrt(np.arange(9_000))
+    assert {r.prob: r.quantile for r in got} == pytest.approx({p: np.quantile(values, p) for p in (0.25, 0.9)}, abs=1e-9)
+
+
 @pytest.mark.parametrize("seed", [4, 5])
 def test_quantiles_match_numpy(spark, seed):
     rows = [(g, s) for g, s, _ in scored(seed, n=300)]
