@@ -59,11 +59,18 @@ class UnitEncoder:
     """Ids of units, joined. ``encode_piece`` gives the ids of a piece, ``cut`` cuts a unit into pieces.
 
     The two newest generations of units are kept, and one of pieces: memory stays bounded however many
-    there are.
+    there are. Where pieces are ``units`` themselves, each its own only piece, they are kept among them:
+    a word is worked out once, whether it stands alone or between marks.
     """
 
-    def __init__(self, encode_piece: Callable[[str], list[int]], cut: Callable[[str], list[str]] | None = None, kept: int = UNITS_KEPT):
-        self.cut, self.kept = cut, kept
+    def __init__(
+        self,
+        encode_piece: Callable[[str], list[int]],
+        cut: Callable[[str], list[str]] | None = None,
+        kept: int = UNITS_KEPT,
+        units: bool = False,
+    ):
+        self.cut, self.kept, self.units = cut, kept, units
         self.pieces = _Kept(lambda piece: array("I", encode_piece(piece)).tobytes())
         self.young, self.old = _Kept(self._learn), {}
 
@@ -73,7 +80,10 @@ class UnitEncoder:
             return known
         if self.cut is None:
             return self.pieces.find(unit)
-        return b"".join(map(self.pieces.__getitem__, self.cut(unit)))
+        parts = self.cut(unit)
+        if not self.units:
+            return b"".join(map(self.pieces.__getitem__, parts))
+        return self.pieces.find(unit) if parts == [unit] else b"".join(map(self.young.__getitem__, parts))
 
     def encode(self, units: list[str]) -> np.ndarray:
         if len(self.young) > self.kept:
@@ -94,12 +104,14 @@ def _byte_letters() -> dict[int, str]:
 class TextEncoder:
     """Ids of whole texts, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them."""
 
+    PIECES_ARE_UNITS = False
+
     def __init__(self, path: str, kept: int = UNITS_KEPT):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.latin = UnitEncoder(self._merge, self._cut, kept)
+        self.latin = UnitEncoder(self._merge, self._cut, kept, self.PIECES_ARE_UNITS)
         self.wide = UnitEncoder(self._whole, kept=kept // 4)
 
     def _merge(self, piece: str) -> list[int]:
@@ -134,6 +146,13 @@ class ByteEncoder(TextEncoder):
 class WordEncoder(TextEncoder):
     """White space only separates, and case is ignored."""
 
+    PIECES_ARE_UNITS = True
+
+    def _merge(self, piece: str) -> list[int]:
+        if piece.isascii() and piece.isalnum():  # spelled alike in the byte-level alphabet
+            return [t.id for t in self.model.tokenize(piece)]
+        return super()._merge(piece)
+
     def _cut(self, unit: str) -> list[str]:
         return WORD_PIECES.findall(unit)
 
@@ -150,4 +169,4 @@ def byte_encoder(name: str = "byte_bpe_50k.json") -> ByteEncoder:
 @cache
 def word_encoder(name: str = "word_bpe_49k.json") -> WordEncoder:
     """One per worker."""
-    return WordEncoder(public_tokenizers.path(name), kept=UNITS_KEPT // 3)
+    return WordEncoder(public_tokenizers.path(name), kept=UNITS_KEPT // 2)

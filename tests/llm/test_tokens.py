@@ -37,6 +37,25 @@ def test_forgetting_units_changes_nothing():
         assert parted.encode(text.split()).tolist() == want
 
 
+def test_pieces_kept_among_units():
+    asked = []
+
+    def encode(piece):
+        asked.append(piece)
+        return [len(piece), ord(piece[0])]
+
+    encoder = tokens.UnitEncoder(encode, tokens.WORD_PIECES.findall, kept=100, units=True)
+    got = encoder.encode(["word,", "word", "(word)", ",", "it's", "'s", "12"]).tolist()
+    parts = ["word", ",", "word", "(", "word", ")", ",", "it", "'s", "'s", "1", "2"]
+    assert got == [x for p in parts for x in (len(p), ord(p[0]))]
+    assert sorted(asked) == sorted(set(parts))
+    rng = random.Random(6)
+    small = tokens.WordEncoder(tokens.public_tokenizers.path("word_bpe_49k.json"), kept=4)
+    for _ in range(2000):
+        text = "".join(rng.choice("ab'sreDLl'' 12.,-_½é²\x01\x7f~$\"()\n\t") for _ in range(rng.randrange(30)))
+        assert list(small(text)) == small.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_shards_hold_what_was_put_in(monkeypatch):
     rng = np.random.default_rng(2)
     ids = [rng.integers(0, 300 if k % 2 else 1 << 20, rng.integers(0, 900)).astype(np.uint32) for k in range(60)] + [np.zeros(0, np.uint32)]
