@@ -628,6 +628,30 @@ def backfill_store(i: Inputs) -> DataFrame:
     return layers.read_table(i.spark, root, "gold", "label_store").select(*S.STORE_COLUMNS)
 
 
+@query
+def backfill_monthly(i: Inputs) -> DataFrame:
+    """The same store grown in runs: a first span without a fifth of its loans, the spans in order, the first again whole."""
+    root, raw = i.workspace("monthly"), {t: i.raw(t) for t in S.TABLES}
+    third = -(-len(i.months) // 3) or 1
+    spans = [i.months[k : k + third] for k in range(0, len(i.months), third)]
+    withheld = F.coalesce(F.crc32(F.col("loan_id").cast("binary")) % 5 == 0, F.lit(False))
+    short = {**raw, "loans": raw["loans"].filter(~withheld)}
+    layers.run_backfill(i.spark, short, root, spans[0])
+    for span in [*spans[1:], spans[0]]:
+        layers.run_backfill(i.spark, raw, root, span)
+    return layers.read_table(i.spark, root, "gold", "label_store").select(*S.STORE_COLUMNS)
+
+
+@query
+def load_metrics(i: Inputs) -> DataFrame:
+    """What a backfill observed of each of its nine writes."""
+    root = i.workspace("metrics")
+    layers.run_backfill(i.spark, {t: i.raw(t) for t in S.TABLES}, root, i.months)
+    return layers.load_metrics(i.spark, root).select(
+        "layer", F.col("table").alias("table_name"), F.col("rows").alias("n_rows"), "without_customer", "first_month", "last_month"
+    )
+
+
 @query
 def predictions_by_month(i: Inputs) -> DataFrame:
     root = i.workspace("predictions")

@@ -632,8 +632,25 @@ ANSWERS: dict[str, str] = {
     "csv_scan": with_needs(["raw_attributes"], f"select {', '.join(S.ATTRIBUTES)} from raw_attributes"),
     "csv_scan_mixed": with_needs(["raw_attributes"], f"select {', '.join(S.ATTRIBUTES)} from raw_attributes"),
     "backfill_store": with_needs(["store"], f"select {plain(_store_types())} from store"),
+    "backfill_monthly": with_needs(["store"], f"select {plain(_store_types())} from store"),
 }
 
+LOADED = [
+    ("bronze", "loans", "raw_loans"), ("bronze", "attributes", "raw_attributes"), ("bronze", "financials", "raw_financials"),
+    ("bronze", "clickstream", "raw_clickstream"), ("silver", "loans", "loans"), ("silver", "attributes", "attributes"),
+    ("silver", "financials", "financials"), ("silver", "clickstream", "clickstream"), ("gold", "label_store", "store"),
+]
+ANSWERS["load_metrics"] = with_needs(
+    [relation for _, _, relation in LOADED],
+    union([
+        f"select '{layer}' as layer, '{table}' as table_name, count(*) as n_rows, "
+        "count(*) filter (where Customer_ID is null) as without_customer, "
+        "cast(min(cast(snapshot_date as date)) as varchar) as first_month, "
+        f"cast(max(cast(snapshot_date as date)) as varchar) as last_month from {relation}"
+        for layer, table, relation in LOADED
+    ]),
+)
+
 for _key, _table, _columns, _where, _n, _places in [
     ("salary", "financials", ["Monthly_Inhand_Salary"], "Monthly_Inhand_Salary > 0", 5, 2),
     ("limit_and_utilisation", "financials", ["Changed_Credit_Limit", "Credit_Utilization_Ratio"],

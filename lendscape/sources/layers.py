@@ -1,23 +1,30 @@
 """Reading and writing the layers: raw text, bronze, silver and gold tables under one root.
 
 Tables are Parquet, laid out by ``snapshot_date``; the month is a directory, so a date window
-prunes files and a re-run replaces its own months only.
+prunes files. A re-run replaces its own months only, and readers see each of them as it was or as
+it is (see ``published``).
 """
 
 from __future__ import annotations
 
+import itertools
+import json
+import uuid
 from collections.abc import Iterable, Sequence
-from datetime import date
+from concurrent.futures import ThreadPoolExecutor
+from datetime import UTC, date, datetime
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from lendscape import schemas as S
 from lendscape.functions.dates import shift_months
 from lendscape.plans import gold, silver
+from lendscape.sources import published
+from lendscape.sources.published import PERIOD
 
-PERIOD = "snapshot_date"
 FIRST_MONTH = date(2023, 1, 1)
 LAST_MONTH = date(2025, 11, 1)
 
@@ -69,8 +76,14 @@ def path_of(root: str, layer: str, table: str) -> str:
 
 
 def read_table(spark: SparkSession, root: str, layer: str, table: str) -> DataFrame:
-    """All months of one table; an error that says what to run if there are none."""
+    """All published months of one table, none of them left or not; an error that says what to run if there never were any.
+
+    A folder without a manifest is read as plain Parquet.
+    """
     path = path_of(root, layer, table)
+    found = published.read(spark, path)
+    if found is not None:
+        return found
     try:
         return spark.read.parquet(path)
     except AnalysisException as missing:
@@ -88,29 +101,15 @@ def load_window(spark: SparkSession, root: str, start: date = FIRST_MONTH, end:
     return tuple(read_table(spark, root, "silver", t).filter(in_window(start, end)) for t in names)
 
 
-def write_table(df: DataFrame, path: str, months: Iterable[date] = ()) -> None:
-    """Replace the months ``df`` holds, and empty those of ``months`` that it does not.
-
-    The directories of ``months`` go first, so a run that breaks off leaves its months absent, never stale;
-    repeating it completes them. Rebalancing by month gives well-sized files: small months share no task
-    with each other's files, and a month that is too big for one task is split.
-    """
-    spark = df.sparkSession
-    for month in months:
-        gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{PERIOD}={month}")
-        gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
-    writer = df.hint("rebalance", PERIOD).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy(PERIOD).parquet(path)
+def write_table(df: DataFrame, path: str, months: Iterable[date] = ()) -> dict:
+    """Replace the months ``df`` holds, and empty those of ``months`` that it does not; returns what was observed."""
+    return published.write(df, path, months)
 
 
 def rows_of(spark: SparkSession, path: str, months: Iterable[date]) -> int:
     """Rows a table has in some months: counted from the files' footers, 0 where nothing was ever written."""
-    try:
-        return spark.read.parquet(path).filter(F.col(PERIOD).isin(list(months))).count()
-    except AnalysisException as missing:
-        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        return 0
+    found = published.read(spark, path)
+    return 0 if found is None else found.filter(F.col(PERIOD).isin(list(months))).count()
 
 
 def of_months(df: DataFrame, months: Iterable[date]) -> DataFrame:
@@ -118,12 +117,15 @@ def of_months(df: DataFrame, months: Iterable[date]) -> DataFrame:
     return df.filter(F.col(PERIOD).try_cast("date").isin(list(months)))
 
 
-def land_bronze(raw: DataFrame, root: str, table: str, months: Sequence[date]) -> int:
-    """Land the months of one source as received. One pass over the source, however many months."""
+def _observed(layer: str, table: str, metrics: dict) -> dict:
+    return {"layer": layer, "table": table, **metrics}
+
+
+def land_bronze(raw: DataFrame, root: str, table: str, months: Sequence[date]) -> dict:
+    """Land the months of one source as received. One pass over the source, however many months. Returns the load's metrics."""
     day = F.col(PERIOD).try_cast("date").alias(PERIOD)
-    path = path_of(root, "bronze", table)
-    write_table(of_months(raw, months).select(*[c for c in raw.columns if c != PERIOD], day), path, months)
-    return rows_of(raw.sparkSession, path, months)
+    landed = of_months(raw, months).select(*[c for c in raw.columns if c != PERIOD], day)
+    return _observed("bronze", table, write_table(landed, path_of(root, "bronze", table), months))
 
 
 def _raw_or_none_yet(spark: SparkSession, root: str, table: str) -> DataFrame:
@@ -141,56 +143,105 @@ def _silver_or_none_yet(spark: SparkSession, root: str, table: str) -> DataFrame
         return silver.CLEANERS[table](spark.createDataFrame([], S.raw_schema(table)))
 
 
-def refine_silver(spark: SparkSession, root: str, table: str, months: Sequence[date]) -> int:
+def refine_silver(spark: SparkSession, root: str, table: str, months: Sequence[date]) -> dict:
     landed = _raw_or_none_yet(spark, root, table)
-    path = path_of(root, "silver", table)
-    write_table(silver.CLEANERS[table](of_months(landed, months)), path, months)
-    return rows_of(spark, path, months)
+    cleaned = silver.CLEANERS[table](of_months(landed, months))
+    return _observed("silver", table, write_table(cleaned, path_of(root, "silver", table), months))
+
+
+def state_path(root: str, mob: int = gold.MONTHS_ON_BOOK) -> str:
+    return path_of(root, "silver", f"loan_months_{mob}")
 
 
-def matured(loans: DataFrame, months: Sequence[date], mob: int = gold.MONTHS_ON_BOOK) -> list[date]:
-    """The application months whose labels what was landed in ``months`` can change.
+def _published(spark: SparkSession, path: str) -> published.Manifest:
+    return published.manifest(spark, path) or published.Manifest()
 
-    Those of loans whose row of month ``mob`` was landed then, whenever it was due, or an earlier one that came
-    after it; and the application months a run for ``months`` owns by the calendar, which have to
-    be emptied where their loans were withdrawn. Reads the landed months and all month-0 rows; one date a
-    month reaches the driver.
+
+def _differing(loans: published.Manifest, state: published.Manifest) -> list[date]:
+    """Months of silver loans that were landed again, or emptied, since the state was last brought up to them."""
+    return sorted(date.fromisoformat(m) for m in {*loans.months, *state.sources} if loans.months.get(m) != state.sources.get(m))
+
+
+def advance_state(spark: SparkSession, root: str, mob: int = gold.MONTHS_ON_BOOK) -> list[date]:
+    """Bring the label state up to silver loans; returns the application months whose labels are out of date.
+
+    Of silver loans only the months that changed are read. Application months stay on the state's list until
+    ``settle`` takes them off, so a run that breaks off before gold is written leaves them to the next.
     """
-    anchors = gold.application_rows(loans).groupBy("Customer_ID", "loan_id").agg(F.min(PERIOD).alias("applied"))
-    landed = of_months(loans, months).filter(F.col("mob").between(1, mob)).select("Customer_ID", "loan_id", PERIOD, "mob")
-    late = F.months_between(PERIOD, "applied") >= mob
-    touched = landed.join(anchors, ["Customer_ID", "loan_id"]).filter((F.col("mob") == mob) | late)
-    found = {r[0] for r in touched.select("applied").distinct().collect()}
-    return sorted(found | {shift_months(m, -mob) for m in months})
+    path, loans_path = state_path(root, mob), path_of(root, "silver", "loans")
+    old, found = _published(spark, path), _published(spark, loans_path)
+    stale = _differing(found, old)
+    if not stale:
+        return sorted(date.fromisoformat(m) for m in old.pending)
+    landed = _silver_or_none_yet(spark, root, "loans") if not found.version else published.read(spark, loans_path, found.only(stale))
+    sources = {m.isoformat(): found.months[m.isoformat()] for m in stale if m.isoformat() in found.months}
+    load = published.stage(gold.loan_months(landed, mob), path)
+    state = published.read(spark, path, load.onto(old, stale, sources))
+    changed = of_months(state, stale)
+    if old.months:
+        before = published.read(spark, path, old.only(stale))
+        state, changed = state.unionByName(before), changed.unionByName(before)
+    touched = [r[0].isoformat() for r in gold.months_touched(state, changed, mob).collect()]
+    published.publish(spark, load, stale, sources, touched)
+    return sorted(date.fromisoformat(m) for m in {*old.pending, *touched})
 
 
 def build_gold(
     spark: SparkSession, root: str, months: Sequence[date], mob: int = gold.MONTHS_ON_BOOK, dpd: int = gold.DAYS_PAST_DUE
-) -> int:
+) -> dict:
     """Label the loans that reach month ``mob`` in the given months, however late that is reported.
 
-    Each is stored once under its application month; those months are rebuilt whole. Only their own
-    features and what came after them of the loans are read. Returns the rows of the rebuilt months.
+    Each is stored once under its application month. Rebuilt are the application months that ``months``
+    own by the calendar and those in which a loan's rows were landed, changed or withdrawn since the last build.
+    Reads the changed months of silver loans, the narrow label state and the features of the rebuilt months.
     """
-    known = {t: _silver_or_none_yet(spark, root, t) for t in S.TABLES}
-    applied = matured(known["loans"], months, mob)
-    first, last = min(applied), max(applied)
-    loans = known["loans"].filter(F.col(PERIOD) >= F.lit(first))
-    features = [known[t].filter(in_window(first, last)) for t in ("clickstream", "attributes", "financials")]
-    path = path_of(root, "gold", "label_store")
-    write_table(of_months(gold.feature_store(loans, *features, mob, dpd), applied), path, applied)
-    return rows_of(spark, path, applied)
+    applied = sorted({*advance_state(spark, root, mob), *(shift_months(m, -mob) for m in months)})
+    state = published.read(spark, state_path(root, mob))
+    if state is None:
+        state = gold.loan_months(_silver_or_none_yet(spark, root, "loans"), mob)
+    features = [of_months(_silver_or_none_yet(spark, root, t), applied) for t in ("clickstream", "attributes", "financials")]
+    built = gold.with_features(gold.labels_of_months(state, applied, mob, dpd), *features)
+    metrics = write_table(built, path_of(root, "gold", "label_store"), applied)
+    if published.manifest(spark, state_path(root, mob)) is not None:
+        published.settle(spark, state_path(root, mob), applied)
+    return _observed("gold", "label_store", metrics)
+
+
+LOADS = (
+    "run string, loaded_at timestamp, layer string, table string, rows bigint, without_customer bigint, "
+    "first_month date, last_month date"
+)
+
+
+def load_metrics(spark: SparkSession, root: str) -> DataFrame:
+    """One row per table and run: what was written, as the writing tasks observed it."""
+    path = path_of(root, "metrics", "loads")
+    try:
+        return spark.read.schema(LOADS).json(path)
+    except AnalysisException as missing:
+        raise FileNotFoundError(f"no loads at {path}: run a backfill first") from missing
 
 
 def run_backfill(
     spark: SparkSession, raw: dict[str, DataFrame], root: str, months: Sequence[date],
     mob: int = gold.MONTHS_ON_BOOK, dpd: int = gold.DAYS_PAST_DUE,
 ) -> dict[str, int]:
-    """Bronze, silver and gold for any set of months, in nine writes; returns rows per table."""
-    rows = {f"bronze.{t}": land_bronze(raw[t], root, t, months) for t in S.TABLES}
-    rows |= {f"silver.{t}": refine_silver(spark, root, t, months) for t in S.TABLES}
-    rows["gold.label_store"] = build_gold(spark, root, months, mob, dpd)
-    return rows
+    """Bronze, silver and gold for any set of months; returns rows per table.
+
+    The sources do not wait for each other: each is landed and refined side by side with the rest. The metrics of
+    all loads are kept, a file per run (``load_metrics``).
+    """
+
+    def landed_and_refined(table: str) -> list[dict]:
+        return [land_bronze(raw[table], root, table, months), refine_silver(spark, root, table, months)]
+
+    with ThreadPoolExecutor(len(S.TABLES)) as pool:
+        loads = list(itertools.chain.from_iterable(pool.map(inheritable_thread_target(spark)(landed_and_refined), S.TABLES)))
+    loads.append(build_gold(spark, root, months, mob, dpd))
+    run = {"run": uuid.uuid4().hex, "loaded_at": datetime.now(UTC).isoformat()}
+    lines = [json.dumps({**run, **load}, default=date.isoformat) for load in loads]
+    published.put_text(spark, f"{path_of(root, 'metrics', 'loads')}/{run['run']}.json", "\n".join(lines))
+    return {f"{load['layer']}.{load['table']}": load["rows"] for load in loads}
 
 
 def append_months(parts: Sequence[DataFrame]) -> DataFrame:

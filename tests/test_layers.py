@@ -13,7 +13,7 @@ from lendscape import schemas as S
 from lendscape import session
 from lendscape.functions.dates import month_starts, training_windows
 from lendscape.plans import audit, scoring, silver, training
-from lendscape.sources import bank, layers, sample
+from lendscape.sources import bank, layers, published, sample
 
 SF = "/root/testdata/sf0.001"
 
@@ -99,6 +99,145 @@ def test_late_and_withdrawn_loans_month_by_month(spark, tmp_path):
     assert layers.rows_of(spark, f"{grown}/gold/label_store", months) == 0
 
 
+def others_of(spark):
+    return {t: spark.createDataFrame([], S.raw_schema(t)) for t in S.TABLES if t != "loans"}
+
+
+def labelled(spark, root):
+    return {(r.loan_id, str(r.snapshot_date)[:7], r.label) for r in layers.read_table(spark, root, "gold", "label_store").collect()}
+
+
+def test_a_month_landed_again_takes_back_what_it_held(spark, tmp_path):
+    """Rows that a second landing of one month lacks, adds or changes reach the labels by a run of that month alone."""
+    months = month_starts(date(2023, 1, 1), date(2023, 9, 1))
+    book = [(1, k, months[k], 0) for k in range(7)] + [(2, k, months[k + 1], 0) for k in range(7)]
+    book += [(3, k, months[k], 0) for k in range(6)] + [(3, 6, months[8], 0)]  # completed two months late
+    root, others = str(tmp_path), others_of(spark)
+    layers.run_backfill(spark, {**others, "loans": loan_rows(spark, book)}, root, months)
+    assert labelled(spark, root) == {("L1", "2023-01", 0), ("L2", "2023-02", 0), ("L3", "2023-01", 0)}
+
+    def rerun(book, month):
+        layers.run_backfill(spark, {**others, "loans": loan_rows(spark, book)}, root, [month])
+        return labelled(spark, root)
+
+    late = [b for b in book if b != (3, 6, months[8], 0)]
+    assert rerun([*late, (9, 3, months[8], 0)], months[8]) == {("L1", "2023-01", 0), ("L2", "2023-02", 0)}
+    assert rerun(book, months[8]) == {("L1", "2023-01", 0), ("L2", "2023-02", 0), ("L3", "2023-01", 0)}
+    bad = [(n, k, m, 900 if (n, k) == (1, 4) else late) for n, k, m, late in book]
+    assert rerun(bad, months[4]) == {("L1", "2023-01", 1), ("L2", "2023-02", 0), ("L3", "2023-01", 0)}
+    no_start = [b for b in bad if b[:2] != (1, 0)]
+    assert rerun(no_start, months[0]) == {("L2", "2023-02", 0), ("L3", "2023-01", 0)}
+    earlier = [*bad, (2, 0, months[0], 0)]  # a second month 0, before the known one
+    assert rerun(earlier, months[0]) == {("L1", "2023-01", 1), ("L2", "2023-01", 0), ("L3", "2023-01", 0)}
+    whole = str(tmp_path / "whole")
+    layers.run_backfill(spark, {**others, "loans": loan_rows(spark, earlier)}, whole, months)
+    assert labelled(spark, whole) == labelled(spark, root)
+
+
+def test_a_monthly_run_reads_changed_months_of_silver_loans_only(spark, tmp_path, monkeypatch):
+    months = month_starts(date(2023, 1, 1), date(2023, 8, 1))
+    book = [(n, k, months[n + k], 0) for n in (0, 1) for k in range(7)]
+    root, others = str(tmp_path), others_of(spark)
+    raw = {**others, "loans": loan_rows(spark, book)}
+    layers.run_backfill(spark, raw, root, months[:7])
+    read, real = [], layers.gold.loan_months
+    monkeypatch.setattr(layers.gold, "loan_months", lambda loans, mob: read.append(loans.inputFiles()) or real(loans, mob))
+    wide, plans = layers.gold.with_features, []
+    monkeypatch.setattr(layers.gold, "with_features", lambda *frames: plans.append(wide(*frames)) or plans[-1])
+    layers.run_backfill(spark, raw, root, [months[7]])
+    assert len(read) == 1 and read[0] and all(f"{months[7]}" in f and "/silver/loans/" in f for f in read[0])
+    assert not any("/silver/loans/" in f for f in plans[0].inputFiles())
+    assert labelled(spark, root) == {("L0", "2023-01", 0), ("L1", "2023-02", 0)}
+    assert layers.advance_state(spark, root) == []
+
+
+def test_a_run_that_breaks_off_before_gold_is_made_up_for(spark, tmp_path, monkeypatch):
+    months = month_starts(date(2023, 1, 1), date(2023, 9, 1))
+    book = [(1, k, months[k], 0) for k in range(6)] + [(1, 6, months[8], 0)]
+    root, others = str(tmp_path), others_of(spark)
+    raw = {**others, "loans": loan_rows(spark, book)}
+    layers.run_backfill(spark, raw, root, months[:8])
+
+    def broken(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patch, pytest.raises(RuntimeError):
+        patch.setattr(layers.gold, "with_features", broken)
+        layers.run_backfill(spark, raw, root, [months[8]])
+    assert labelled(spark, root) == set()
+    layers.run_backfill(spark, {**others, "loans": raw["loans"].limit(0)}, root, [date(2023, 12, 1)])
+    assert labelled(spark, root) == {("L1", "2023-01", 0)}
+
+
+def monthly(spark, first, second, name="v"):
+    rows = [(f"C{k}", first, date(2023, 1, 1)) for k in range(3)] + [(f"C{k}", second, date(2023, 2, 1)) for k in range(2)]
+    return spark.createDataFrame(rows, f"Customer_ID string, {name} int, snapshot_date date")
+
+
+def held(spark, path):
+    return sorted({(r.v, str(r.snapshot_date)[:7]) for r in published.read(spark, path).collect()})
+
+
+def test_a_failed_load_leaves_the_old_months(spark, tmp_path):
+    path, months = str(tmp_path / "t"), [date(2023, 1, 1), date(2023, 2, 1)]
+    assert published.read(spark, path) is None and published.manifest(spark, path) is None
+    published.write(monthly(spark, 1, 1), path, months)
+    failing = monthly(spark, 2, 2).withColumn("v", F.when(F.col("snapshot_date") == "2023-02-01", F.raise_error(F.lit("x"))).otherwise(F.col("v")))
+    with pytest.raises(Exception, match="x"):
+        published.write(failing, path, months)
+    with pytest.raises(ValueError, match="v of .* is int, not string"):
+        published.write(monthly(spark, 2, 2).withColumn("v", F.col("v").cast("string")), path, months)
+    assert held(spark, path) == [(1, "2023-01"), (1, "2023-02")]
+    assert sum(n.startswith("_load=") for n in published._Files(spark, path).names()) == 1
+
+
+def test_readers_who_have_begun_and_other_writers(spark, tmp_path):
+    path, jan = str(tmp_path / "t"), [date(2023, 1, 1)]
+    published.write(monthly(spark, 1, 1), path)
+    begun = published.read(spark, path)
+    published.write(monthly(spark, 2, 2).filter("snapshot_date = '2023-01-01'"), path, jan)
+    assert held(spark, path) == [(1, "2023-02"), (2, "2023-01")]
+    assert {r.v for r in begun.collect()} == {1}
+    # Another writer publishes while this one's load is on its way.
+    load = published.stage(monthly(spark, 3, 3).filter("snapshot_date = '2023-01-01'"), path)
+    published.write(monthly(spark, 4, 4).filter("snapshot_date = '2023-02-01'").withColumn("more", F.lit("m")), path)
+    published.publish(spark, load, jan)
+    assert held(spark, path) == [(3, "2023-01"), (4, "2023-02")]
+    assert published.read(spark, path).filter("more is null").count() == 3
+    assert published.manifest(spark, path).version == 4
+    files = published._Files(spark, path)
+    files.write("a", "1"), files.write("b", "2")
+    assert not files.claim("a", "b") and files.read("b") == "2" and files.claim("b", "c") and "a" not in files.names()
+    published.stage(monthly(spark, 5, 5), path)
+    assert published.vacuum(spark, path) == 1 and published.vacuum(spark, path) == 0
+    assert held(spark, path) == [(3, "2023-01"), (4, "2023-02")]
+
+
+def test_emptied_tables_keep_their_columns(spark, tmp_path):
+    path = str(tmp_path / "t")
+    observed = published.write(monthly(spark, 1, 1).withColumn("Customer_ID", F.nullif("Customer_ID", F.lit("C0"))), path)
+    assert observed == {"rows": 5, "without_customer": 2, "first_month": date(2023, 1, 1), "last_month": date(2023, 2, 1)}
+    observed = published.write(monthly(spark, 1, 1).filter("false"), path, [date(2023, 1, 1), date(2023, 2, 1)])
+    assert observed == {"rows": 0, "without_customer": 0, "first_month": None, "last_month": None}
+    assert published.read(spark, path).columns == ["Customer_ID", "v", "snapshot_date"] and published.read(spark, path).count() == 0
+    undated = monthly(spark, 7, 8).withColumn("snapshot_date", F.expr("nullif(snapshot_date, date'2023-02-01')"))
+    published.write(undated, path)
+    assert sorted((r.v, r.snapshot_date is None) for r in published.read(spark, path).distinct().collect()) == [(7, False)] * 3 + [(8, True)] * 2
+
+
+def test_each_run_adds_its_metrics(spark, tmp_path):
+    root, others = str(tmp_path), others_of(spark)
+    raw = {**others, "loans": loan_rows(spark, [(1, 0, date(2023, 1, 1), 0), (2, 0, date(2023, 2, 1), 0)])}
+    with pytest.raises(FileNotFoundError, match="no loads"):
+        layers.load_metrics(spark, root)
+    for month in month_starts(date(2023, 1, 1), date(2023, 3, 1)):
+        layers.run_backfill(spark, raw, root, [month])
+    kept = layers.load_metrics(spark, root)
+    assert kept.count() == 27 and kept.select("run").distinct().count() == 3
+    loans = kept.filter("layer = 'silver' and table = 'loans'").orderBy("loaded_at").collect()
+    assert [(r["rows"], str(r.first_month)) for r in loans] == [(1, "2023-01-01"), (1, "2023-02-01"), (0, "None")]
+
+
 def test_window_prunes_directories(spark, backfilled):
     root, _ = backfilled
     loans = layers.load_window(spark, root, date(1996, 1, 1), date(1996, 2, 1))[0]
