@@ -16,12 +16,14 @@ import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lendscape.llm import common
 from lendscape.session import Workspace
@@ -43,6 +45,10 @@ GENERALISE, REMOVE = 0.8, 0.95
 TERMS_HELD = 100_000
 # Bits of the filter that a task asks before it hands a word on: their number is all that grows into a task.
 FILTER_BITS = 1 << 23
+# A task remembers the filter's answer for so many words of at most that length.
+WORDS_KNOWN, LONGEST_KNOWN = 1 << 16, 64
+SPAN_ROWS = pa.list_(pa.struct({"start": pa.int32(), "kind": pa.int32(), "end": pa.int32()}))
+WORD_ROWS = pa.list_(pa.struct({"term": pa.string(), "start": pa.int32(), "end": pa.int32()}))
 
 Span = tuple[str, int, int]
 
@@ -138,10 +144,11 @@ def witness(text: str) -> int:
     return least - (1 << 63)
 
 
-def _listed(docs: DataFrame, found: Callable[[str], set[str]], name: str) -> DataFrame:
-    """A row per document (column ``digest``) and string found in its text."""
+def _listed(docs: DataFrame, finder: Callable[[], Callable[[str], set[str]]], name: str) -> DataFrame:
+    """A row per document (column ``digest``) and string found in its text, by what each task makes with ``finder``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = finder()
         for batch in batches:
             found_in = [list(found(text)) if text else [] for text in batch.column(1).to_pylist()]
             rows = np.repeat(np.arange(batch.num_rows), [len(x) for x in found_in])
@@ -168,13 +175,13 @@ def together(docs: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame, int]
 
     Left out of the pairs is only what one text alone holds: by ``evidence`` it proves nothing.
     """
-    mentions = ws.store(_listed(docs, entities, "entity").groupBy("digest", "entity").agg(F.count("*").alias("n")), "mentions")
+    mentions = ws.store(_listed(docs, lambda: entities, "entity").groupBy("digest", "entity").agg(F.count("*").alias("n")), "mentions")
     alone = mentions.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("texts")).filter("texts > 1")
     alone = ws.store(alone.drop("texts"), "entities")
     held = ws.store(mentions.join(alone, "entity").select("digest", "entity", "n"), "held")
     texts = docs.select(_digest(), "text").join(held.select("digest").distinct(), "digest", "left_semi").dropDuplicates(["digest"])
     texts = ws.store(texts, "texts")
-    words = _listed(texts.select("text"), terms_of, "term").join(_witnessed(texts), "digest")
+    words = _listed(texts.select("text"), lambda: terms_of, "term").join(_witnessed(texts), "digest")
     met = held.join(words, "digest").groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count_distinct("witness").alias("texts"))
     asked = Observation()
     pairs = ws.store(met.observe(asked, F.count("*").alias("n")).filter("texts > 1"), "pairs")
@@ -283,6 +290,21 @@ def _filter(terms: DataFrame, size: int) -> np.ndarray:
     return table.astype(np.uint32)
 
 
+def _passing(passes: np.ndarray, size: int) -> Callable[[str], set[str]]:
+    """The distinct words of a text, lower-cased, that pass the filter."""
+
+    def asked(word: str) -> bool:
+        return all(passes[p >> 5] >> (p & 31) & 1 for p in _places(word, size))
+
+    known = lru_cache(WORDS_KNOWN)(asked)
+
+    def maybe(text: str) -> set[str]:
+        words = {w for w in WORDS.findall(text.lower()) if len(w) > 1}
+        return {w for w in words if (known if len(w) <= LONGEST_KNOWN else asked)(w)}
+
+    return maybe
+
+
 def with_marks(docs: DataFrame, terms: DataFrame, ws: Workspace, name: str, size: int = FILTER_BITS) -> DataFrame:
     """Adds to the documents the terms in their texts, as a map from term to share; null without any. One pass, however many terms.
 
@@ -290,17 +312,41 @@ def with_marks(docs: DataFrame, terms: DataFrame, ws: Workspace, name: str, size
     """
     passes = _filter(terms, size)
 
-    def maybe(text: str) -> set[str]:
-        words = {w for w in WORDS.findall(text.lower()) if len(w) > 1}
-        return {w for w in words if all(passes[p >> 5] >> (p & 31) & 1 for p in _places(w, size))}
-
-    listed = _listed(docs, maybe, "term").distinct().join(terms, "term")
+    listed = _listed(docs, lambda: _passing(passes, size), "term").distinct().join(terms, "term")
     held = F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias(name)
     key = common.fresh(docs, "_digest")
     hits = ws.store(listed.groupBy(F.col("digest").alias(key)).agg(held), "marks")
     return docs.withColumn(key, _digest()).join(hits, key, "left").select(*docs.columns, name)
 
 
+def _scanned(docs: DataFrame, passes: np.ndarray, size: int) -> DataFrame:
+    """doc_id with what its text shows by itself: counts and digest of the base, its spans, and the words that may be terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words_in = _passing(passes, size)
+        for batch in batches:
+            counts, digests, found, maybe = [], [], [], []
+            for text in batch.column(1).to_pylist():
+                text = text or ""
+                base = base_spans(text)
+                stretches, words = _covered(base), words_in(text)
+                hits = ((m[0].lower(), *m.span()) for m in WORDS.finditer(text)) if words else ()
+                counts.append(Counter(k for k, _, _ in base))
+                digests.append(hashlib.sha256(_joined(base).encode()).hexdigest())
+                found.append([{"start": s, "kind": KINDS.index(k), "end": e} for k, s, e in base])
+                maybe.append([{"term": w, "start": s, "end": e} for w, s, e in hits if w in words and not _inside(stretches, s, e)])
+            columns = [batch.column(0), *(pa.array([c[k] for c in counts], pa.int64()) for k in KINDS), pa.array(digests, pa.string())]
+            columns += [pa.array(found, SPAN_ROWS), pa.array(maybe, WORD_ROWS)]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    kept = T.StructType([docs.schema["doc_id"], *(T.StructField(f"n_{k}", T.LongType()) for k in KINDS)])
+    spans = "array<struct<start:int,kind:int,end:int>>"
+    words = "array<struct<term:string,start:int,end:int>>"
+    kept = kept.add("base_sha256", "string").add("found", T.DataType.fromDDL(spans)).add("maybe", T.DataType.fromDDL(words))
+    names = kept.names
+    return docs.select("doc_id", "text").mapInArrow(run, kept)
+
+
 def sanitised(text: str, base: list[Span], marks: list[tuple[int, int, str]]) -> str:
     """Base spans become their kind in brackets, terms become general or disappear."""
     out, at = [], 0
@@ -359,8 +405,18 @@ def find(spark: SparkSession, docs: DataFrame, ws: Workspace) -> DataFrame:
     """
     common.small_batches(spark)
     terms = ws.store(disclosing_terms(docs, ws), "terms")
-    rows = with_findings(docs.select("doc_id", "text"), terms, ws, "f")
-    return rows.select("doc_id", *[f"f.n_{k}" for k in KINDS], "f.base_sha256", "f.spans")
+    scanned = _scanned(docs, _filter(terms, FILTER_BITS), FILTER_BITS)
+    # Stored, so that a row has one number. Texts do not travel: the words that may be terms do, and bring back where they stand.
+    rows = ws.store(scanned.withColumn("row", F.monotonically_increasing_id()), "scanned")
+    words = rows.select("row", F.explode("maybe").alias("m")).select("row", "m.*")
+    place = F.struct("start", F.lit(len(KINDS)).alias("kind"), "end")
+    hits = words.join(terms, "term").groupBy("row").agg(F.collect_list(place).alias("hits"))
+    asking = F.size("maybe") > 0
+    marked = rows.filter(asking).join(hits, "row", "left").withColumn("found", F.concat("found", F.coalesce("hits", F.array())))
+    every = marked.select(*rows.columns).union(rows.filter(~asking))
+    names = F.array(*(F.lit(k) for k in (*KINDS, TERM)))
+    written = F.transform(F.array_sort("found"), lambda s: F.concat_ws(":", names[s["kind"]], s["start"].cast("string"), s["end"].cast("string")))
+    return every.select("doc_id", *[f"n_{k}" for k in KINDS], "base_sha256", F.array_join(written, ",").alias("spans"))
 
 
 def cleaned(spark: SparkSession, docs: DataFrame, ws: Workspace) -> DataFrame:
