@@ -187,6 +187,10 @@ def test_a_failed_load_leaves_the_old_months(spark, tmp_path):
         published.write(failing, path, months)
     with pytest.raises(ValueError, match="v of .* is int, not string"):
         published.write(monthly(spark, 2, 2).withColumn("v", F.col("v").cast("string")), path, months)
+    plain = str(tmp_path / "plain")
+    monthly(spark, 1, 1).write.partitionBy("snapshot_date").parquet(plain)
+    with pytest.raises(FileExistsError, match="no manifest names"):
+        published.write(monthly(spark, 2, 2), plain)
     assert held(spark, path) == [(1, "2023-01"), (1, "2023-02")]
     assert sum(n.startswith("_load=") for n in published._Files(spark, path).names()) == 1
 
