@@ -23,9 +23,10 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 UNITS_KEPT = 400_000
 # A word with the space before it; of longer white space all but the last, then that one.
 SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-CROWDED = re.compile(r"\s ")
 # White space other than the ASCII kind, separators Python alone counts as such, joiners and marks; NUL is ours.
-ODD = re.compile(r"[\x00\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]|<\|")
+ODD = re.compile(r"[\x00\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]")
+ODD_LATIN, BREAKS = "\x00\x1c\x1d\x1e\x1f\x85\xa0", "\t\n\v\f\r"
+SPECIAL = "<|"
 FIRST = "\0"
 # The letters and numbers of Latin-1, and the tokenizers' patterns over them: fixed values.
 LETTER, NUMBER = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾"
@@ -43,6 +44,18 @@ def in_latin(text: str) -> bool:
     return True
 
 
+def odd(text: str, latin: bool) -> bool:
+    """Whether a text has to be encoded whole. A search for single characters takes far less time than a pattern's."""
+    if SPECIAL in text:
+        return True
+    return any(c in text for c in ODD_LATIN) if latin else ODD.search(text) is not None
+
+
+def crowded(text: str) -> bool:
+    """Whether a space follows white space, in a text that is not odd."""
+    return "  " in text or any(c in text and f"{c} " in text for c in BREAKS)
+
+
 class _Kept(dict):
     """What has been worked out; asks for what has not."""
 
@@ -124,9 +137,10 @@ class TextEncoder:
     def __call__(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
-        if ODD.search(text):
+        latin = in_latin(text)
+        if odd(text, latin):
             return np.asarray(self._whole(text), np.uint32)
-        return self._of_units(text)
+        return self._of_units(text, latin)
 
 
 class ByteEncoder(TextEncoder):
@@ -135,8 +149,8 @@ class ByteEncoder(TextEncoder):
     def _cut(self, unit: str) -> list[str]:
         return BYTE_PIECES.findall(unit[1:] if unit.startswith(FIRST) else f" {unit}")
 
-    def _of_units(self, text: str) -> np.ndarray:
-        if not in_latin(text) or CROWDED.search(text):  # a space that does not stand alone goes with others
+    def _of_units(self, text: str, latin: bool) -> np.ndarray:
+        if not latin or crowded(text):  # a space that does not stand alone goes with others
             return self.wide.encode(SPACED.findall(text))
         units = text.split(" ")
         units[0] = FIRST + units[0]
@@ -156,8 +170,8 @@ class WordEncoder(TextEncoder):
     def _cut(self, unit: str) -> list[str]:
         return WORD_PIECES.findall(unit)
 
-    def _of_units(self, text: str) -> np.ndarray:
-        return self.latin.encode(text.lower().split()) if in_latin(text) else self.wide.encode(text.split())
+    def _of_units(self, text: str, latin: bool) -> np.ndarray:
+        return self.latin.encode(text.lower().split()) if latin else self.wide.encode(text.split())
 
 
 @cache

@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -140,3 +141,13 @@ def test_groups_with_a_gap_exchange(spark, monkeypatch):
     assert (got.groupby("sequence_id")["length"].sum() <= 2048).all()
     alone = sum(len(packing.best_fit_decreasing(np.array([r[3] for r in rows[k : k + 20]]))[2]) for k in range(0, 400, 20))
     assert got["sequence_id"].nunique() < alone
+
+
+def test_odd_and_crowded_texts_are_those_of_the_patterns():
+    rng = random.Random(5)
+    white = re.compile(r"\s ")
+    for _ in range(20_000):
+        text = "".join(rng.choice("ab <|\t\n\r\x0b\x0c\x00\x1c\x1f\x85\xa0é\u2003\u200b\ufeff漢") for _ in range(rng.randint(0, 6)))
+        odd = tokens.odd(text, tokens.in_latin(text))
+        assert odd == ("<|" in text or tokens.ODD.search(text) is not None)
+        assert odd or tokens.crowded(text) == (white.search(text) is not None)
