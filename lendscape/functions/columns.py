@@ -22,8 +22,9 @@ def coerce(text: Column, dtype: str) -> Column:
 
 
 def keep_only(text: Column, allowed: str) -> Column:
-    """Drop every character outside the class ``allowed``."""
-    return F.regexp_replace(text, f"[^{allowed}]", "")
+    """Drop every character outside the class ``allowed``. Text that holds no other, as nearly all does, meets no regex."""
+    clean = F.ltrim(text, F.lit(allowed.replace("0-9", "0123456789"))) == ""
+    return F.when(clean, text).otherwise(F.regexp_replace(text, f"[^{allowed}]", ""))
 
 
 def blank_placeholder(name: str, column: Column | None = None) -> Column:
