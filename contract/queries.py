@@ -86,8 +86,8 @@ class Inputs:
 
     @cached_property
     def fitted(self) -> tuple[DataFrame, encoding.Fitted]:
-        """Stored training rows and what preprocessing learnt from them."""
-        self.store = stored(self.store, "store")
+        """Stored training rows and what preprocessing learnt from them. Months outside the windows are not built for it."""
+        self.tagged = stored(self.tagged, "tagged")
         columns = ["loan_id", "label", *S.NUMERIC_FEATURES, *S.CATEGORIES]
         rows = stored(self.train_rows.select(*columns), "train-rows")
         return rows, encoding.fit(rows)
@@ -586,7 +586,8 @@ def univariate_auc(i: Inputs) -> DataFrame:
 
 @query
 def leakage_audit(i: Inputs) -> DataFrame:
-    rows, fitted = i.fitted  # also stores the feature store, which most checks read
+    i.store = stored(i.store, "store")  # most checks read it
+    rows, fitted = i.fitted
     return audit.leakage_audit(i.store, i.tagged, fitted.transform(rows, ["label"]), i.clickstream)
 
 
