@@ -44,6 +44,7 @@ def period_modes(df: DataFrame, period: str, ranges: dict[str, tuple[float, floa
 def with_period_modes(df: DataFrame, period: str, ranges: dict[str, tuple[float, float]]) -> DataFrame:
     """Attach ``_mode_<column>`` of the row's period.
 
-    The lookup has one row per calendar date; the planner broadcasts it where its measured size allows.
+    The lookup has one row per calendar date, however many rows there are, so it is broadcast. Joined by exchange, all
+    rows of a month would meet in one task, and what follows would stay dealt by month.
     """
-    return df.join(period_modes(df, period, ranges), on=period, how="left")
+    return df.join(F.broadcast(period_modes(df, period, ranges)), on=period, how="left")

@@ -77,6 +77,19 @@ def test_feature_joins_split_a_hot_customer(spark, small_skew_thresholds):
     assert store.filter("Customer_ID = 'hot' and fe_1 = 1 and Age = 1 and Annual_Income = 1").count() == 20_000
 
 
+def test_modes_do_not_gather_a_month(spark):
+    rows = spark.range(1000).selectExpr("cast(id as string) Customer_ID", "cast(id % 90 as int) Age", "date_add(date'2023-01-01', cast(id % 2 as int)) snapshot_date")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as if the planner took the lookup for a large one
+    try:
+        joined = keys.with_period_modes(rows, "snapshot_date", {"Age": (18, 100)})
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+        assert joined.filter("_mode_Age = 18 + day(snapshot_date) - 1").count() == 1000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_labels_read_and_shuffle_loans_once(spark):
     book = stored(spark.range(100).selectExpr(
         "cast(id % 10 as string) loan_id", "'c' Customer_ID", "cast(id % 7 as int) mob", "0 dpd", "date'2023-01-01' snapshot_date"
