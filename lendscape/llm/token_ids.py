@@ -51,7 +51,8 @@ def unpack(control: np.ndarray, data: np.ndarray) -> np.ndarray:
     padded = np.concatenate([data, np.zeros(4, np.uint8)])
     out = padded[at].astype(np.uint32)
     for k in (1, 2, 3):
-        out |= np.where(length > k, padded[at + k], 0).astype(np.uint32) << np.uint32(8 * k)
+        longer = np.flatnonzero(length > k)
+        out[longer] |= padded[at[longer] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
 
 
@@ -59,9 +60,10 @@ def to_shard(doc_ids: list, ids: list[np.ndarray]) -> bytes:
     """One shard of documents and their ids."""
     counts = np.fromiter(map(len, ids), np.int64, len(ids))
     joined = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-    seen, n = np.unique(joined, return_counts=True)
-    vocabulary = seen[np.argsort(-n, kind="stable")].astype("<u4")
-    rank = np.zeros(int(seen.max()) + 1 if len(seen) else 1, np.uint32)
+    n = np.bincount(joined, minlength=1)
+    seen = np.flatnonzero(n)
+    vocabulary = seen[np.argsort(-n[seen], kind="stable")].astype("<u4")
+    rank = np.zeros(len(n), np.uint32)
     rank[vocabulary] = np.arange(len(vocabulary), dtype=np.uint32)
     padded = (counts + 3) // 4 * 4
     first = np.cumsum(padded) - padded

@@ -2,7 +2,7 @@
 
 Both tokenizers cut a text into pieces before they merge, so a text's ids are those of its pieces one
 after the other. Here a text is parted at white space into units; a worker keeps the ids of the units it has
-met, cuts new ones into pieces by the tokenizer's own pattern, keeps those as well, and asks the
+met, cuts new ones into pieces by the tokenizer's own pattern, keeps those among them, and asks the
 library's model for the pieces it has not met. Texts beyond Latin-1 are not cut finer than units; texts with
 white space that the two libraries might see differently, and texts that spell a special token, are
 encoded whole.
@@ -73,7 +73,8 @@ class UnitEncoder:
 
     The two newest generations of units are kept, and one of pieces: memory stays bounded however many
     there are. Where pieces are ``units`` themselves, each its own only piece, they are kept among them:
-    a word is worked out once, whether it stands alone or between marks.
+    a word is worked out once, whether it stands alone or between marks. ``unit_of`` names the unit that is a
+    piece and nothing else, where the two are not spelled alike.
     """
 
     def __init__(
@@ -82,8 +83,9 @@ class UnitEncoder:
         cut: Callable[[str], list[str]] | None = None,
         kept: int = UNITS_KEPT,
         units: bool = False,
+        unit_of: Callable[[str], str] | None = None,
     ):
-        self.cut, self.kept, self.units = cut, kept, units
+        self.cut, self.kept, self.units, self.unit_of = cut, kept, units, unit_of
         self.pieces = _Kept(lambda piece: array("I", encode_piece(piece)).tobytes())
         self.young, self.old = _Kept(self._learn), {}
 
@@ -96,7 +98,9 @@ class UnitEncoder:
         parts = self.cut(unit)
         if not self.units:
             return b"".join(map(self.pieces.__getitem__, parts))
-        return self.pieces.find(unit) if parts == [unit] else b"".join(map(self.young.__getitem__, parts))
+        if len(parts) == 1:
+            return self.pieces.find(parts[0])
+        return b"".join(map(self.young.__getitem__, map(self.unit_of, parts) if self.unit_of else parts))
 
     def encode(self, units: list[str]) -> np.ndarray:
         if len(self.young) > self.kept:
@@ -117,18 +121,20 @@ def _byte_letters() -> dict[int, str]:
 class TextEncoder:
     """Ids of whole texts, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them."""
 
-    PIECES_ARE_UNITS = False
+    UNIT_OF = None
 
     def __init__(self, path: str, kept: int = UNITS_KEPT):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.latin = UnitEncoder(self._merge, self._cut, kept, self.PIECES_ARE_UNITS)
+        self.latin = UnitEncoder(self._merge, self._cut, kept, units=True, unit_of=self.UNIT_OF)
         self.wide = UnitEncoder(self._whole, kept=kept // 4)
 
     def _merge(self, piece: str) -> list[int]:
         """A piece is merged by the library's model; nothing is left to cut or to normalise."""
+        if piece.isascii() and piece.isprintable():  # all but the space are spelled alike in the byte-level alphabet
+            return [t.id for t in self.model.tokenize(piece.replace(" ", self.letters[32]))]
         return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
 
     def _whole(self, text: str) -> list[int]:
@@ -143,10 +149,19 @@ class TextEncoder:
         return self._of_units(text, latin)
 
 
+def spaced_unit(piece: str) -> str:
+    """The unit that is this piece alone: it names the space before it by leaving it out."""
+    return piece[1:] if piece[0] == " " else FIRST + piece
+
+
 class ByteEncoder(TextEncoder):
     """White space is part of the ids: a unit is a word with the space before it."""
 
+    UNIT_OF = staticmethod(spaced_unit)
+
     def _cut(self, unit: str) -> list[str]:
+        if unit.isascii() and unit.isalpha():  # a word is one piece
+            return [f" {unit}"]
         return BYTE_PIECES.findall(unit[1:] if unit.startswith(FIRST) else f" {unit}")
 
     def _of_units(self, text: str, latin: bool) -> np.ndarray:
@@ -160,8 +175,6 @@ class ByteEncoder(TextEncoder):
 class WordEncoder(TextEncoder):
     """White space only separates, and case is ignored."""
 
-    PIECES_ARE_UNITS = True
-
     def _merge(self, piece: str) -> list[int]:
         if piece.isascii() and piece.isalnum():  # spelled alike in the byte-level alphabet
             return [t.id for t in self.model.tokenize(piece)]
@@ -177,7 +190,7 @@ class WordEncoder(TextEncoder):
 @cache
 def byte_encoder(name: str = "byte_bpe_50k.json") -> ByteEncoder:
     """One per worker."""
-    return ByteEncoder(public_tokenizers.path(name))
+    return ByteEncoder(public_tokenizers.path(name), kept=UNITS_KEPT * 3 // 2)
 
 
 @cache

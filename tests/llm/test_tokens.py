@@ -57,6 +57,22 @@ def test_pieces_kept_among_units():
         assert list(small(text)) == small.tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_spaced_pieces_kept_among_units():
+    encoder, asked = tokens.ByteEncoder(tokens.public_tokenizers.path("byte_bpe_50k.json"), kept=1000), []
+    find = encoder.latin.pieces.find
+    encoder.latin.pieces.find = lambda piece: asked.append(piece) or find(piece)
+    for text in ("word, word (word) word's", "word\nword word. , it's", "\n\nword \nword\n\n"):
+        assert list(encoder(text)) == encoder.tokenizer.encode(text, add_special_tokens=False).ids, text
+    assert len(asked) == len(set(asked))
+    encoder("alone (alone)")
+    assert {"\0alone", "(", "\0)"} <= set(encoder.latin.young)
+    rng = random.Random(7)
+    small = tokens.ByteEncoder(tokens.public_tokenizers.path("byte_bpe_50k.json"), kept=4)
+    for _ in range(3000):
+        text = "".join(rng.choice("ab'sreDLl''  12.,-_½éª²\x01\x7f~$\"()\n\t\r") for _ in range(rng.randrange(30)))
+        assert list(small(text)) == small.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_shards_hold_what_was_put_in(monkeypatch):
     rng = np.random.default_rng(2)
     ids = [rng.integers(0, 300 if k % 2 else 1 << 20, rng.integers(0, 900)).astype(np.uint32) for k in range(60)] + [np.zeros(0, np.uint32)]
