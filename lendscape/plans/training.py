@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 import random
+import sys
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -169,13 +170,74 @@ def families(points: Sequence[dict]) -> list[tuple[dict, list[int]]]:
     return [(dict(key), sorted(set(rounds))) for key, rounds in found.items()]
 
 
+@dataclass
+class Bounds:
+    """What the trees of a fit show: how deep they go, the least gain of a split and the fewest rows below one."""
+
+    depth: int
+    gain: float
+    rows: int
+
+    @classmethod
+    def of(cls, model: GBTClassificationModel) -> Bounds:
+        found, rows, depth = [], [], 0
+        for tree in model._java_obj.trees():
+            depth = max(depth, tree.depth())
+            nodes = [tree.rootNode()] if tree.depth() else []
+            while nodes:
+                node = nodes.pop()
+                found.append(node.gain())
+                for child in (node.leftChild(), node.rightChild()):
+                    rows.append(child.impurityStats().rawCount())
+                    if child.subtreeDepth():
+                        nodes.append(child)
+        return cls(depth, min(found, default=math.inf), min(rows, default=sys.maxsize))
+
+
+def same_trees(fitted: dict, seen: Bounds, asked: dict) -> bool:
+    """Whether a fit of the settings ``asked`` would grow the trees that the looser ``fitted`` grew.
+
+    A bound takes splits away and adds none. Where every split that was chosen is within the tighter bounds too, each was
+    the best of fewer. Another depth is told only where no tree has a split: the draws of features go on below others.
+    """
+    loose, tight = ({"gamma": 0, "min_child_weight": 1, **s} for s in (fitted, asked))
+    free = ("max_depth", "gamma", "min_child_weight")
+    if any(loose[k] != tight[k] for k in loose if k not in free):
+        return False
+    if loose["gamma"] > tight["gamma"] or loose["min_child_weight"] > tight["min_child_weight"]:
+        return False
+    if loose["max_depth"] != tight["max_depth"] and (loose["max_depth"] < tight["max_depth"] or seen.depth):
+        return False
+    return seen.gain >= tight["gamma"] and seen.rows >= tight["min_child_weight"]
+
+
+def chains(found: Sequence[tuple[dict, list[int]]]) -> list[list[tuple[dict, list[int]]]]:
+    """Families that only bounds tell apart, the loosest first. Those of one bound on gain above 0 read off the same numbers of rounds.
+
+    Such a bound often leaves no split to any of them, and then one fit serves them all.
+    """
+    bounds = {"max_depth": lambda s: -s["max_depth"], "gamma": lambda s: s.get("gamma", 0), "min_child_weight": lambda s: s.get("min_child_weight", 1)}
+    alike: dict[tuple, list[tuple[dict, list[int]]]] = {}
+    for settings, rounds in found:
+        alike.setdefault(tuple((k, v) for k, v in settings.items() if k not in bounds), []).append((settings, rounds))
+    out = []
+    for members in alike.values():
+        every: dict[float, set[int]] = {}
+        for settings, rounds in members:
+            every.setdefault(settings.get("gamma", 0), set()).update(rounds)
+        members = [(s, sorted(every[s["gamma"]]) if s.get("gamma", 0) else r) for s, r in members]
+        out.append(sorted(members, key=lambda m: tuple(bounds[k](m[0]) for k in ("gamma", "max_depth", "min_child_weight"))))
+    return out
+
+
 def search(
     train: DataFrame, draws: int = SEARCH_DRAWS, parallelism: int = 1, grid: dict = SEARCH_GRID
 ) -> tuple[Model, list[dict]]:
     """Cross-validated random search by AUC; the best draw is refitted on all training rows.
 
     Draws that differ only in the number of boosting rounds are one fit, read off at each of its numbers: boosting
-    adds a tree to those before it and changes none. ``parallelism`` fits of any fold run side by side.
+    adds a tree to those before it and changes none. Draws that differ only in bounds which the trees of the looser one
+    keep anyway are one fit, too. ``parallelism`` chains of such draws, of any fold, run side by side.
     """
     points = draw_params(draws, grid)
     trees = booster()
@@ -184,15 +246,25 @@ def search(
     folded = with_folds(train).select("fold", "label", "weight", "features")
     sides = [(folded.filter(F.col("fold") != k).persist(), folded.filter(F.col("fold") == k).persist()) for k in range(FOLDS)]
 
-    def fitted(job: tuple[int, tuple[dict, list[int]]]) -> list[tuple[tuple, float]]:
-        k, (settings, rounds) = job
+    def fitted(job: tuple[int, list[tuple[dict, list[int]]]]) -> list[tuple[tuple, float]]:
+        k, chain = job
         learn, check = sides[k]
-        model = trees.fit(learn, param_map(trees, {**settings, ROUNDS: rounds[-1]}))
-        return [((*sorted(settings.items()), n), evaluator.evaluate(first_trees(model, n).transform(check))) for n in rounds]
+        done: list[tuple[dict, Bounds, dict[int, float]]] = []
+        out = []
+        for settings, rounds in chain:
+            aucs = next((a for s, seen, a in done if a.keys() >= set(rounds) and same_trees(s, seen, settings)), None)
+            if aucs is None:
+                model = trees.fit(learn, param_map(trees, {**settings, ROUNDS: rounds[-1]}))
+                aucs = {n: evaluator.evaluate(first_trees(model, n).transform(check)) for n in rounds}
+                done.append((settings, Bounds.of(model), aucs))
+            out += [((*sorted(settings.items()), n), aucs[n]) for n in rounds]
+        return out
 
     try:
         with ThreadPoolExecutor(parallelism) as pool:
-            jobs = list(itertools.product(range(FOLDS), families(points)))
+            jobs = list(itertools.product(range(FOLDS), chains(families(points))))
+            # The longest chains first, so that none is left running alone.
+            jobs.sort(key=lambda job: -len(job[1]))
             found = list(itertools.chain.from_iterable(pool.map(inheritable_thread_target(fitted), jobs)))
     finally:
         for side in itertools.chain.from_iterable(sides):

@@ -374,6 +374,36 @@ def test_draws_that_differ_in_rounds_share_a_fit():
     assert len(training.families(training.draw_params(100))) < 80
 
 
+def test_draws_that_differ_in_bounds_that_never_bind_share_a_fit(spark, monkeypatch):
+    """The scores are those of separate fits; a fit is saved only where the looser one kept the tighter bounds."""
+    rng = random.Random(4)
+    rows = [(k, f"l{k}", float(k % 3 == 0), 1.0, Vectors.dense([rng.random() + (k % 3 == 0) * 0.3, float(k < 4)])) for k in range(240)]
+    matrix = spark.createDataFrame(rows, ["k", "loan_id", "label", "weight", "features"]).coalesce(1).cache()
+    fits, fit = [], training.GBTClassifier.fit
+    monkeypatch.setattr(training.GBTClassifier, "fit", lambda self, df, params=None: fits.append(params) or fit(self, df, params))
+    grid = {"n_estimators": [1, 2], "max_depth": [1, 2], "learning_rate": [0.1], "subsample": [0.8], "colsample_bytree": [1.0], "gamma": [0, 10.0], "min_child_weight": [1, 60]}
+    _, shared = training.search(matrix, draws=16, parallelism=4, grid=grid)
+    n_shared = len(fits)
+    monkeypatch.setattr(training, "same_trees", lambda *_: False)
+    _, alone = training.search(matrix, draws=16, parallelism=4, grid=grid)
+    # Without sharing eight families and three folds; with it, the four without a split are one. Each search refits its best.
+    assert len(fits) - n_shared == 25 and n_shared <= 16
+    assert shared == alone and len(shared) == 16
+
+
+def test_what_a_looser_fit_stands_for():
+    seen = training.Bounds(2, 0.02, 4)
+    fitted = {"max_depth": 2, "gamma": 0, "min_child_weight": 1, "subsample": 0.8}
+    same = lambda asked, seen=seen, **f: training.same_trees({**fitted, **f}, seen, {**fitted, **asked})
+    assert same({"min_child_weight": 4}) and same({"gamma": 0.02, "min_child_weight": 3})
+    assert not same({"min_child_weight": 5}) and not same({"gamma": 0.1}) and not same({"subsample": 0.6}) and not same({"max_depth": 1})
+    assert not same({"min_child_weight": 1}, min_child_weight=3) and not same({"gamma": 0}, gamma=0.01)
+    leaves = training.Bounds(0, float("inf"), 1 << 40)
+    assert same({"max_depth": 1, "gamma": 9, "min_child_weight": 9}, leaves) and not same({"max_depth": 3}, leaves)
+    kept = training.chains(training.families(training.draw_params(100)))
+    assert len(kept) == 8 and sum(map(len, kept)) == len(training.families(training.draw_params(100)))
+
+
 def test_a_folder_of_files_with_other_headers(spark, tmp_path):
     (tmp_path / "a.csv").write_text("Customer_ID,Name,Age,snapshot_date\n1,Ann,30,2023-01-01\n")
     (tmp_path / "b.csv").write_text("snapshot_date,other,Age,Customer_ID\n2023-02-01,x,40,2\n2023-02-01,x,41,3\n")
