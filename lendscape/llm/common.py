@@ -16,6 +16,8 @@ import lendscape
 
 # Words are runs of anything but the ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+# Words of 64 bits in the filter that says which keys may be in a table: 4 MB when all are used.
+FILTER_WORDS = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,6 +105,21 @@ def running_total(df: DataFrame, by: Sequence[str], bucket: str, order: Sequence
     return placed.join(before, on=cell).select(*df.columns, total)
 
 
+def perhaps_in(df: DataFrame, held: DataFrame, key: str, name: str) -> DataFrame:
+    """Adds ``name``: false only where ``key`` is not among those of ``held``. Neither side is shuffled.
+
+    A row of ``held`` sets one bit of FILTER_WORDS 64-bit words, chosen by a hash; the words that have bits are broadcast,
+    so what is broadcast is bounded and the more keys there are, the more rows just pass. A null key is not among them.
+    """
+    place = F.xxhash64(key)
+    at, bit = F.pmod(place, F.lit(FILTER_WORDS)), F.pmod(F.shiftrightunsigned(place, 32), F.lit(64)).cast("int")
+    word, bits = fresh(df, "_word"), fresh(df, "_bits")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    words = held.filter(F.col(key).isNotNull()).groupBy(at.alias(word)).agg(F.bit_or(one).alias(bits))
+    marked = df.withColumn(word, at).join(F.broadcast(words), word, "left")
+    return marked.withColumn(name, F.col(key).isNotNull() & (F.getbit(F.coalesce(bits, F.lit(0)), bit) == 1)).drop(word, bits)
+
+
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a path, and the path there. Paths without a scheme are shared mounts."""
     if "://" in path or path.startswith("file:"):

@@ -243,6 +243,17 @@ def _pass(members: DataFrame, sets: DataFrame, ws: Workspace, name: str) -> list
         k += 1
 
 
+def stars(links: DataFrame) -> DataFrame:
+    """Fewer links that reach the same: a member and its leaders are all linked to the least of these.
+
+    A member has a few leaders for each key, near ones at that, however many members they have; but a leader's name
+    comes once for every member, so what is left are about as many links as nodes.
+    """
+    led = links.filter("a != b").groupBy("b").agg(F.collect_set("a").alias("every")).withColumn("least", F.array_min("every"))
+    ends = F.explode(F.array_append("every", F.col("b")))
+    return led.select(F.col("least").alias("a"), ends.alias("b")).filter("a != b").distinct()
+
+
 def heads(spark: SparkSession, docs: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame]:
     """Two frames: ``classes``, the different texts (digest, node, first: their smallest doc_id, rows), and per node of a
     component of near copies its ``head``, the node with the smallest doc_id.
@@ -258,16 +269,19 @@ def heads(spark: SparkSession, docs: DataFrame, ws: Workspace) -> tuple[DataFram
     members = ws.store(_with_company(keyed.join(shared, "key"), entries), "members")
     # Stored, so that the planner sees whether they are few.
     candidates = ws.store(entries.select("digest", "node", "bits").join(members.select("node").distinct(), "node", "left_semi"), "candidates")
-    texts = docs.select(digest().alias("digest"), "text").join(candidates, "digest").dropDuplicates(["node"])
+    # Few texts are candidates: the others do not travel.
+    asked = common.perhaps_in(docs.select(digest().alias("digest"), "text"), candidates, "digest", "asked").filter("asked").drop("asked")
+    texts = asked.join(candidates, "digest").dropDuplicates(["node"])
     sets = ws.store(_sets(texts), "sets")
-    now, links, k = members.filter(F.col("key").bitwiseAND(0xFFF) < FIRST * KEYS[segments]), [], 0
+    now, k = members.filter(F.col("key").bitwiseAND(0xFFF) < FIRST * KEYS[segments]), 0
     led = spark.createDataFrame([], "node long, head long")
     while True:
         fresh = _pass(now, sets, ws, f"pass-{k}")
         if k and reduce(DataFrame.unionByName, fresh).isEmpty():
             return classes, led
-        links += fresh
-        named = components(reduce(DataFrame.unionByName, links), ws, f"components-{k}").join(classes, "node")
+        # Nodes hold to the heads they have: the links that led there are not looked at again.
+        links = reduce(DataFrame.unionByName, [*fresh, led.select(F.col("head").alias("a"), F.col("node").alias("b"))])
+        named = components(stars(links), ws, f"components-{k}").join(classes, "node")
         least = F.min(F.struct(F.col("first").isNull(), "first", F.col("node").alias("head"))).alias("h")
         head = named.groupBy("label").agg(least).select("label", "h.head")
         led = ws.store(named.join(head, "label").select("node", "head"), f"led-{k}")

@@ -179,7 +179,9 @@ def together(docs: DataFrame, ws: Workspace) -> tuple[DataFrame, DataFrame, int]
     alone = mentions.groupBy("entity").agg(F.sum("n").alias("n_entity"), F.count("*").alias("texts")).filter("texts > 1")
     alone = ws.store(alone.drop("texts"), "entities")
     held = ws.store(mentions.join(alone, "entity").select("digest", "entity", "n"), "held")
-    texts = docs.select(_digest(), "text").join(held.select("digest").distinct(), "digest", "left_semi").dropDuplicates(["digest"])
+    # Few texts hold an entity: the others do not travel.
+    asked = common.perhaps_in(docs.select(_digest(), "text"), held, "digest", "asked").filter("asked").drop("asked")
+    texts = asked.join(held.select("digest").distinct(), "digest", "left_semi").dropDuplicates(["digest"])
     texts = ws.store(texts, "texts")
     words = _listed(texts.select("text"), lambda: terms_of, "term").join(_witnessed(texts), "digest")
     met = held.join(words, "digest").groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count_distinct("witness").alias("texts"))
@@ -316,7 +318,11 @@ def with_marks(docs: DataFrame, terms: DataFrame, ws: Workspace, name: str, size
     held = F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias(name)
     key = common.fresh(docs, "_digest")
     hits = ws.store(listed.groupBy(F.col("digest").alias(key)).agg(held), "marks")
-    return docs.withColumn(key, _digest()).join(hits, key, "left").select(*docs.columns, name)
+    # Texts without a term do not travel.
+    asked = common.fresh(docs, "_asked")
+    named = common.perhaps_in(docs.withColumn(key, _digest()), hits, key, asked)
+    marked = named.filter(asked).join(hits, key, "left").select(*docs.columns, name)
+    return marked.unionByName(named.filter(~F.col(asked)).select(*docs.columns, F.lit(None).cast(hits.schema[name].dataType).alias(name)))
 
 
 def _scanned(docs: DataFrame, passes: np.ndarray, size: int) -> DataFrame:

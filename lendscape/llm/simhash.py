@@ -198,13 +198,18 @@ def survivors(spark: SparkSession, docs: DataFrame, ws: Workspace) -> DataFrame:
     stays = F.coalesce(F.col("head") == F.col("node"), F.lit(True)).alias(names["stays"])
     marked = ws.store(marked.select(*[F.col(c).alias(names[c]) for c in ("digest", "first", "rows")], stays), "marked")
     key, first = names["digest"], F.col(names["first"])
-    named = docs.withColumn(key, near_copies.digest()).join(marked, key, "left")
+    # So do the texts of the others not travel.
+    asked = common.fresh(docs, "_asked")
+    named = common.perhaps_in(docs.withColumn(key, near_copies.digest()), marked, key, asked)
+    others = named.filter(~F.col(asked)).select(*docs.columns)
+    named = named.filter(asked).drop(asked).join(marked, key, "left")
     own = F.col("doc_id").cast("long") == first
     kept = named.filter(F.col("doc_id").isNull() | F.col(names["stays"]).isNull() | (F.col(names["stays"]) & own))
     again = kept.filter((F.col(names["rows"]) > 1) & F.col("doc_id").isNotNull()).groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")
     repeated = ws.store(again.select(key), "repeated")
     if repeated.isEmpty():
-        return kept.select(*docs.columns)
+        return others.unionByName(kept.select(*docs.columns))
     once = kept.filter("doc_id is not null").join(repeated, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
     rest = kept.filter("doc_id is not null").join(repeated, key, "left_anti").select(*docs.columns)
-    return rest.unionByName(once).unionByName(kept.filter("doc_id is null").select(*docs.columns))
+    kept = rest.unionByName(once).unionByName(kept.filter("doc_id is null").select(*docs.columns))
+    return others.unionByName(kept)

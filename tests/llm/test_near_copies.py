@@ -122,3 +122,37 @@ def test_columns_keep_their_names(spark):
     left = simhash.survivors(spark, df, Workspace(spark, "near-test"))
     assert sorted(tuple(r) for r in left.collect()) == sorted([rows[0], rows[2]]) and left.columns == df.columns
     assert simhash.survivors(spark, df.limit(0), Workspace(spark, "near-test")).collect() == []
+
+
+def test_stars_reach_the_same_with_fewer_links(spark):
+    """A crowd whose members are each led by many: a link a member is left, and the leaders'."""
+    rng = np.random.default_rng(3)
+    rows = [(int(a), 100 + b) for b in range(300) for a in rng.choice(16, 12, replace=False)] + [(900, 901), (901, 900), (902, 901), (7, 7)]
+    left = near_copies.stars(spark.createDataFrame(rows, "a long, b long")).collect()
+    assert len(left) < 300 + 16 * 16 + 4 < len(rows) / 5
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for r in left:
+        root[find(r.a)] = find(r.b)
+    assert len({find(x) for x in [*range(16), *range(100, 400)]}) == 1
+    assert find(900) == find(901) == find(902) != find(0) and 7 not in {r.b for r in left if r.a == r.b}
+
+
+@pytest.mark.parametrize("words", [1 << 18, 2])
+def test_texts_that_are_not_asked_for_do_not_travel(spark, monkeypatch, words):
+    monkeypatch.setattr(near_copies.common, "FILTER_WORDS", words)
+    rows = spark.createDataFrame([(k, f"k{k}".encode()) for k in range(2000)] + [(-1, None)], "n long, key binary")
+    held = spark.createDataFrame([(f"k{k}".encode(),) for k in range(0, 2000, 40)] + [(None,)], "key binary")
+    marked = near_copies.common.perhaps_in(rows, held, "key", "asked")
+    got = {r.n: r.asked for r in marked.collect()}
+    assert marked.columns == ["n", "key", "asked"] and len(got) == 2001 and not got[-1]
+    assert all(got[k] for k in range(0, 2000, 40))
+    assert (sum(got.values()) < 60) == (words > 2)
+    # The rows themselves are not exchanged, only the words of the filter.
+    plan = marked._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in plan
