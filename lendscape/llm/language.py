@@ -241,7 +241,8 @@ def accepted(spark: SparkSession, docs: DataFrame, ws: Workspace) -> DataFrame:
             return texts.map(lambda text: LETTERS.search(text or "") is not None).astype(bool)
 
         return docs.filter(lettered("text"))
-    predict = predictor(learnt)
+    # Called not deterministic, as the planner else repeats the prediction below the filter: twice the work, twice the workers.
+    predict = predictor(learnt).asNondeterministic()
     p = common.fresh(docs, "_p")
     predicted = ws.store(docs.withColumn(p, predict("text")).filter(F.col(p)["lang_pred"] != UNKNOWN), "predicted")
     size = F.floor(F.log2(F.char_length("text") + 1)).cast("int")

@@ -265,8 +265,10 @@ def heads(spark: SparkSession, docs: DataFrame, ws: Workspace) -> tuple[DataFram
     entries = ws.store(_entries(docs, segments).withColumn("node", F.monotonically_increasing_id()), "entries")
     classes = entries.select("digest", "node", "first", "rows")
     keyed = entries.select(F.explode("keys").alias("key"), "node")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    members = ws.store(_with_company(keyed.join(shared, "key"), entries), "members")
+    shared = ws.store(keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+    # Few keys are shared: the others do not travel a second time, and the few are read by both branches.
+    crowded = common.perhaps_in(keyed, shared, "key", "asked").filter("asked").drop("asked").join(shared, "key")
+    members = ws.store(_with_company(ws.store(crowded, "crowded"), entries), "members")
     # Stored, so that the planner sees whether they are few.
     candidates = ws.store(entries.select("digest", "node", "bits").join(members.select("node").distinct(), "node", "left_semi"), "candidates")
     # Few texts are candidates: the others do not travel.
@@ -274,7 +276,8 @@ def heads(spark: SparkSession, docs: DataFrame, ws: Workspace) -> tuple[DataFram
     texts = asked.join(candidates, "digest").dropDuplicates(["node"])
     sets = ws.store(_sets(texts), "sets")
     now, k = members.filter(F.col("key").bitwiseAND(0xFFF) < FIRST * KEYS[segments]), 0
-    led = spark.createDataFrame([], "node long, head long")
+    # An empty range starts no Python workers, an empty list does.
+    led = spark.range(0).select(F.col("id").alias("node"), F.col("id").alias("head"))
     while True:
         fresh = _pass(now, sets, ws, f"pass-{k}")
         if k and reduce(DataFrame.unionByName, fresh).isEmpty():

@@ -156,3 +156,21 @@ def test_texts_that_are_not_asked_for_do_not_travel(spark, monkeypatch, words):
     # The rows themselves are not exchanged, only the words of the filter.
     plan = marked._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("Exchange hashpartitioning") == 1 and "BroadcastHashJoin" in plan
+
+
+def test_keys_that_no_one_shares_travel_once_and_nothing_made_up_starts_workers(spark, monkeypatch):
+    plans = {}
+
+    class Watched(Workspace):
+        def store(self, df, name):
+            plans[name] = df._jdf.queryExecution().executedPlan().toString()
+            return super().store(df, name)
+
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{n}" for n in rng.integers(0, 3000, 60)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate([*texts, *(t + " end" for t in texts[:10])])), SCHEMA)
+    monkeypatch.setattr(type(spark), "createDataFrame", None)
+    _, led = near_copies.heads(spark, docs, Watched(spark, "near-test"))
+    assert led.filter("node != head").count() == 10
+    # The keys are taken apart for counting and for the filter, not again for those who share one.
+    assert "Generate" in plans["shared"] and "Generate" not in plans["members"]

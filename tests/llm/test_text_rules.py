@@ -216,6 +216,19 @@ def test_what_is_like_no_language_goes_and_clean_texts_stay(spark):
     assert len(left) >= 0.99 * table.count()
 
 
+def test_a_language_is_predicted_once_per_text(spark):
+    plans = {}
+
+    class Watched(Workspace):
+        def store(self, df, name):
+            plans[name] = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+            return super().store(df, name)
+
+    df = docs(spark, [(k, "the and of with here", "en") for k in range(8)] + [(50, None, "en"), (51, "12", "en")])
+    assert language.accepted(spark, df, Watched(spark, "lang-test")).count() == 8
+    assert plans["predicted"].count("ArrowEvalPython") == 1
+
+
 def test_many_languages_are_all_learnt(spark):
     rows = [(4 * k, " ".join(chr(0x4E00 + 3 * k + j) for j in range(3)), f"l{k:04d}") for k in range(1100)]
     rows = [r for r in rows if not language.held_out(r[0])]
