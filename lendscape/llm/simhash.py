@@ -156,7 +156,8 @@ def links(prints: DataFrame, parts: int, most_bits: int = MOST_BITS) -> DataFram
     offered = spread.mapInArrow(keyed(True), "key long, fp long").withColumnRenamed("fp", "a")
     asked = spread.mapInArrow(keyed(False), "key long, fp long").withColumnRenamed("fp", "b")
     near = (offered["a"] < asked["b"]) & (F.bit_count(offered["a"].bitwiseXOR(asked["b"])) <= most_bits)
-    return offered.join(asked, (offered["key"] == asked["key"]) & near).select("a", "b").distinct()
+    # The planner sizes either side by the fingerprints it is made from, not by up to 84 keys for each, and would broadcast it.
+    return offered.join(asked.hint("merge"), (offered["key"] == asked["key"]) & near).select("a", "b").distinct()
 
 
 def near_duplicates(

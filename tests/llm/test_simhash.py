@@ -116,3 +116,12 @@ def test_no_link_needs_all_pairs(spark):
     prints = spark.range(500).select(F.xxhash64("id").alias("fp"))
     plan = simhash.links(prints, 4)._jdf.queryExecution().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_keys_are_never_broadcast(spark):
+    """However few fingerprints the planner sees: 72 keys of each would have to fit in the driver."""
+    prints = spark.range(500).select(F.xxhash64("id").alias("fp"))
+    found = simhash.links(prints, 4)
+    assert found.collect() == []
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
