@@ -148,6 +148,14 @@ def matrix_partitions(rows: int) -> int:
     return max(1, math.ceil(rows * len(S.FEATURES) * 8 / PARTITION_BYTES))
 
 
+def fits_at_once(cores: int, parts: int) -> int:
+    """How many fits share the cores: one alone leaves them idle between its small jobs, so each core has five tasks to choose from.
+
+    A fit keeps its rows, so no more run than there are cores, and a matrix that fills the cores by itself is fitted once at a time.
+    """
+    return max(1, min(cores, math.ceil(5 * cores / parts)))
+
+
 def first_trees(model: GBTClassificationModel, n: int) -> GBTClassificationModel:
     """The ensemble after ``n`` rounds of boosting: what a fit of ``n`` rounds with the same settings would be."""
     if n >= model.getNumTrees:
@@ -251,12 +259,14 @@ def search(
         learn, check = sides[k]
         done: list[tuple[dict, Bounds, dict[int, float]]] = []
         out = []
-        for settings, rounds in chain:
+        for at, (settings, rounds) in enumerate(chain, 1):
             aucs = next((a for s, seen, a in done if a.keys() >= set(rounds) and same_trees(s, seen, settings)), None)
             if aucs is None:
                 model = trees.fit(learn, param_map(trees, {**settings, ROUNDS: rounds[-1]}))
                 aucs = {n: evaluator.evaluate(first_trees(model, n).transform(check)) for n in rounds}
-                done.append((settings, Bounds.of(model), aucs))
+                # Thousands of calls to the driver's JVM, in vain where no draw follows.
+                if at < len(chain):
+                    done.append((settings, Bounds.of(model), aucs))
             out += [((*sorted(settings.items()), n), aucs[n]) for n in rounds]
         return out
 
@@ -332,8 +342,7 @@ def train(
         parts = matrix_partitions(balance.positives + balance.negatives)
         matrix = matrix.coalesce(parts)
         if tune:
-            # A small matrix would leave cores idle.
-            model, trials = search(matrix, draws, max(1, spark.sparkContext.defaultParallelism // parts))
+            model, trials = search(matrix, draws, fits_at_once(spark.sparkContext.defaultParallelism, parts))
             best = max(trials, key=lambda t: t["mean_auc"])
             chosen = {k: v for k, v in best.items() if k != "mean_auc"}
         else:

@@ -391,6 +391,13 @@ def test_draws_that_differ_in_bounds_that_never_bind_share_a_fit(spark, monkeypa
     assert shared == alone and len(shared) == 16
 
 
+def test_fits_share_the_cores_that_one_leaves_idle():
+    """Five parts on six cores were fitted one after another, as one part was on a single core."""
+    assert training.fits_at_once(6, 5) == 6 and training.fits_at_once(8, 1) == 8
+    assert training.fits_at_once(1, 1) == 1 and training.fits_at_once(6, 30) == training.fits_at_once(6, 1000) == 1
+    assert training.fits_at_once(1000, 500) == 10
+
+
 def test_what_a_looser_fit_stands_for():
     seen = training.Bounds(2, 0.02, 4)
     fitted = {"max_depth": 2, "gamma": 0, "min_child_weight": 1, "subsample": 0.8}
