@@ -74,14 +74,14 @@ def labels(loans: DataFrame, mob: int = MONTHS_ON_BOOK, dpd: int = DAYS_PAST_DUE
     return merged_labels(_sightings(loans, mob), mob, dpd)
 
 
-def months_touched(state: DataFrame, changed: DataFrame, mob: int = MONTHS_ON_BOOK) -> DataFrame:
+def months_touched(state: DataFrame, changed: DataFrame | None, mob: int = MONTHS_ON_BOOK) -> DataFrame:
     """Application months whose labels may differ, as ``changed`` rows of the state came, went or are about to be replaced.
 
-    ``state`` holds the rows from before and after. Of it only month-0 rows and those that complete a loan are read; a loan that was
+    None stands for all rows: then no loan has to be looked up. ``state`` holds the rows from before and after. Of it only month-0 rows and those that complete a loan are read; a loan that was
     complete neither before nor after has no label and touches nothing.
     """
     telling = state.filter(F.col("anchored") | (F.col("max_mob") >= mob))
-    of_changed = telling.join(changed.select(*LOAN).distinct(), LOAN, "left_semi")
+    of_changed = telling if changed is None else telling.join(changed.select(*LOAN).distinct(), LOAN, "left_semi")
     per_loan = of_changed.groupBy(*LOAN).agg(
         F.max("max_mob").alias("max_mob"),
         F.collect_set(F.when(F.col("anchored"), F.col("snapshot_date"))).alias("applied"),
@@ -89,9 +89,16 @@ def months_touched(state: DataFrame, changed: DataFrame, mob: int = MONTHS_ON_BO
     return per_loan.filter(F.col("max_mob") >= mob).select(F.explode("applied").alias("snapshot_date")).distinct()
 
 
-def labels_of_months(state: DataFrame, months: Sequence[date], mob: int = MONTHS_ON_BOOK, dpd: int = DAYS_PAST_DUE) -> DataFrame:
-    """Labels of the loans that applied in some months. Only loans with a month-0 row there are shuffled."""
+def labels_of_months(
+    state: DataFrame, months: Sequence[date], mob: int = MONTHS_ON_BOOK, dpd: int = DAYS_PAST_DUE, most: bool = False
+) -> DataFrame:
+    """Labels of the loans that applied in some months. Only loans with a month-0 row there are merged.
+
+    With ``most`` of the state's months asked for all loans are merged: looking up nearly all of them would only cost.
+    """
     inside = F.col("snapshot_date").isin(list(months))
+    if most:
+        return merged_labels(state, mob, dpd).filter(inside)
     applied = state.filter(F.col("anchored") & inside).select(*LOAN).distinct()
     return merged_labels(state.join(applied, LOAN, "left_semi"), mob, dpd).filter(inside)
 

@@ -30,6 +30,26 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def no_shuffle_kept(spark: SparkSession) -> Iterator[None]:
+    """What is run here removes its shuffle files when it ends.
+
+    Else they stay until the driver's collector finds their plan unused, and a job of many writes holds them all at once.
+    """
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the session names for intermediate data: ``spark.checkpoint.dir``, else its warehouse."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -22,6 +22,7 @@ from pyspark.util import inheritable_thread_target
 from lendscape import schemas as S
 from lendscape.functions.dates import shift_months
 from lendscape.plans import gold, silver
+from lendscape.session import no_shuffle_kept
 from lendscape.sources import published
 from lendscape.sources.published import PERIOD
 
@@ -177,10 +178,11 @@ def advance_state(spark: SparkSession, root: str, mob: int = gold.MONTHS_ON_BOOK
     sources = {m.isoformat(): found.months[m.isoformat()] for m in stale if m.isoformat() in found.months}
     load = published.stage(gold.loan_months(landed, mob), path)
     state = published.read(spark, path, load.onto(old, stale, sources))
-    changed = of_months(state, stale)
+    # The first rows of a state are all new.
+    changed = None
     if old.months:
         before = published.read(spark, path, old.only(stale))
-        state, changed = state.unionByName(before), changed.unionByName(before)
+        state, changed = state.unionByName(before), of_months(state, stale).unionByName(before)
     touched = [r[0].isoformat() for r in gold.months_touched(state, changed, mob).collect()]
     published.publish(spark, load, stale, sources, touched)
     return sorted(date.fromisoformat(m) for m in {*old.pending, *touched})
@@ -200,7 +202,9 @@ def build_gold(
     if state is None:
         state = gold.loan_months(_silver_or_none_yet(spark, root, "loans"), mob)
     features = [of_months(_silver_or_none_yet(spark, root, t), applied) for t in ("clickstream", "attributes", "financials")]
-    built = gold.with_features(gold.labels_of_months(state, applied, mob, dpd), *features)
+    held = _published(spark, state_path(root, mob)).months
+    most = 2 * len(held.keys() & {m.isoformat() for m in applied}) >= len(held)
+    built = gold.with_features(gold.labels_of_months(state, applied, mob, dpd, most), *features)
     metrics = write_table(built, path_of(root, "gold", "label_store"), applied)
     if published.manifest(spark, state_path(root, mob)) is not None:
         published.settle(spark, state_path(root, mob), applied)
@@ -235,9 +239,10 @@ def run_backfill(
     def landed_and_refined(table: str) -> list[dict]:
         return [land_bronze(raw[table], root, table, months), refine_silver(spark, root, table, months)]
 
-    with ThreadPoolExecutor(len(S.TABLES)) as pool:
-        loads = list(itertools.chain.from_iterable(pool.map(inheritable_thread_target(spark)(landed_and_refined), S.TABLES)))
-    loads.append(build_gold(spark, root, months, mob, dpd))
+    with no_shuffle_kept(spark):
+        with ThreadPoolExecutor(len(S.TABLES)) as pool:
+            loads = list(itertools.chain.from_iterable(pool.map(inheritable_thread_target(spark)(landed_and_refined), S.TABLES)))
+        loads.append(build_gold(spark, root, months, mob, dpd))
     run = {"run": uuid.uuid4().hex, "loaded_at": datetime.now(UTC).isoformat()}
     lines = [json.dumps({**run, **load}, default=date.isoformat) for load in loads]
     published.put_text(spark, f"{path_of(root, 'metrics', 'loads')}/{run['run']}.json", "\n".join(lines))

@@ -2,6 +2,7 @@
 
 import gzip
 import random
+import time
 from datetime import date
 
 import pytest
@@ -12,7 +13,7 @@ from contract import queries as Q
 from lendscape import schemas as S
 from lendscape import session
 from lendscape.functions.dates import month_starts, training_windows
-from lendscape.plans import audit, scoring, silver, training
+from lendscape.plans import audit, gold, scoring, silver, training
 from lendscape.sources import bank, layers, published, sample
 
 SF = "/root/testdata/sf0.001"
@@ -411,6 +412,42 @@ def test_what_a_looser_fit_stands_for():
     assert len(kept) == 8 and sum(map(len, kept)) == len(training.families(training.draw_params(100)))
 
 
+def test_a_backfill_keeps_no_shuffle_files(spark, frame, tmp_path):
+    """Each write removes its own; kept until a collection, those of all nine would be on disk together."""
+    blocks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = blocks.getAllFiles()
+        return {n for n in (files.apply(k).getName() for k in range(files.size())) if n.startswith("shuffle_")}
+
+    month = date(2023, 1, 1)
+    raw = {t: frame(", ".join(S.TABLES[t]), [["1"] * (len(S.TABLES[t]) - 1) + ["2023-01-01"]]) for t in S.TABLES}
+    setting, before = spark.conf.get(session.SHUFFLE_CLEANUP), shuffled()
+    assert layers.run_backfill(spark, raw, str(tmp_path), [month])["silver.loans"] == 1
+    for _ in range(50):
+        kept = shuffled() - before
+        if not kept:
+            break
+        time.sleep(0.2)
+    assert not kept and spark.conf.get(session.SHUFFLE_CLEANUP) == setting
+    # A result that is asked for again is made again where its shuffle is gone.
+    with session.no_shuffle_kept(spark):
+        counts = spark.range(100).groupBy((F.col("id") % 7).alias("k")).count()
+        assert sorted(counts.collect()) == sorted(counts.collect()) and counts.count() == 7
+
+
+def test_no_loan_is_looked_up_where_all_are_wanted(spark):
+    months = [date(2023, m, 1) for m in range(1, 10)]
+    rows = [(f"c{k}", f"l{k}", months[(k + m) % 9], 40 * (k % 2) if m else None, m or None, m == 0) for k in range(12) for m in (0, 1, 2) if (k, m) != (5, 2)]
+    state = spark.createDataFrame(rows, "Customer_ID string, loan_id string, snapshot_date date, max_dpd int, max_mob int, anchored boolean")
+    listed = lambda df: sorted(map(tuple, df.collect()))
+    some = gold.labels_of_months(state, months[:6], 2)
+    every = gold.labels_of_months(state, months[:6], 2, most=True)
+    assert listed(every) == listed(some) != [] and "Join" not in every._jdf.queryExecution().toString()
+    touched = gold.months_touched(state, None, 2)
+    assert listed(touched) == listed(gold.months_touched(state, state, 2)) != [] and "Join" not in touched._jdf.queryExecution().toString()
+
+
 def test_a_folder_of_files_with_other_headers(spark, tmp_path):
     (tmp_path / "a.csv").write_text("Customer_ID,Name,Age,snapshot_date\n1,Ann,30,2023-01-01\n")
     (tmp_path / "b.csv").write_text("snapshot_date,other,Age,Customer_ID\n2023-02-01,x,40,2\n2023-02-01,x,41,3\n")
